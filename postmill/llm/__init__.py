@@ -1,0 +1,10 @@
+"""Operators for preparing training data. Nothing else in the package imports this one.
+
+Functions that run on executors travel by value, so a cluster needs no copy of this package on its workers.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.knn import exact_topk
+from postmill.llm import pii, secrets
 from postmill.llm.sharding import shard_documents
 from postmill.sources.tables import table
 
@@ -14,6 +15,15 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(pii.find_personal_data(table(spark, sf_dir, "documents")), pii.KINDS)
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.span_digest(secrets.find_secrets(docs, secrets.train_markov(docs)), secrets.KINDS)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -21,6 +31,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op4_sharding": op4_sharding,
+    "op6_personal_data": op6_personal_data,
+    "op7_secrets": op7_secrets,
 }
 
 ORACLE_SQL = {

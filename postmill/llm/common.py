@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.session import materialise
+
 MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 
@@ -22,24 +24,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a record batch into runs of rows of about ``max_bytes`` of text (a longer text stands alone)."""
+    """Cut a record batch into runs of rows of about ``max_bytes`` of text (a longer text stands alone).
+
+    The runs are copies: some Arrow kernels (``ascii_lower`` on large strings) misread arrays that start at an offset.
+    """
     if batch.num_rows == 0:
         return
+    cut = lambda a, n: batch.slice(a, n).take(pa.array(np.arange(n)))
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > start and total + n > max_bytes:
-            yield batch.slice(start, i - start)
+            yield cut(start, i - start)
             start, total = i, 0
         total += n
-    yield batch.slice(start)
+    yield cut(start, batch.num_rows - start)
 
 
 def split_words(texts: pa.Array, lower_ascii: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text: (offsets by text, word index, distinct words)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if lower_ascii:
-        texts = pc.ascii_lower(texts)
+        texts = pc.ascii_lower(texts if not texts.offset else texts.take(pa.array(np.arange(len(texts)))))
     lists = pc.ascii_split_whitespace(texts)
     flat = lists.flatten()
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -64,23 +70,41 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, key: str, cap: int, by: list[str]) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, cap: int, by: list[str], known: dict | None = None) -> DataFrame:
     """About ``cap`` rows of each class of ``by``, chosen by a hash of ``key``: the same rows on every run.
 
     A class of up to ``cap`` rows is taken whole. Only the classes' counts reach the driver.
     """
-    counts = df.groupBy(*by).count().collect()
+    known = known if known is not None else {tuple(r[c] for c in by): r["count"] for r in df.groupBy(*by).count().collect()}
     keep = F.lit(False)
-    for row in counts:
-        share = min(1.0, cap / row["count"])
+    for values, n in known.items():
+        share = min(1.0, cap / n)
         same = F.lit(True)
-        for c in by:
-            same = same & F.col(c).eqNullSafe(F.lit(row[c]))
+        for c, v in zip(by, values):
+            same = same & F.col(c).eqNullSafe(F.lit(v))
         draw = (F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else F.lit(True)
         keep = keep | (same & draw)
     return df.where(keep)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, modulus: int = 5, remainder: int = 0) -> tuple[DataFrame, dict[int, float]]:
+    """About ``cap`` labelled documents of each class outside the held-out rows, and the weight of one row of each class.
+
+    Ids are drawn from the labels alone; they have that bound, so the documents meet them in a broadcast join and
+    aren't shuffled. An id that has several labels counts once, with the largest. The texts (id, text, y) are
+    written to the shared scratch folder for the passes of the training.
+    """
+    rows = (
+        labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
+        .groupBy("doc_id").agg(F.max("y").alias("y"))
+    )
+    full = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    drawn = bounded_sample(rows, "doc_id", cap, ["y"], {(k,): n for k, n in full.items()})
+    texts, _ = materialise(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").coalesce(16), "sample")
+    got = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+    return texts, {y: full.get(y, 0) / n for y, n in got.items()}
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 

@@ -39,7 +39,7 @@ _TOKEN = re.compile(
     rf"|(?P<num>(?<![A-Za-z])(?:plus[ -]+)?{_NUMBER}(?:[ ,-]{{1,2}}{_NUMBER}){{6,}}(?![A-Za-z]))"
     rf"|(?P<at>\s*[\[({{<]\s*at\s*[\])}}>]\s*)"
     rf"|(?P<dot>\s*[\[({{<]\s*(?:dot|punto|punkt|point)\s*[\])}}>]\s*)"
-    rf"|(?P<pair>(?<=[A-Za-z0-9_])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+|\s*[\[({{<]\s*dot\b)[A-Za-z]))"
+    rf"|(?P<pair>(?<=[A-Za-z0-9_])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+|\s*[\[({{<]\s*dot\s*[\])}}>]\s*)[A-Za-z]))"
     rf"|(?P<word>(?<=[A-Za-z0-9-])\s+dot\s+(?=[A-Za-z0-9]))",
     re.IGNORECASE,
 )

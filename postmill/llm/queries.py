@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.knn import exact_topk
-from postmill.llm import pii, secrets
+from postmill.llm import language, pii, quality, secrets
 from postmill.llm.sharding import shard_documents
 from postmill.sources.tables import table
 
@@ -24,6 +24,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(secrets.find_secrets(docs, secrets.train_markov(docs)), secrets.KINDS)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify_language(docs, language.train_language(docs))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -33,6 +42,8 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_personal_data": op6_personal_data,
     "op7_secrets": op7_secrets,
+    "op8_quality": op8_quality,
+    "op9_language": op9_language,
 }
 
 ORACLE_SQL = {

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.knn import exact_topk
-from postmill.llm import language, pii, quality, secrets
+from postmill.llm import language, pii, quality, secrets, toxicity
 from postmill.llm.sharding import shard_documents
 from postmill.sources.tables import table
 
@@ -33,12 +33,17 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(docs, language.train_language(docs))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_topk_search": op1_topk_search,
+    "op2_toxicity": op2_toxicity,
     "op4_sharding": op4_sharding,
     "op6_personal_data": op6_personal_data,
     "op7_secrets": op7_secrets,

@@ -48,7 +48,7 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
 class ToxicModel:
     """Token scores, the drift of all other tokens, the extreme-value law of clean texts and the calibration."""
 
-    score_of: dict[str, float] = field(default_factory=dict)
+    score_of: dict[str, tuple[float, float]] = field(default_factory=dict)
     drift: float = -0.5
     scale: float = 1.0
     log_k: float = 0.0
@@ -56,6 +56,11 @@ class ToxicModel:
     prior: float = 0.5
     significant: float = 0.01
 
+    def token_score(self, word: str) -> float:
+        """The score of the word's best supported key, else the drift."""
+        best = max((self.score_of[k] for k in word_keys(plain_word(word)) if k in self.score_of), key=lambda x: x[1], default=(self.drift, 0.0))
+        return best[0]
+
     def p_value(self, score: float, tokens: int) -> float:
         """Chance that a clean text of so many tokens has a segment of this score: 1 - exp(-K n exp(-lambda s))."""
         return float(-np.expm1(-np.exp(min(50.0, self.log_k + np.log(max(tokens, 1)) - self.scale * score))))
@@ -63,7 +68,7 @@ class ToxicModel:
     def segments(self, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
         """Token counts, and the maximal segments of each text in token positions."""
         offsets, code, words = split_words(texts)
-        table = np.array([self.score_of.get(plain_word(w), self.drift) for w in words.to_pylist()]) if len(words) else np.zeros(0)
+        table = np.array([self.token_score(w) for w in words.to_pylist()]) if len(words) else np.zeros(0)
         out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(offsets) - 1)]
         each = table[code]
         hits = np.flatnonzero(each > 0)
@@ -80,15 +85,22 @@ class ToxicModel:
         return np.diff(offsets), out
 
     def statistics(self, tokens: np.ndarray, segments: list[list[tuple[int, int, float]]]) -> np.ndarray:
-        """By text: the best segment's normalised score, the sum of normalised scores of all significant ones, their share of the tokens."""
-        out = np.zeros((len(tokens), 3))
+        """By text: the best segment's normalised score, and the least p-value (as -log) of the sums of the r best ones.
+
+        The r largest normalised scores of a clean text add up to x or more with probability about
+        exp(-x) x^(r-1) / (r! (r-1)!), which lets several weak passages count together.
+        """
+        out = np.zeros((len(tokens), 2))
+        out[:, 0] = -5
         for i, (n, found) in enumerate(zip(tokens.tolist(), segments)):
             if found:
-                norm = np.array([self.scale * v for *_, v in found]) - self.log_k - np.log(max(n, 1))
-                big = norm > -np.log(-np.log1p(-self.significant))
-                out[i] = (np.clip(norm.max(), -5, 30), np.log1p(norm[big].sum()) if big.any() else 0.0, sum(e - s for (s, e, _), k in zip(found, big) if k) / max(n, 1))
-            else:
-                out[i, 0] = -5
+                norm = np.sort([self.scale * v for *_, v in found])[::-1][:200] - self.log_k - np.log(max(n, 1))
+                r = np.arange(1, len(norm) + 1)
+                x = np.maximum(np.cumsum(norm), 1e-6)
+                log_fact = np.concatenate([[0.0], np.cumsum(np.log(r))])
+                p = x - (r - 1) * np.log(x) + log_fact[r] + log_fact[r - 1]
+                p = p[x >= r]  # the law holds in the tail only
+                out[i] = np.clip(norm[0], -5, 20), min(50.0, p.max()) if len(p) else 0.0
         return out
 
     def probability(self, stats: np.ndarray) -> np.ndarray:
@@ -109,60 +121,72 @@ def plain_word(word: str) -> str:
     return word[a:b]
 
 
-def _column(batch: pa.RecordBatch, name: str, value: int) -> pa.Array:
-    return pa.array(np.flatnonzero(batch.column(name).to_numpy(zero_copy_only=False) == value))
+def word_keys(word: str, shortest: int = 3, longest: int = 8) -> list[str]:
+    """The word and its stems: prefixes of 3 to 8 letters (``stem*``), so that inflected forms of a slur count together."""
+    return [word, *(word[:k] + "*" for k in range(shortest, min(longest, len(word)) + 1))] if word else []
 
 
 def train_toxicity(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", cap: int = 6000, vocabulary: int = 20_000, prior_strength: float = 500.0, z: float = 3.0,
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", cap: int = 6000, vocabulary: int = 20_000, prior_strength: float = 500.0, z: float = 3.5, least_ratio: float = 1.5,
 ) -> ToxicModel:
     """Fit on at most about ``cap`` labelled documents of each class outside the held-out rows.
 
-    One half of them (by a hash of the text, so equal texts stay together) gives each word's log-odds ratio with an
-    informative Dirichlet prior, proportional to the word's frequency over both classes; at most ``vocabulary``
-    words whose ratio is ``z`` standard deviations or more from zero keep a score, all others share the drift. The
-    other half gives the extreme-value law (from its clean texts) and the calibration of the score.
+    One half of them (by a hash of the text, so equal texts stay together) gives, for the fit of the calibration, the log-odds ratio of each word and
+    of each stem, with an informative Dirichlet prior (half a document, plus a share by the key's frequency over both
+    classes). At most ``vocabulary`` keys keep a score: those ``z`` standard deviations or more from zero whose ratio
+    is below 0 or at least ``least_ratio``. A token takes its best supported key's score; without one, the drift. The
+    other half gives the extreme-value law (from its clean texts) and the calibration of the score. The final scores
+    come from both halves.
     """
     texts, weight = labelled_sample(docs, labels, label, cap)
-    full = {y: w for y, w in weight.items()}
     half = F.pmod(F.xxhash64("text"), F.lit(2))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole):
-                for y in (0, 1):
-                    own = batch.column("text").take(_column(batch, "y", y))
-                    if not len(own):
-                        continue
+                group = batch.column("y").to_numpy(zero_copy_only=False) * 2 + batch.column("half").to_numpy(zero_copy_only=False)
+                for g in np.unique(group).tolist():
+                    own = batch.column("text").take(pa.array(np.flatnonzero(group == g)))
                     offsets, code, words = split_words(own)
                     row = np.repeat(np.arange(len(own)), np.diff(offsets))
-                    plain = pa.array([plain_word(w) for w in words.to_pylist()], pa.string()).dictionary_encode()
-                    # a word counts once for each document, so one long rant doesn't decide
-                    of = plain.indices.to_numpy(zero_copy_only=False)[code]
-                    seen = np.unique(row * (len(plain.dictionary) + 1) + of) % (len(plain.dictionary) + 1)
+                    keys = [word_keys(plain_word(w)) for w in words.to_pylist()]
+                    plain = pa.array([k for ks in keys for k in ks], pa.string()).dictionary_encode()
+                    ids = plain.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                    starts = np.concatenate([[0], np.cumsum([len(ks) for ks in keys])]).astype(np.int64)
+                    # a key counts once for each document, so one long rant doesn't decide
+                    pair = np.unique(row * (len(words) + 1) + code)
+                    doc, word = pair // (len(words) + 1), pair % (len(words) + 1)
+                    many = starts[word + 1] - starts[word]
+                    flat = np.repeat(starts[word] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+                    seen = np.unique(np.repeat(doc, many) * (len(plain.dictionary) + 1) + ids[flat]) % (len(plain.dictionary) + 1)
                     n = np.bincount(seen, minlength=len(plain.dictionary))
-                    yield pa.RecordBatch.from_arrays([plain.dictionary, pa.array([y] * len(n), pa.int32()), pa.array(n, pa.int64())], ["word", "y", "n"])
+                    yield pa.RecordBatch.from_arrays([plain.dictionary, pa.array([g % 2] * len(n), pa.int32()), pa.array([g // 2] * len(n), pa.int32()), pa.array(n, pa.int64())], ["word", "half", "y", "n"])
 
     by_word = (
-        texts.where(half == 0).select("text", "y").dropDuplicates(["text", "y"]).mapInArrow(count, "word string, y int, n long").where("word <> ''")
-        .groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
-    )
-    by_word = by_word.persist()
-    sums = by_word.agg(F.sum("a"), F.sum("b")).first()
-    n1, n0 = float(sums[0] or 0), float(sums[1] or 0)
+        texts.select("text", "y", half.alias("half")).dropDuplicates(["text", "y"]).mapInArrow(count, "word string, half int, y int, n long").where("word <> ''")
+        .groupBy("word").agg(*[F.sum(F.when((F.col("y") == y) & (F.col("half") <= h), F.col("n")).otherwise(0)).alias(f"{c}{h}") for y, c in ((1, "a"), (0, "b")) for h in (0, 1)])
+    ).persist()
+
+    def table(h: int) -> dict[str, tuple[float, float]]:
+        """Scores from the first half (0) or from both (1)."""
+        a, b = F.col(f"a{h}"), F.col(f"b{h}")
+        sums = by_word.agg(F.sum(a), F.sum(b)).first()
+        n1, n0 = float(sums[0] or 0), float(sums[1] or 0)
+        if not n1 or not n0:
+            return {}
+        alpha = F.lit(0.5) + (a + b) * (prior_strength / (n1 + n0))
+        ratio = F.log((a + alpha) / (n1 + prior_strength - a - alpha)) - F.log((b + alpha) / (n0 + prior_strength - b - alpha))
+        top = (
+            by_word.select("word", ratio.alias("d"), (ratio / F.sqrt(1 / (a + alpha) + 1 / (b + alpha))).alias("z"))
+            .where((F.abs("z") >= z) & ((F.col("d") >= least_ratio) | (F.col("d") < 0))).orderBy(F.abs("z").desc(), "word").limit(vocabulary).collect()
+        )
+        return {r["word"]: (float(np.clip(r["d"], -1.0, 4.0)), abs(r["z"])) for r in top}
+
     model = ToxicModel()
-    both = sum(full.get(y, 0) for y in (0, 1))
     counts = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     scaled = {y: counts.get(y, 0) * weight.get(y, 0) for y in (0, 1)}
-    model.prior = (scaled[1] + 0.5) / (sum(scaled.values()) + 1) if both else 0.5
-    if n1 and n0:
-        alpha = (F.col("a") + F.col("b")) * (prior_strength / (n1 + n0))
-        ratio = F.log((F.col("a") + alpha) / (n1 + prior_strength - F.col("a") - alpha)) - F.log((F.col("b") + alpha) / (n0 + prior_strength - F.col("b") - alpha))
-        top = (
-            by_word.select("word", ratio.alias("d"), (ratio / F.sqrt(1 / (F.col("a") + alpha) + 1 / (F.col("b") + alpha))).alias("z"))
-            .where(F.abs("z") >= z).orderBy(F.abs("z").desc(), "word").limit(vocabulary).collect()
-        )
-        model.score_of = {r["word"]: float(np.clip(r["d"], -1.0, 4.0)) for r in top}
+    model.prior = (scaled[1] + 0.5) / (sum(scaled.values()) + 1)
+    model.score_of, final = table(0), table(1)
     by_word.unpersist()
     if len(counts) < 2 or not model.score_of:
         return model
@@ -181,19 +205,21 @@ def train_toxicity(
         return model
     tokens = np.array([r["tokens"] for r in rows])
     y = np.array([r["y"] for r in rows], float)
-    best = np.array([max(r["v"], default=0.0) for r in rows])
+    # Extreme-value law of clean texts: segments above x come K exp(-lambda x) to a token. Lambda is the rate of the
+    # excesses over the median segment score, K their frequency; one segment more than seen keeps K above zero.
     clean = (y == 0) & (tokens > 0)
-    # Extreme-value law of clean texts: the share of texts with no segment above x is exp(-K n exp(-lambda x)).
-    # Texts are taken at the level of single positive words upwards, where the tail is.
-    spread = best[clean].std()
-    model.scale = float(min(3.0, np.pi / (spread * np.sqrt(6)))) if spread > 0 else 3.0
-    model.log_k = float(np.log(np.clip(np.sum(np.where(best[clean] > 0, np.exp(model.scale * best[clean]) * 0 + 1, 0)) + 1, 1, None)) - np.log(max(1, tokens[clean].sum())) + model.scale * np.mean(best[clean][best[clean] > 0]) if (best[clean] > 0).any() else -np.log(max(1, tokens[clean].sum())))
+    every = np.array([v for r in rows if r["y"] == 0 for v in r["v"]])
+    floor = float(np.median(every)) if len(every) >= 20 else 0.0
+    over = every[every > floor] - floor
+    model.scale = float(np.clip((len(over) + 1) / (over.sum() + 1.0), 0.3, 5.0))
+    model.log_k = float(np.log(len(over) + 1) - np.log(max(1, tokens[clean].sum())) + model.scale * floor)
     segs = [[(0, int(w), float(v)) for v, w in zip(r["v"], r["w"])] for r in rows]
     stats = model.statistics(tokens, segs)
     w = np.array([weight[int(v)] for v in y])
     reps = np.maximum(1, np.round(w / w.min())).astype(int)
     reps = np.minimum(reps, 50)
     model.calibration = tuple(fit_logistic(np.repeat(stats, reps, 0), np.repeat(y, reps), ridge=0.1))
+    model.score_of = final
     return model
 
 

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +32,10 @@ def shingle_sets(texts: pa.Array, words_each: int) -> list[np.ndarray]:
             s = np.sort(whole[a:b - words_each + 1])
             out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif b > a:
-            x = np.uint64(b - a)
-            for t in h[a:b]:
-                x = mix64(np.array([x * np.uint64(31) + t]))[0]
-            out.append(np.array([x], np.uint64))
+            x = np.array([b - a], np.uint64)
+            for k in range(a, b):
+                x = mix64(x * np.uint64(31) + h[k:k + 1])
+            out.append(x)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -100,6 +99,10 @@ def _long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets], np.int64)
+
+
 def _sketcher(words_each: int, buckets: int, rows_each: int, with_set: bool):
     mix = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,9 +112,12 @@ def _sketcher(words_each: int, buckets: int, rows_each: int, with_set: bool):
                 sets = shingle_sets(batch.column("text"), words_each)
                 n = np.array([len(s) for s in sets], np.int64)
                 if with_set:
-                    yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([_long(s).tobytes() for s in sets], pa.binary())], ["node", "items"])
+                    want = batch.column("digest").to_numpy(zero_copy_only=False)
+                    own = pa.array(np.flatnonzero(_digests(sets) == want))
+                    items = pa.array([s.tobytes() for s in sets], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column("node").take(own), items.take(own), batch.column("reg").take(own)], ["node", "items", "reg"])
                     continue
-                lo = np.array([xxhash.xxh3_128_intdigest(s.tobytes()) & (1 << 63) - 1 for s in sets], np.int64)
+                lo = _digests(sets)
                 reg = registers(sets, buckets)
                 keys = np.empty((len(sets), buckets // rows_each), np.uint64)
                 for k in range(keys.shape[1]):
@@ -127,42 +133,36 @@ def _sketcher(words_each: int, buckets: int, rows_each: int, with_set: bool):
 
 
 def _verifier(percent: int, slack: float):
-    """Over rows sorted by (hub, is_member): check every member against the hub, estimate first, then on full sets."""
+    """Keep the pairs that the registers let through and that hold on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_set, hub_reg = None, None, None
         for batch in batches:
-            hubs, nodes = batch.column("hub").to_pylist(), batch.column("node").to_pylist()
-            items, regs = batch.column("items"), batch.column("reg")
             a, b = [], []
-            for i, (h, x) in enumerate(zip(hubs, nodes)):
-                own = np.frombuffer(items[i].as_py(), np.uint64)
-                if h == x:
-                    hub, hub_set, hub_reg = h, own, np.frombuffer(regs[i].as_py(), np.uint16)
-                elif h == hub:
-                    reg = np.frombuffer(regs[i].as_py(), np.uint16)
-                    if estimate(hub_reg, reg, np.float64(len(hub_set)), np.float64(len(own))) >= slack and linked(hub_set, own, percent):
-                        a.append(h)
-                        b.append(x)
+            cols = [batch.column(c) for c in ("hub", "node", "hub_items", "items", "hub_reg", "reg")]
+            for i in range(batch.num_rows):
+                hub, node, x, y, p, q = (c[i].as_py() for c in cols)
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                near = estimate(np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16), np.float64(len(x)), np.float64(len(y)))
+                if near >= slack and linked(x, y, percent):
+                    a.append(hub)
+                    b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _block_pairs(percent: int, slack: float):
-    """Over the rows of one pair of blocks of a bucket: links between nodes of different components.
+def _across(percent: int, slack: float):
+    """Over one block of a bucket's lesser components and one block of all its nodes: links between components.
 
     Components grow as links appear, and a pair inside one component is never compared: what comes out is a
     spanning set of links, not all pairs.
     """
 
-    def run(key, table: pa.Table) -> pa.Table:
-        left = key[1].as_py() == key[2].as_py()
-        t = table.sort_by([("node", "ascending")])
-        node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
-        block = t.column("block").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
-        reg = np.stack([np.frombuffer(x, np.uint16) for x in t.column("reg").to_pylist()])
+    def run(table: pa.Table) -> pa.Table:
+        node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
+        rest = table.column("rest").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        reg = np.stack([np.frombuffer(x, np.uint16) for x in table.column("reg").to_pylist()])
         n = np.array([len(s) for s in sets], float)
         parent = {c: c for c in comp.tolist()}
 
@@ -173,14 +173,12 @@ def _block_pairs(percent: int, slack: float):
             return c
 
         a, b = [], []
-        for i in range(len(node)):
-            js = np.arange(i + 1, len(node))
-            js = js[(comp[js] != comp[i])]
-            if not left:
-                js = js[block[js] != block[i]]
+        others = np.flatnonzero(rest == 0)
+        for i in np.flatnonzero(rest == 1).tolist():
+            js = others[comp[others] != comp[i]]
+            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
             if not len(js):
                 continue
-            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
             est = estimate(reg[js], reg[i], n[js], n[i])
             js, est = js[est >= slack], est[est >= slack]
             for j in js[np.argsort(-est, kind="stable")].tolist():
@@ -196,28 +194,34 @@ def _block_pairs(percent: int, slack: float):
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, comp): the smallest node reachable from each node of ``links`` (a, b).
 
-    Alternating large-star and small-star steps; each round's links are written to the shared folder, and the
-    process ends when a round changes nothing. Hot nodes are combined before the shuffle (a minimum by node).
+    Alternating large-star and small-star steps until a round changes nothing. Each step's links and minima are
+    written to the shared folder, which cuts lineage and leaves plain joins, whose hot keys Spark can split; the
+    minima themselves are combined before the shuffle.
     """
     spark = links.sparkSession
-    edges, path = materialise(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+
+    def lowest(edges: DataFrame) -> tuple[DataFrame, str]:
+        return materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "low")
+
+    edges, path = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        # large star: every larger neighbour of u is tied to u's minimum
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        # small star: every smaller neighbour of u, and u itself, is tied to the minimum of them
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        new, new_path = materialise(small, "edges")
-        changed = new.join(edges, ["u", "v"], "left_anti").limit(1).count() or edges.join(new, ["u", "v"], "left_anti").limit(1).count()
-        drop_scratch(spark, path)
+        low, low_path = lowest(both)
+        # large star: every larger neighbour of u is tied to the least of u and its neighbours
+        large, large_path = materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "edges")
+        low2, low2_path = lowest(large)
+        # small star: every smaller neighbour of u, and u itself, is tied to the least of them
+        tied = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v")))
+        new, new_path = materialise(tied.distinct(), "edges")
+        before, after = (x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (edges, new))
+        for p in (path, low_path, large_path, low2_path):
+            drop_scratch(spark, p)
         edges, path = new, new_path
-        if not changed:
+        if before == after:  # the same number of links and the same sum of their hashes
             break
     else:
-        raise RuntimeError("links did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+        raise RuntimeError("the links did not settle")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
 def near_duplicates(
@@ -240,32 +244,52 @@ def near_duplicates(
     Other columns are ignored. An empty table gives no rows. Result: doc_id, n_shingles, component_id, kept.
     """
     spark = docs.sparkSession
-    slack = percent / 100 - 5.5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / buckets)) - 0.005
+    share = percent / 100
+    slack = share - 5.5 * float(np.sqrt(share * (1 - share) / buckets)) - 0.005
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch, _ = materialise(rows.mapInArrow(_sketcher(words_each, buckets, rows_each, False), "id long, n long, digest long, reg binary, keys array<long>"), "sketch")
-    light = sketch.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("node"))
-    # one row of every set: registers and keys of the smallest id (an id may come with several texts)
-    nodes = sketch.select(F.col("id").alias("node"), "digest", "n", "reg", "keys").join(light, ["digest", "n", "node"]).dropDuplicates(["digest", "n"])
-    nodes, _ = materialise(nodes.select(F.xxhash64("digest", "n", "node").alias("node"), F.col("node").alias("doc"), "digest", "n", "reg", "keys"), "nodes")
-    bands = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members, _ = materialise(bands.join(hubs, "key").select("key", "hub", "node", "size"), "members")
-    stars = members.where("hub <> node").select("hub", "node").distinct()
-    used = members.select("node").distinct()
-    reg = nodes.select("node", "doc", "reg")
-    texts = (
-        rows.join(nodes.join(used, "node", "left_semi").select("node", F.col("doc").alias("id"), "digest", "n"), "id")
-        .select("node", "digest", "text")
-    )
-    sets, _ = materialise(_sets_of(texts, words_each).join(reg.select("node", "reg"), "node"), "sets")
-    pairs = stars.join(sets, "node").select("hub", "node", "items", "reg").unionByName(
-        # a hub's set goes to every salt of its members
-        sets.join(stars.select(F.col("hub").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("hub"), "node", "items", "reg")
+    copies = sketch.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min_by(F.struct("reg", "keys"), "id").alias("best"), F.min("id").alias("doc"))
+    nodes, _ = materialise(copies.select(F.xxhash64("digest", "n").alias("node"), "doc", "digest", "n", "best.reg", "best.keys"), "nodes")
+    bands = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    hubs, _ = materialise(bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("hub2"), F.count("*").alias("size"), F.sum("n").alias("mass")).where("size > 1"), "hubs")
+    members, _ = materialise(bands.select("node", "key").join(hubs, "key"), "members")
+    stars = members.select(F.explode(F.array("hub", "hub2")).alias("hub"), "node").where("hub <> node").distinct()
+
+    used = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest", "reg", F.col("doc").alias("id"))
+    texts = rows.where("id is not null").join(used, "id").select("node", "digest", "reg", "text")
+    sets, _ = materialise(texts.mapInArrow(_sketcher(words_each, buckets, rows_each, True), "node long, items binary, reg binary").dropDuplicates(["node"]), "sets")
+    pairs = stars.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items"), F.col("reg").alias("hub_reg")), "hub")
+    links, _ = materialise(pairs.mapInArrow(_verifier(percent, slack), "a long, b long"), "links")
+    comp, _ = materialise(components(links), "comp")
+
+    state, _ = materialise(members.select("key", "node", "size", "mass").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "state")
+    by_comp = state.groupBy("key", "comp").agg(F.count("*").alias("m"), F.first("size").alias("size"), F.first("mass").alias("mass"))
+    open_ = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("main_size"), F.first("size").alias("size"), F.first("mass").alias("mass"), F.count("*").alias("parts"))
+    # blocks by a hash of the node: about ``block`` nodes, and about ``block`` thousand shingles, each
+    per = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("mass") / (1000 * block))).cast("int")
+    open_, _ = materialise(open_.where("parts > 1").select("key", "main", per.alias("all_blocks"), F.ceil(F.col("size") - F.col("main_size")).alias("lesser"), "size").withColumn("rest_blocks", F.ceil(F.col("all_blocks") * F.col("lesser") / F.col("size")).cast("int")), "open")
+    left = state.select("key", "node", "comp").join(open_, "key")
+    spread = lambda c: F.pmod(F.xxhash64(F.lit(3), "node"), F.col(c)).cast("int")
+    rest = left.where("comp <> main").select("key", "node", "comp", F.lit(1).alias("rest"), spread("rest_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"))
+    every = left.select("key", "node", "comp", F.lit(0).alias("rest"), F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("i"), spread("all_blocks").alias("j"))
+    tasks = rest.unionByName(every).join(sets, "node").select("key", "i", "j", "node", "comp", "rest", "items", "reg")
+    more, _ = materialise(tasks.groupBy("key", "i", "j").applyInArrow(_across(percent, slack), "a long, b long"), "links")
+    if more.limit(1).count():
+        # the links join the components they touch
+        joined = more.select("a", "b").join(comp.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b", "left")
+        over, _ = materialise(components(joined.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))), "over")
+        comp = (
+            comp.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+            .unionByName(over.join(comp.select("node").distinct(), "node", "left_anti"))
+        )
+    placed, _ = materialise(nodes.select("node", "doc", "digest", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    least, _ = materialise(placed.groupBy("comp").agg(F.min("doc").alias("component_id")), "least")
+    of_set, _ = materialise(placed.join(least, "comp").select("digest", "n", "component_id"), "of-set")
+    return (
+        sketch.select(F.col("id"), "n", "digest").join(of_set, ["digest", "n"], "left")
+        .select(
+            F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+            F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component_id", "id")).alias("component_id"),
+        )
+        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
     )
-    links, _ = materialise(_check(pairs, sets, stars, percent, slack), "links")
-    comp = components(links)
-    comp, _ = materialise(comp, "comp")
-    # what is left: buckets with several components
-    state = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("size")).where("lo <> hi")
-    return _finish(spark, sketch, nodes, state, open_, sets, links, comp, percent, slack, block, id_col)

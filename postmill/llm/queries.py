@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.knn import exact_topk
 from postmill.llm import language, pii, quality, secrets, toxicity
+from postmill.llm.neardup import near_duplicates
 from postmill.llm.sharding import shard_documents
 from postmill.sources.tables import table
 
@@ -41,6 +42,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words_each=3, percent=85)
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
@@ -49,6 +54,7 @@ QUERIES = {
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE_SQL = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,49 +17,52 @@ from postmill.llm.common import text_slices
 MATCHES = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
 
 
-def normalise(text: str) -> tuple[bytes, np.ndarray]:
-    """Lower-case text with runs of anything but letters and digits as one blank, and each byte's source code point.
+#: Bytes that count as blanks (every ASCII character but letters and digits), and lower case for ASCII.
+_FLAT = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
+_MARKS = re.compile(rb"\xc2[\x80-\xbf]|\xe2[\x80\x81][\x80-\xbf]|\xe3\x80[\x80-\xbf]")
 
-    The result starts and ends with a blank, so words are compared whole at either end.
+
+def normalise(text: str) -> bytes:
+    """Lower-case UTF-8 with every run of blanks and marks as one blank, and a blank at either end.
+
+    Marks are ASCII punctuation and the Latin-1, general and CJK punctuation blocks.
     """
-    out, at = [b" "], [np.array([0])]
-    data, starts = fold(text)
-    if len(data):
-        out.append(data)
-        at.append(starts)
-    return b"".join(out) + b" ", np.concatenate([*at, [len(text)]])
-
-
-def fold(text: str) -> tuple[bytes, np.ndarray]:
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    if not len(points):
-        return b"", np.zeros(0, np.int64)
-    distinct, code = np.unique(points, return_inverse=True)
-    table = [c.lower() if (c := chr(p)).isalnum() else " " for p in distinct.tolist()]
-    blank = np.array([c == " " for c in table])[code]
-    keep = ~(blank & np.concatenate([[True], blank[:-1]]))  # the first blank of a run, none at the start
-    last = len(points)
-    while last and blank[last - 1]:
-        last -= 1
-    keep[last:] = False
-    wide = np.array([len(c.encode()) for c in table])
-    code = code[keep]
-    data = "".join(np.array(table, object)[code]).encode()
-    return data, np.repeat(np.flatnonzero(keep), wide[code])
+    data = text.lower().encode()
+    if not text.isascii():
+        data = _MARKS.sub(b" ", data)
+    return b" " + b" ".join(data.translate(_FLAT).split()) + b" "
+
+
+def source_positions(text: str) -> np.ndarray:
+    """The code point of ``text`` behind each byte of ``normalise(text)``."""
+    at, blank = [0], True
+    for i, c in enumerate(text):
+        data = c.lower().encode()
+        data = _MARKS.sub(b" ", data).translate(_FLAT)
+        if data.strip():
+            at += [i] * len(data)
+            blank = False
+        elif not blank:
+            at.append(i)
+            blank = True
+    if not blank or len(at) == 1:
+        at.append(len(text))
+    return np.array(at)
 
 
 @dataclass
 class Benchmark:
-    """Normalised items and a sorted table of their q-grams; one instance holds a bounded block of items."""
+    """Normalised items and their q-grams, ordered by hash slot; one instance holds a bounded block of items."""
 
     ids: list[int]
     texts: list[bytes]
     q: int
     rate: float
+    bits: int
     grams: np.ndarray
     item: np.ndarray
     pos: np.ndarray
-    bitmap: np.ndarray
+    first: np.ndarray
     budget: np.ndarray
     need: np.ndarray
 
@@ -66,10 +70,10 @@ class Benchmark:
     def build(items: list[tuple[int, str]], q: int = 8, rate: float = 0.1) -> Benchmark:
         ids, texts, grams, item, pos = [], [], [], [], []
         for i, t in sorted(items):
-            norm, _ = normalise(t)
-            if len(norm) < q + 2:
+            norm = normalise(t)
+            if len(norm) < 2 * q:
                 continue
-            g = qgrams(np.frombuffer(norm, np.uint8), q)
+            g = qgrams(norm, q)
             grams.append(g)
             item.append(np.full(len(g), len(ids)))
             pos.append(np.arange(len(g)))
@@ -77,92 +81,108 @@ class Benchmark:
             texts.append(norm)
         none = np.zeros(0, np.int64)
         grams_, item_, pos_ = np.concatenate([np.zeros(0, np.uint64), *grams]), np.concatenate([none, *item]), np.concatenate([none, *pos])
-        o = np.lexsort((pos_, item_, grams_))
-        bitmap = np.zeros(1 << 21, np.uint8)
-        slot = (grams_ * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)
-        bitmap[slot] = 1
+        bits = max(16, int(len(grams_)).bit_length() + 4)
+        slot = slots(grams_, bits)
+        o = np.lexsort((pos_, item_, slot))
+        first = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=1 << bits))]).astype(np.int32)
         length = np.array([len(t) for t in texts], np.int64)
         # the q-gram lemma: within e edits, n + 1 - q - q e of an item's q-grams survive; e is held so that one does
         budget = np.minimum((length * rate).astype(np.int64), (length - q) // q)
         need = np.maximum(1, length + 1 - q - q * budget)
-        return Benchmark(ids, texts, q, rate, grams_[o], item_[o], pos_[o], bitmap, budget, need)
+        return Benchmark(ids, texts, q, rate, bits, grams_[o], item_[o], pos_[o], first, budget, need)
 
 
-def qgrams(data: np.ndarray, q: int) -> np.ndarray:
+def qgrams(data: bytes, q: int) -> np.ndarray:
     """Every window of q bytes (8 at most) as one integer."""
     n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    g = np.zeros(n, np.uint64)
-    for k in range(q):
-        g = (g << np.uint64(8)) | data[k:k + n].astype(np.uint64)
-    return g
+    g = np.ndarray((n,), "<u8", bytes(data) + b"\0" * 8, strides=(1,))
+    return g & np.uint64((1 << 8 * q) - 1)
+
+
+def slots(grams: np.ndarray, bits: int) -> np.ndarray:
+    return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
 
+FAR = 1 << 30
 
-def banded_edits(item: bytes, text: bytes, budget: int) -> tuple[int, int] | None:
-    """(edits, end) of the best alignment of the whole item to a stretch of ``text`` that may begin and end anywhere.
 
-    None if it takes more than ``budget`` edits. Semi-global: a row of the table for each byte of the item, the
-    text along the row, in numpy; insertions in the text run along the row by a prefix minimum.
+def banded_edits(item: bytes, text: np.ndarray, width: int, anchor: int | None, budget: int) -> tuple[int, int] | None:
+    """(edits, offset) of the best alignment of the whole item to ``text`` along diagonals 0 to ``width``.
+
+    Without ``anchor`` it may begin on any diagonal for nothing; with one, it begins there and other diagonals cost
+    the characters between. It may end anywhere: the stretch ends at ``len(item) + offset``. None above ``budget``.
     """
-    t = np.frombuffer(text, np.uint8)
-    along = np.arange(len(t) + 1)
-    row = np.zeros(len(t) + 1, np.int64)
-    for k, c in enumerate(item, 1):
-        new = np.empty_like(row)
-        new[0] = k
-        new[1:] = np.minimum(row[:-1] + (t != c), row[1:] + 1)
-        row = np.minimum.accumulate(new - along) + along
-        if row.min() > budget:
+    d = np.arange(width + 1)
+    row = np.zeros(width + 1, np.int64) if anchor is None else np.where(d >= anchor, d - anchor, FAR)
+    need = len(item) + width
+    if len(text) < need:
+        text = np.concatenate([text, np.full(need - len(text), 256, text.dtype)])
+    for k, c in enumerate(item):
+        new = row + (text[k:k + width + 1] != c)
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        row = np.minimum.accumulate(new - d) + d
+        if k & 15 == 15 and row.min() > budget:
             return None
-    end = int(np.argmin(row))
-    return (int(row[end]), end) if row[end] <= budget else None
+    at = int(np.argmin(row))
+    return (int(row[at]), at) if row[at] <= budget else None
 
 
-def find_items(data: np.ndarray, bench: Benchmark) -> list[tuple[int, int, int, int]]:
+def find_items(norm: bytes, bench: Benchmark) -> list[tuple[int, int, int, int]]:
     """(item index, start, end, edits) of benchmark items in one normalised text, in byte positions.
 
     Shared q-grams are counted by item and diagonal band; bands are as wide as twice the edit budget and overlap by
     half, so the matches of any region within the budget share one. Bands that reach the lemma's bound are
-    merged into regions and each is aligned.
+    retained and their region is aligned along its diagonals.
     """
-    g = qgrams(data, bench.q)
-    at = np.flatnonzero(bench.bitmap[(g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)])
-    if not len(at):
+    if not bench.ids:
         return []
-    own = g[at]
-    lo, hi = np.searchsorted(bench.grams, own, "left"), np.searchsorted(bench.grams, own, "right")
-    many = hi - lo
-    at, lo, many = at[many > 0], lo[many > 0], many[many > 0]
+    g = qgrams(norm, bench.q)
+    slot = slots(g, bench.bits)
+    lo = bench.first[slot]
+    many = bench.first[slot + 1] - lo
+    at = np.flatnonzero(many)
     if not len(at):
         return []
+    lo, many = lo[at].astype(np.int64), many[at].astype(np.int64)
     flat = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    item, diagonal = bench.item[flat], np.repeat(at, many) - bench.pos[flat]
-    width = np.maximum(1, 2 * bench.budget[item])
-    found = []
+    at = np.repeat(at, many)
+    item = bench.item[flat]
+    enough = (np.bincount(item, minlength=len(bench.ids)) >= bench.need)[item]  # by the whole text: a bound on every band
+    enough &= bench.grams[flat] == g[at]
+    if not enough.any():
+        return []
+    at, flat, item = at[enough], flat[enough], item[enough]
+    diagonal = at - bench.pos[flat]
+    width = np.maximum(2, 2 * bench.budget[item])
     base = int(diagonal.min())
+    stride = int(diagonal.max()) - base + 3
+    found = []
     for half in (0, 1):
         band = (diagonal - base + half * (width // 2)) // width
-        key = item * (len(data) + 65536 * 4 + 1) + band
-        kinds, first, count = np.unique(key, return_index=True, return_counts=True)
+        kinds, first, count = np.unique(item * stride + band, return_index=True, return_counts=True)
         ok = count >= bench.need[item[first]]
         for f, k in zip(first[ok].tolist(), kinds[ok].tolist()):
-            i = int(item[f])
-            b = k - i * (len(data) + 65536 * 4 + 1)
-            w = int(width[f])
-            found.append((i, b * w - half * (w // 2) + base, b * w - half * (w // 2) + base + w))
+            i, w = int(item[f]), int(width[f])
+            low = (k - i * stride) * w - half * (w // 2) + base
+            found.append((i, low, low + w))
+    data = np.frombuffer(norm, np.uint8).astype(np.int16)
     out, done = [], {}
     for i, low, high in sorted(found):
-        e, n = int(bench.budget[i]), len(bench.texts[i])
-        a, b = max(0, low - e), min(len(data), high + n + e)
+        e, own = int(bench.budget[i]), bench.texts[i]
+        a = low - e
         if i in done and a < done[i]:
             continue  # the region just reported
-        hit = banded_edits(bench.texts[i], data[a:b].tobytes(), e)
+        window = data[max(0, a):max(0, high + len(own) + e)]
+        if a < 0:
+            window = np.concatenate([np.full(-a, 256, np.int16), window])
+        hit = banded_edits(own, window, high - low + 2 * e, None, e)
         if hit:
-            end = a + hit[1]
-            # the stretch's start: the same alignment from the other side
-            back = banded_edits(bench.texts[i][::-1], data[max(0, end - n - e):end].tobytes()[::-1], e)
-            start = end - back[1] if back else max(0, end - n)
+            end = min(len(norm), a + len(own) + hit[1])
+            before = data[max(0, end - len(own) - e):end][::-1]
+            back = banded_edits(own[::-1], np.concatenate([np.full(e, 256, np.int16), before]), 2 * e, e, FAR // 2)
+            start = max(0, end - (len(own) + back[1] - e)) if back else max(0, end - len(own))
             out.append((i, start, end, hit[0]))
             done[i] = end
     return out
@@ -170,23 +190,31 @@ def find_items(data: np.ndarray, bench: Benchmark) -> list[tuple[int, int, int,
 
 def _finder(bench: Benchmark):
     def find(text: str) -> list[dict]:
-        norm, at = normalise(text)
+        norm = normalise(text)
+        hits = find_items(norm, bench)
+        if not hits:
+            return []
+        at = source_positions(text)
         out = []
-        for i, s, e, edits in find_items(np.frombuffer(norm, np.uint8), bench):
-            out.append({"item_id": bench.ids[i], "start": int(at[min(s + (norm[s:s + 1] == b" " and s > 0), len(at) - 1)]), "end": int(at[min(e, len(at)) - 1]), "edits": edits})
+        for i, s, e, edits in hits:
+            while s < e - 1 and norm[s] == 32:
+                s += 1
+            while e - 1 > s and norm[e - 1] == 32:
+                e -= 1
+            out.append({"item_id": bench.ids[i], "start": int(at[s]), "end": int(at[e - 1]) + 1, "edits": edits})
         return out
 
     return find
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, block_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, block_bytes: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(id, matches) of every document: where it holds a benchmark item within ``rate`` edits a byte.
 
     The benchmark is read in blocks of at most ``block_bytes`` of text; each block's q-gram table travels to the
     tasks (so its size is bounded, whatever the benchmark's), and every block passes over all documents, whole
-    texts. Case, punctuation and white space don't count. Items shorter than q are left out, as are null ones.
+    texts. Case, punctuation and white space don't count. Items shorter than two q-grams are left out, as are null ones.
     A null or empty document matches nothing; repeated rows are answered each; an empty benchmark or table gives
     empty matches or no rows; other columns are ignored. Nothing is shuffled unless there are several blocks.
     """

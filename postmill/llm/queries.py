@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.knn import exact_topk
-from postmill.llm import language, pii, quality, secrets, toxicity
+from postmill.llm import decontaminate, language, pii, quality, secrets, toxicity
 from postmill.llm.neardup import near_duplicates
 from postmill.llm.sharding import shard_documents
 from postmill.sources.tables import table
@@ -42,6 +42,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.array_sort(F.array_distinct("matches.item_id")).alias("item_ids"), "matches")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words_each=3, percent=85)
 
@@ -49,6 +54,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
+    "op3_decontaminate": op3_decontaminate,
     "op4_sharding": op4_sharding,
     "op6_personal_data": op6_personal_data,
     "op7_secrets": op7_secrets,

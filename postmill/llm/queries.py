@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.knn import exact_topk
-from postmill.llm import decontaminate, language, pii, quality, secrets, toxicity
+from postmill.llm import decontaminate, language, pieces, pii, quality, secrets, toxicity
 from postmill.llm.neardup import near_duplicates
 from postmill.llm.sharding import shard_documents
 from postmill.sources.tables import table
@@ -47,6 +47,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.array_sort(F.array_distinct("matches.item_id")).alias("item_ids"), "matches")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.load_vocabulary()
+    encoded = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    decoded = pieces.decode_documents(encoded, vocabulary)
+    return decoded.select("doc_id", F.size("ids").alias("n_tokens"), "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words_each=3, percent=85)
 
@@ -56,6 +63,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_decontaminate": op3_decontaminate,
     "op4_sharding": op4_sharding,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_personal_data": op6_personal_data,
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,

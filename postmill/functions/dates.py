@@ -40,8 +40,9 @@ def expired(valid_through: Column, as_of: Column) -> Column:
 
 def retry_delay(attempt: Column, status: Column, retry_after: Column) -> Column:
     """Seconds before the next try: 1.6 to the attempt's power, at most 30; a 429 waits as told, up to 120, or 2 more."""
+    told = retry_after.try_cast("double")
     base = F.least(F.lit(30.0), F.pow(F.lit(1.6), attempt))
-    return F.when(status == 429, F.coalesce(F.least(retry_after.try_cast("double"), F.lit(120.0)), base + 2)).otherwise(base)
+    return F.when(status == 429, F.when(told.isNotNull(), F.least(told, F.lit(120.0))).otherwise(base + 2)).otherwise(base)
 
 
 def age_in_note(note: Column) -> Column:

@@ -1,0 +1,39 @@
+import corpus_pipeline as C
+from postmill.llm import decontaminate, quality
+
+
+def test_stages_against_brute_force(spark, data, tmp_path):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    kept, names = docs, docs.columns
+    seen = [{r.doc_id: r for r in docs.collect()}]
+    for k, (name, stage) in enumerate(C.STAGES):
+        stage(spark, kept, data).write.parquet(str(tmp_path / str(k)))
+        kept = spark.read.parquet(str(tmp_path / str(k)))
+        seen.append({r.doc_id: r for r in kept.collect()})
+        assert kept.count() == len(seen[-1])
+        if k < len(C.STAGES) - 1:
+            assert kept.columns == names
+    # 1: exactly the rows that the model's score lets through
+    scores = {r.doc_id: r.score for r in quality.quality_report(docs, spark.read.parquet(f"{data}/labels.parquet")).collect()}
+    assert set(seen[1]) == {d for d in seen[0] if scores[d] >= 0.3}
+    # 2: one of each group by all pairs
+    from tests.llm.test_neardup import brute
+
+    rows = sorted((d, r.text) for d, r in seen[1].items())
+    _, comp = brute(rows, 5, 80)
+    assert set(seen[2]) == set(comp)
+    # 3: no item in what stays, one in each that went
+    items = [decontaminate.normalise(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    has = lambda t: any(i in decontaminate.normalise(t) for i in items)
+    gone = set(seen[2]) - set(seen[3])
+    assert not any(has(seen[3][d].text) for d in seen[3]) and all(has(seen[2][d].text) for d in gone)
+    # 4: all rows stay, only secrets change
+    assert set(seen[4]) == set(seen[3])
+    changed = [d for d in seen[4] if seen[4][d].text != seen[3][d].text]
+    assert all("<secret>" in seen[4][d].text for d in changed) and all(seen[4][d].n_chars == len(seen[4][d].text) for d in seen[4])
+    # 5: everything encoded, and back
+    assert set(seen[5]) == set(seen[4]) and all(r.round_trip and r.n_tokens == len(r.ids) for r in seen[5].values())
+
+
+def test_run_equals_its_stages(spark, data):
+    assert C.run(spark, data).count() > 0

@@ -151,41 +151,67 @@ def _verifier(percent: int, slack: float):
     return run
 
 
+def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of all intersections of two short lists of sets, as products of 0/1 matrices over the items that both sides have.
+
+    Items come in runs of ``columns``, so the matrices stay small whatever the sets' sizes. Counts are exact.
+    """
+    own, other = np.unique(np.concatenate(left)), np.unique(np.concatenate(right))
+    shared = np.intersect1d(own, other, assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for sets in (left, right):
+        items = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(shared, items)
+        ok = at < len(shared)
+        ok[ok] = shared[at[ok]] == items[ok]
+        order = np.argsort(at[ok], kind="stable")
+        sides.append((row[ok][order], at[ok][order]))
+    for c in range(0, len(shared), columns):
+        parts = []
+        for (row, at), n in zip(sides, out.shape):
+            lo, hi = np.searchsorted(at, [c, c + columns])
+            m = np.zeros((n, min(columns, len(shared) - c)), np.float32)
+            m[row[lo:hi], at[lo:hi] - c] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
 def _across(percent: int, slack: float):
     """Over one block of a bucket's lesser components and one block of all its nodes: links between components.
 
-    Components grow as links appear, and a pair inside one component is never compared: what comes out is a
-    spanning set of links, not all pairs.
+    Estimates from the registers choose the rows to compare; those are compared on full sets, all at once. Of the
+    links found, as many come out as join different components: a spanning set, not all pairs.
     """
 
     def run(table: pa.Table) -> pa.Table:
         node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
-        rest = table.column("rest").to_numpy()
+        rest = table.column("rest").to_numpy() == 1
         sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
         reg = np.stack([np.frombuffer(x, np.uint16) for x in table.column("reg").to_pylist()])
-        n = np.array([len(s) for s in sets], float)
-        parent = {c: c for c in comp.tolist()}
-
-        def root(c):
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
+        n = np.array([len(s) for s in sets], np.int64)
+        r, o = np.flatnonzero(rest), np.flatnonzero(~rest)
+        near = np.zeros((len(r), len(o)), bool)
+        if len(o):
+            for k, i in enumerate(r.tolist()):
+                near[k] = (comp[o] != comp[i]) & (100 * np.minimum(n[o], n[i]) >= percent * np.maximum(n[o], n[i]))
+                near[k, near[k]] = estimate(reg[o[near[k]]], reg[i], n[o[near[k]]], n[i]) >= slack
+        rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
         a, b = [], []
-        others = np.flatnonzero(rest == 0)
-        for i in np.flatnonzero(rest == 1).tolist():
-            js = others[comp[others] != comp[i]]
-            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-            if not len(js):
-                continue
-            est = estimate(reg[js], reg[i], n[js], n[i])
-            js, est = js[est >= slack], est[est >= slack]
-            for j in js[np.argsort(-est, kind="stable")].tolist():
-                if root(comp[i]) != root(comp[j]) and linked(sets[i], sets[j], percent):
-                    parent[root(comp[j])] = root(comp[i])
-                    a.append(int(node[i]))
-                    b.append(int(node[j]))
+        if len(rows):
+            r, o, near = r[rows], o[cols], near[np.ix_(rows, cols)]
+            both = intersections([sets[i] for i in r], [sets[j] for j in o])
+            link = near & (100 * both >= percent * (n[r][:, None] + n[o][None, :] - both))
+            label = comp.copy()
+            for k in np.flatnonzero(link.any(1)).tolist():
+                js = o[link[k]]
+                for c in np.unique(label[js]).tolist():
+                    if c != label[r[k]]:
+                        a.append(int(node[r[k]]))
+                        b.append(int(node[js[label[js] == c][0]]))
+                        label[label == c] = label[r[k]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -265,9 +291,10 @@ def near_duplicates(
     state, _ = materialise(members.select("key", "node", "size", "mass").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "state")
     by_comp = state.groupBy("key", "comp").agg(F.count("*").alias("m"), F.first("size").alias("size"), F.first("mass").alias("mass"))
     open_ = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("main_size"), F.first("size").alias("size"), F.first("mass").alias("mass"), F.count("*").alias("parts"))
+    # in buckets of up to three nodes the two hubs have met all others already
     # blocks by a hash of the node: about ``block`` nodes, and about ``block`` thousand shingles, each
     per = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("mass") / (1000 * block))).cast("int")
-    open_, _ = materialise(open_.where("parts > 1").select("key", "main", per.alias("all_blocks"), F.ceil(F.col("size") - F.col("main_size")).alias("lesser"), "size").withColumn("rest_blocks", F.ceil(F.col("all_blocks") * F.col("lesser") / F.col("size")).cast("int")), "open")
+    open_, _ = materialise(open_.where("parts > 1 and size > 3").select("key", "main", per.alias("all_blocks"), F.ceil(F.col("size") - F.col("main_size")).alias("lesser"), "size").withColumn("rest_blocks", F.ceil(F.col("all_blocks") * F.col("lesser") / F.col("size")).cast("int")), "open")
     left = state.select("key", "node", "comp").join(open_, "key")
     spread = lambda c: F.pmod(F.xxhash64(F.lit(3), "node"), F.col(c)).cast("int")
     rest = left.where("comp <> main").select("key", "node", "comp", F.lit(1).alias("rest"), spread("rest_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"))

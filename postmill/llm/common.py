@@ -23,7 +23,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a record batch into runs of rows of about ``max_bytes`` of text (a longer text stands alone).
 
     The runs are copies: some Arrow kernels (``ascii_lower`` on large strings) misread arrays that start at an offset.
@@ -39,6 +39,17 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 4
             start, total = i, 0
         total += n
     yield cut(start, batch.num_rows - start)
+    pa.default_memory_pool().release_unused()
+
+
+def wide_rows(df: DataFrame, rows: int = 2000) -> None:
+    """Hold the session's Arrow batches to ``rows`` rows: texts are wide, and a batch stays in memory whole.
+
+    A smaller setting of the user's stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
 
 
 def split_words(texts: pa.Array, lower_ascii: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -94,6 +105,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, mo
     aren't shuffled. An id that has several labels counts once, with the largest. The texts (id, text, y) are
     written to the shared scratch folder for the passes of the training.
     """
+    wide_rows(docs)
     rows = (
         labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
         .groupBy("doc_id").agg(F.max("y").alias("y"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import mix64, split_words, text_slices
+from postmill.llm.common import mix64, split_words, text_slices, wide_rows
 from postmill.session import drop_scratch, materialise
 
 MANTISSA = 10
@@ -269,7 +269,7 @@ def near_duplicates(
     null are kept as documents of their own, linked with nothing; of repeated ids the texts all count, under that id.
     Other columns are ignored. An empty table gives no rows. Result: doc_id, n_shingles, component_id, kept.
     """
-    spark = docs.sparkSession
+    wide_rows(docs)
     share = percent / 100
     slack = share - 5.5 * float(np.sqrt(share * (1 - share) / buckets)) - 0.005
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

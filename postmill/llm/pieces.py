@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import mix64, text_slices
+from postmill.llm.common import mix64, text_slices, wide_rows
 from postmill.session import materialise
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -91,8 +91,8 @@ class Vocabulary:
         for high in (4, 6, 8, 10, 12, 16, 24, 40, 64):
             own = np.flatnonzero((size > low) & (size <= high))
             low = high
-            for a in range(0, len(own), 50_000):
-                self._block(own[a:a + 50_000], units, size, high, score, parts)
+            for a in range(0, len(own), 16_384):
+                self._block(own[a:a + 16_384], units, size, high, score, parts)
         for i in np.flatnonzero(size > 64).tolist():
             path, score[i] = self.viterbi(units[i])
             parts.append((np.full(len(path), i), np.arange(len(path))[::-1], np.array(path)))
@@ -343,7 +343,7 @@ def load_vocabulary(path: str = MODEL) -> Vocabulary:
     return Vocabulary(pieces, [sp.get_score(i) for i in range(n)], special, [by_byte[f"<0x{b:02X}>"] for b in range(256)])
 
 
-def encode_documents(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = 65_536, text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int = 65_536, text_col: str = "text", verify: bool = False) -> DataFrame:
     """All columns of ``docs`` and ``ids``, the SentencePiece ids of the whole text (unigram algorithm, dummy prefix, byte fallback).
 
     Texts of up to ``chunk_chars`` characters are encoded where they lie. A longer one is cut into chunks that are dealt
@@ -351,26 +351,32 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int =
     matrices (2 KB a chunk), and each chunk is then segmented between its two states on its own.
 
     Null and empty texts have no ids. Repeated rows are encoded each. An empty table gives no rows. A column named
-    ``ids`` in the input is replaced. Encoding keeps every character, so decoding gives the text back.
+    ``ids`` in the input is replaced. Encoding keeps every character, so decoding gives the text back; with ``verify``
+    a column ``round_trip`` says so for each row, from a decoding in the same pass (``decode_documents`` for long texts).
     """
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", "round_trip") if verify else docs.drop("ids")
+    wide_rows(docs)
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    columns = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "ids array<int>"])
+    columns = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "ids array<int>", *["round_trip boolean"] * verify])
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = held.value
         for whole in batches:
             at = whole.schema.get_field_index(text_col)
-            for batch in text_slices(whole, text_col, 8 << 20):
+            for batch in text_slices(whole, text_col, 2 << 20):
                 ids, _ = voc.encode(batch.column(at))
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+                more = [pc.equal(pc.fill_null(batch.column(at).cast(pa.large_string()), ""), voc.decode(ids))] if verify else []
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids, *more], [*batch.schema.names, "ids", *["round_trip"] * verify])
 
     size = F.coalesce(F.char_length(text_col), F.lit(0))
     short = docs.where(size <= chunk_chars).mapInArrow(direct, columns)
     long_, _ = materialise(docs.where(size > chunk_chars).withColumn("__row", F.monotonically_increasing_id()), "giants")
     chunks = giant_chunks(long_.select("__row", F.col(text_col).alias("text")), vocabulary, chunk_chars)
     whole = chunks.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("c")).select("__row", F.flatten("c.ids").alias("ids"))
-    return short.unionByName(long_.join(whole, "__row").drop("__row"))
+    joined = long_.join(whole, "__row").drop("__row")
+    if verify:
+        joined = decode_documents(joined, vocabulary).withColumn("round_trip", F.col(text_col) == F.col("decoded")).drop("decoded")
+    return short.unionByName(joined)
 
 
 def giant_chunks(giants: DataFrame, vocabulary: Vocabulary, chunk_chars: int) -> DataFrame:
@@ -424,8 +430,13 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str =
         voc = held.value
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000).take(pa.array(np.arange(min(1000, batch.num_rows - a))))
+            # runs of rows of about half a million ids
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+            cuts = np.searchsorted(ends // 500_000, np.arange(0, (ends[-1] if len(ends) else 0) // 500_000 + 1), side="left").tolist() + [batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a).take(pa.array(np.arange(b - a)))
                 text = voc.decode(part.column(at)).cast(pa.string())
                 text = pc.if_else(pc.is_valid(part.column(at)), text, pa.scalar(None, pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, text], [*part.schema.names, "decoded"])

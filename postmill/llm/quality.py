@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import held_out, labelled_sample, sigmoid, split_words, sums_by_row, text_slices
+from postmill.llm.common import held_out, labelled_sample, sigmoid, split_words, sums_by_row, text_slices, wide_rows
 
 FEATURES = (
     "log_words", "mean_word_bytes", "distinct_words", "repeated_neighbours", "top_word", "repeated_trigrams", "upper", "digits", "punctuation",
@@ -222,6 +222,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3,
     Null and empty texts get the score of all-zero features; repeated rows are scored each; an empty table gives no
     rows. Columns of these names in the input are replaced. Texts are read whole; nothing is shuffled.
     """
+    wide_rows(docs)
     docs = docs.drop("score", "predicted")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])
 

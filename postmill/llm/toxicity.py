@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import fit_logistic, held_out, labelled_sample, sigmoid, split_words, text_slices
+from postmill.llm.common import fit_logistic, held_out, labelled_sample, sigmoid, split_words, text_slices, wide_rows
 
 PASSAGES = "array<struct<start:int,end:int,score:double,p:double>>"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -246,6 +246,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text") -
                         spans[i] = [{"start": at[s][0], "end": at[e - 1][1], "score": v, "p": p} for s, e, v, p in kept]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score), pa.array(spans, pa.list_(passage))], ["id", "score", "passages"])
 
+    wide_rows(docs)
     rows = docs.select(F.col("doc_id").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, passages {PASSAGES}")
     return found.select(F.col("id").alias("doc_id"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import text_slices
+from postmill.llm.common import text_slices, wide_rows
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -34,13 +34,15 @@ LOOKALIKE |= {z + d: 48 + d for z in (0x0660, 0x06F0, 0x0966, 0x09E6) for d in r
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _NUMBER = "(?:" + "|".join(SPELLED) + ")"
+_DOT = r"(?:\s+dot\s+|\s*[\[({<]\s*dot\s*[\])}>]\s*)"
+_ENDING = r"(?:com|org|net|edu|gov|info|io|co|eu|uk|de|fr|es|it|nl|ch|at|us|ca|au|app|dev)\b"  # words that may end a host spelled out
 _TOKEN = re.compile(
     rf"(?P<gone>[​-‍⁠﻿­]+)"
     rf"|(?P<num>(?<![A-Za-z])(?:plus[ -]+)?{_NUMBER}(?:[ ,-]{{1,2}}{_NUMBER}){{6,}}(?![A-Za-z]))"
     rf"|(?P<at>\s*[\[({{<]\s*at\s*[\])}}>]\s*)"
     rf"|(?P<dot>\s*[\[({{<]\s*(?:dot|punto|punkt|point)\s*[\])}}>]\s*)"
-    rf"|(?P<pair>(?<=[A-Za-z0-9_])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+|\s*[\[({{<]\s*dot\s*[\])}}>]\s*)[A-Za-z]))"
-    rf"|(?P<word>(?<=[A-Za-z0-9-])\s+dot\s+(?=[A-Za-z0-9]))",
+    rf"|(?P<pair>(?<=[A-Za-z0-9_])\s+at\s+(?=[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}{_ENDING}))"
+    rf"|(?P<word>(?<=[A-Za-z0-9-])\s+dot\s+(?=(?:[A-Za-z0-9-]+{_DOT})*{_ENDING}))",
     re.IGNORECASE,
 )
 _NUMBER_WORD = re.compile(_NUMBER, re.IGNORECASE)
@@ -175,6 +177,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     spans[i] = [{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in every]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(spans, pa.list_(kind_type))], ["id", "spans"])
 
+    wide_rows(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, spans {SPANS}").withColumnRenamed("id", id_col)
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import text_slices
+from postmill.llm.common import text_slices, wide_rows
 
 MATCHES = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
 
@@ -81,7 +81,7 @@ class Benchmark:
             texts.append(norm)
         none = np.zeros(0, np.int64)
         grams_, item_, pos_ = np.concatenate([np.zeros(0, np.uint64), *grams]), np.concatenate([none, *item]), np.concatenate([none, *pos])
-        bits = max(16, int(len(grams_)).bit_length() + 4)
+        bits = max(16, int(len(grams_)).bit_length() + 4 if len(grams_) < 1 << 17 else int(len(grams_)).bit_length() + 3)
         slot = slots(grams_, bits)
         o = np.lexsort((pos_, item_, slot))
         first = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=1 << bits))]).astype(np.int32)
@@ -207,50 +207,73 @@ def _finder(bench: Benchmark):
     return find
 
 
+def _passes(benchmark: DataFrame, q: int, rate: float, block_bytes: int, blocks_each: int) -> Iterator[list[Benchmark]]:
+    """The benchmark, streamed to the driver, as runs of at most ``blocks_each`` blocks of about ``block_bytes`` of text."""
+    blocks, now, size = [], [], 0
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    for item, text in rows.toLocalIterator():
+        now.append((item, text))
+        size += len(text.encode())
+        if size >= block_bytes:
+            blocks.append(Benchmark.build(now, q, rate))
+            now, size = [], 0
+        if len(blocks) == blocks_each:
+            yield blocks
+            blocks = []
+    if now:
+        blocks.append(Benchmark.build(now, q, rate))
+    if blocks:
+        yield blocks
+
+
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, block_bytes: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, block_bytes: int = 250_000, blocks_each: int = 16,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(id, matches) of every document: where it holds a benchmark item within ``rate`` edits a byte.
 
-    The benchmark is read in blocks of at most ``block_bytes`` of text; each block's q-gram table travels to the
-    tasks (so its size is bounded, whatever the benchmark's), and every block passes over all documents, whole
-    texts. Case, punctuation and white space don't count. Items shorter than two q-grams are left out, as are null ones.
-    A null or empty document matches nothing; repeated rows are answered each; an empty benchmark or table gives
-    empty matches or no rows; other columns are ignored. Nothing is shuffled unless there are several blocks.
+    The benchmark is read in blocks, and ``blocks_each`` blocks' q-gram tables travel to the tasks at once (a few
+    megabytes each, whatever the benchmark's size); a larger benchmark takes further passes over the rows in the same
+    stage. Whole texts are searched. Case, punctuation and white space don't count. Items shorter than two q-grams are
+    left out, as are null ones. A null or empty document matches nothing; repeated rows are answered each; an
+    empty benchmark or table gives empty matches or no rows; other columns are ignored. Nothing is shuffled.
     """
-    blocks, now, size = [], [], 0
-    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").toLocalIterator():
-        now.append((r[0], r[1]))
-        size += len(r[1].encode())
-        if size >= block_bytes:
-            blocks.append(Benchmark.build(now, q, rate))
-            now, size = [], 0
-    blocks.append(Benchmark.build(now, q, rate))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
+    wide_rows(docs)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.array().cast(MATCHES).alias("matches"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    for blocks in _passes(benchmark, q, rate, block_bytes, blocks_each):
+        rows = rows.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(blocks)), kinds)
+    return rows.select(F.col("id").alias(id_col), "matches")
+
 
+def _search(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())])
-        finders = [_finder(b.value) for b in held]
+        finders = [_finder(b) for b in held.value]
         for whole in batches:
             for batch in text_slices(whole):
-                found = [[m for f in finders for m in f(t)] for t in pc.fill_null(batch.column("text"), "").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(kind))], ["id", "matches"])
+                texts = pc.fill_null(batch.column("text"), "").to_pylist()
+                found = [(old or []) + [m for f in finders for m in f(t)] for t, old in zip(texts, batch.column("matches").to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(found, pa.list_(kind))], ["id", "text", "matches"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, matches {MATCHES}").withColumnRenamed("id", id_col)
+    return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, block_bytes: int = 250_000, blocks_each: int = 16, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark item; null texts stay."""
-    bench = docs.sparkSession.sparkContext.broadcast(
-        Benchmark.build([(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").collect()], q, rate)
-    )
+    wide_rows(docs)
+    for blocks in _passes(benchmark, q, rate, block_bytes, blocks_each):
+        docs = docs.mapInArrow(_sieve(docs.sparkSession.sparkContext.broadcast(blocks), text_col), docs.schema)
+    return docs
+
 
+def _sieve(held, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _finder(bench.value)
+        blocks = held.value
         for whole in batches:
             for batch in text_slices(whole, text_col):
                 texts = pc.fill_null(batch.column(batch.schema.get_field_index(text_col)), "").to_pylist()
-                yield batch.filter(pa.array([not find(t) for t in texts], pa.bool_()))
+                norms = [normalise(t) for t in texts]
+                yield batch.filter(pa.array([not any(find_items(t, b) for b in blocks) for t in norms], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return run

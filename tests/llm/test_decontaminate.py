@@ -67,7 +67,7 @@ def test_rows(spark, docs_of):
     assert [[m.item_id for m in got[i]] for i in range(7)] == [[1], [], [], [], [1], [1], [1]]
     m = got[0][0]
     assert texts[0][m.start:m.end].startswith("WHAT IS") and texts[0][m.start:m.end].endswith("RIVER") and m.edits == 0
-    many = {r.doc_id: [m.item_id for m in r.matches] for r in D.contamination(docs_of(texts), bench, block_bytes=10).collect()}
+    many = {r.doc_id: [m.item_id for m in r.matches] for r in D.contamination(docs_of(texts), bench, block_bytes=10, blocks_each=1).collect()}
     assert many == {k: [m.item_id for m in v] for k, v in got.items()}
     left = D.drop_contaminated(docs_of(texts, extra=True), bench)
     assert sorted(r.doc_id for r in left.collect()) == [1, 2, 3] and left.columns == docs_of(texts, extra=True).columns

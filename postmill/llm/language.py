@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import bounded_sample, fit_logistic, held_out, mix64, split_words, sums_by_row, text_slices
+from postmill.llm.common import bounded_sample, fit_logistic, held_out, mix64, split_words, sums_by_row, text_slices, wide_rows
 from postmill.session import materialise
 
 BINS = 1 << 14
@@ -102,12 +102,13 @@ def train_language(docs: DataFrame, cap: int = 1500, modulus: int = 4, remainder
     For each bit of the codewords, the n-gram counts of the languages on its two sides give a smoothed log ratio by
     n-gram (languages count alike); a logistic fit of the mean ratios calibrates the bit and shows how far to trust it.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
+    # counts need no texts, so the scan for them reads two narrow columns
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
     known = {(r["lang"],): r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(k[0] for k in known)
     if not languages:
         return CodeModel([], np.ones((0, 1)), np.zeros((BINS, 1)), np.ones(1), np.zeros(1), np.ones(1))
-    texts, _ = materialise(bounded_sample(rows, "doc_id", cap, ["lang"], known).select("lang", "text").coalesce(16), "lang")
+    texts, _ = materialise(bounded_sample(rows, "doc_id", cap, ["lang"], known).where("text is not null").select("lang", "text").coalesce(16), "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -176,6 +177,7 @@ def identify_language(docs: DataFrame, model: CodeModel, text_col: str = "text",
                     vague = score < ambiguous_below
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(vague)], ["id", "lang_pred", "score", "ambiguous"])
 
+    wide_rows(docs)
     rows = docs.select(F.col("doc_id").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
     return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")

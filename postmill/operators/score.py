@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import dates
 from postmill.functions.text import present
-from postmill.operators.filters import fused
+from postmill.operators.filters import any_of, fused
 
 WHY = "array<struct<label:string,points:int>>"
 
@@ -51,7 +51,7 @@ def entry(label: Column | str, points: Column | int) -> Column:
 def terms(r: Rubric, as_of: Column, cols: set[str]) -> list[Column]:
     """One nullable struct by rule, in the order of the explanation. Columns that the rows lack count as null."""
     get = lambda c, kind="string": F.col(c) if c in cols else F.lit(None).cast(kind)
-    title, text = present(get("title")), F.lower(present(get("description")))
+    title, text, both = F.col("__title"), F.col("__text"), F.col("__both")
     out = []
     if r.tiers:
         tier = None
@@ -72,15 +72,14 @@ def terms(r: Rubric, as_of: Column, cols: set[str]) -> list[Column]:
         out.append(entry(F.concat(F.lit("firm:"), cat), points))
         for k, (p, patterns) in r.category_roles.items():
             out.append(F.when((cat == k) & F.rlike(title, F.lit(fused(patterns))), entry(f"{k} + this role type", p)))
-    both = F.concat(title, F.lit("\n"), text)
     for name, points, patterns in r.signals:  # against: read anywhere, however short the text
         if points < 0:
-            out.append(F.when(F.rlike(both, F.lit(fused(patterns))), entry(f"text:{name}", points)))
+            out.append(F.when(any_of(both, patterns, both), entry(f"text:{name}", points)))
     size = F.length(text)
     out.append(F.when((size > 0) & (size < r.least_text), entry(F.concat(F.lit("text too short to read ("), size.cast("string"), F.lit("c)")), 0)))
     for name, points, patterns in r.signals:  # in favour: only where there is enough to read
         if points >= 0:
-            out.append(F.when((size >= r.least_text) & F.rlike(text, F.lit(fused(patterns))), entry(f"text:{name}", points)))
+            out.append(F.when((size >= r.least_text) & any_of(text, patterns, text), entry(f"text:{name}", points)))
     if r.home[0] or r.away[0]:
         where = F.regexp_replace(F.concat_ws(" ", present(get("location")), title, present(get("url"))), "[-_/]", " ")
         out.append(
@@ -110,8 +109,12 @@ def terms(r: Rubric, as_of: Column, cols: set[str]) -> list[Column]:
 
 def scored(rows: DataFrame, rubric: Rubric, as_of: Column) -> DataFrame:
     """Rows with ``why`` and ``score``: one projection, no shuffle, no Python."""
-    made = [t for t in terms(rubric, as_of, set(rows.columns))]
-    rows = rows.withColumn("why", F.filter(F.array(*made), lambda t: t.isNotNull()))
+    cols = set(rows.columns)
+    # the texts that many rules read are columns of their own, so that they are made once a row
+    low = lambda c: F.lower(present(c)) if c in cols else F.lit("")
+    rows = rows.withColumns({"__title": present("title") if "title" in cols else F.lit(""), "__text": low("description")})
+    rows = rows.withColumn("__both", F.concat(F.lower("__title"), F.lit("\n"), F.col("__text")))
+    rows = rows.withColumn("why", F.filter(F.array(*terms(rubric, as_of, cols)), lambda t: t.isNotNull())).drop("__title", "__text", "__both")
     return rows.withColumn("score", F.aggregate("why", F.lit(0), lambda acc, t: acc + t["points"]))
 
 

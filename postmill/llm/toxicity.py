@@ -71,6 +71,10 @@ class ToxicModel:
         table = np.array([self.token_score(w) for w in words.to_pylist()]) if len(words) else np.zeros(0)
         out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(offsets) - 1)]
         each = table[code]
+        if len(code) > 1:  # a word said again at once adds nothing
+            again = np.flatnonzero(code[1:] == code[:-1]) + 1
+            again = again[~np.isin(again, offsets[:-1])]
+            each[again] = np.minimum(each[again], self.drift)
         hits = np.flatnonzero(each > 0)
         total = np.concatenate([[0.0], np.cumsum(each)])
         row = np.searchsorted(offsets, hits, side="right") - 1
@@ -122,8 +126,8 @@ def plain_word(word: str) -> str:
 
 
 def word_keys(word: str, shortest: int = 3, longest: int = 8) -> list[str]:
-    """The word and its stems: prefixes of 3 to 8 letters (``stem*``), so that inflected forms of a slur count together."""
-    return [word, *(word[:k] + "*" for k in range(shortest, min(longest, len(word)) + 1))] if word else []
+    """The word and its stems: prefixes of 3 to 8 letters (``stem*``) that are shorter than it, so that inflected forms of a slur count together."""
+    return [word, *(word[:k] + "*" for k in range(shortest, min(longest, len(word) - 1) + 1))] if word else []
 
 
 def train_toxicity(

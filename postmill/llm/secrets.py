@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import text_slices
+from postmill.llm.common import text_slices, wide_rows
 
 KINDS = ("assign", "access", "hex")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -104,12 +104,15 @@ def identifiers(words: list[str], n: int = 20000, seed: int = 11) -> list[str]:
 
 
 def train_markov(docs: DataFrame, sample_docs: int = 2000, sample_words: int = 20000, text_col: str = "text") -> MarkovModel:
-    """Fit the chains: random strings come labelled from a generator, ordinary words from at most ``sample_docs`` documents.
+    """Fit the chains: random strings come labelled from a generator, ordinary words from about ``sample_docs`` documents.
+
+    The documents are chosen by a hash of their text, in the scan: no rows move for it, and every run takes the same.
 
     The threshold is the largest ratio that the labelled identifiers reach, and 12 nats at least.
     """
+    share = int(min(1.0, sample_docs / max(1, docs.count())) * (1 << 20))
     words = (
-        docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).limit(sample_docs)
+        docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(1 << 20)) < share))
         .select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)))).alias("w"))
         .distinct().orderBy(F.xxhash64("w"), "w").limit(sample_words)
     )
@@ -166,6 +169,7 @@ def find_secrets(docs: DataFrame, model: MarkovModel, id_col: str = "doc_id", te
                 spans = spans_of(batch, scan)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(spans, pa.list_(kind_type))], ["id", "spans"])
 
+    wide_rows(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, spans {SPANS}").withColumnRenamed("id", id_col)
 
@@ -182,6 +186,7 @@ def spans_of(batch: pa.RecordBatch, scan) -> list[list[dict]]:
 
 def redact_secrets(docs: DataFrame, model: MarkovModel, mask: str = "<secret>", text_col: str = "text") -> DataFrame:
     """The same rows and columns with every secret in the text replaced by ``mask``; null texts stay null."""
+    wide_rows(docs)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

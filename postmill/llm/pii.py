@@ -35,14 +35,16 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 
 _NUMBER = "(?:" + "|".join(SPELLED) + ")"
 _DOT = r"(?:\s+dot\s+|\s*[\[({<]\s*dot\s*[\])}>]\s*)"
-_ENDING = r"(?:com|org|net|edu|gov|info|io|co|eu|uk|de|fr|es|it|nl|ch|at|us|ca|au|app|dev)\b"  # words that may end a host spelled out
+#: After a bare at, words that end no host (none is a top-level domain), and the prose in which an article's own dot meets one that could.
+_NO_ENDING = r"(?:the|and|or|of|on|off|up|if|an|we|he|she|they|that|which|who|with|from|for|was|were|has|had|have|will|would|can|could|then|than|when|where|into|onto|over|under|above|below|between|near)\b"
+_PROSE = r"(?:the|an?|this|that|each|every)\s+dot\s+(?:in|is|to|so|no|me|be|by|my|do|am|as)\b"
 _TOKEN = re.compile(
     rf"(?P<gone>[​-‍⁠﻿­]+)"
     rf"|(?P<num>(?<![A-Za-z])(?:plus[ -]+)?{_NUMBER}(?:[ ,-]{{1,2}}{_NUMBER}){{6,}}(?![A-Za-z]))"
     rf"|(?P<at>\s*[\[({{<]\s*at\s*[\])}}>]\s*)"
     rf"|(?P<dot>\s*[\[({{<]\s*(?:dot|punto|punkt|point)\s*[\])}}>]\s*)"
-    rf"|(?P<pair>(?<=[A-Za-z0-9_])\s+at\s+(?=[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}{_ENDING}))"
-    rf"|(?P<word>(?<=[A-Za-z0-9-])\s+dot\s+(?=(?:[A-Za-z0-9-]+{_DOT})*{_ENDING}))",
+    rf"|(?P<pair>(?<=[A-Za-z0-9_])\s+at\s+(?!{_PROSE})(?=[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}(?!{_NO_ENDING})[A-Za-z]{{2}}))"
+    rf"|(?P<word>(?<=[A-Za-z0-9_-])\s+dot\s+(?=[A-Za-z0-9_-]))",
     re.IGNORECASE,
 )
 _NUMBER_WORD = re.compile(_NUMBER, re.IGNORECASE)

@@ -34,6 +34,20 @@ def test_disguises_map_back_to_the_source():
     assert pii.disguised_spans("he looked at the dot on the map", []) == []
 
 
+def test_bare_dots_in_addresses_local_parts_and_any_ending():
+    def found(text):
+        return [(k, text[s:e]) for k, s, e in pii.disguised_spans(text, pii.plain_spans(text))]
+
+    assert found("host 192 dot 168 dot 1 dot 10 is up") == [("ip", "192 dot 168 dot 1 dot 10")]
+    assert found("ask john dot smith at example dot com") == [("email", "john dot smith at example dot com")]
+    for end in "pl se ru jp br in me biz museum".split():
+        assert found(f"ask jo at firma dot {end} today") == [("email", f"jo at firma dot {end}")]
+        assert found(f"ask jo [at] firma dot {end}") == [("email", f"jo [at] firma dot {end}")]
+        assert found(f"ask jo@firma dot {end}") == [("email", f"jo@firma dot {end}")]
+    for prose in ("look at the dot in the middle", "they stared at a dot and a line"):
+        assert found(prose) == []
+
+
 def test_personal_data_rows(spark, docs_of):
     texts = ["a@b.co", None, "", "a@b.co", "x" * 200_000 + " +1 (583) 555-8469", "none"]
     got = {r.doc_id: r for r in pii.span_digest(pii.find_personal_data(docs_of(texts, extra=True)), pii.KINDS).collect()}

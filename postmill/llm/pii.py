@@ -133,7 +133,7 @@ def normalise(text: str) -> tuple[str, np.ndarray, np.ndarray]:
 
 
 def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """What only the normalised text shows, as source spans that overlap no plain span of their kind.
+    """What only the normalised text shows, as source spans that no plain span of their kind covers wholly.
 
     A spelled number without a plus counts as a phone number if it has 8 to 15 digits and is no card.
     """
@@ -148,7 +148,7 @@ def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
     out: list[tuple[str, int, int]] = []
     for kind, s, e in found:
         a, b = int(starts[s]), int(ends[e - 1])
-        if text[a:b] != norm[s:e] and all(k != kind or b <= x or y <= a for k, x, y in [*base, *out]):
+        if text[a:b] != norm[s:e] and not any(k == kind and x <= a and b <= y for k, x, y in [*base, *out]):
             out.append((kind, a, b))
     return out
 

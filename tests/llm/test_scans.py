@@ -48,6 +48,16 @@ def test_bare_dots_in_addresses_local_parts_and_any_ending():
         assert found(prose) == []
 
 
+def test_a_disguised_span_stands_beside_the_fragment_that_the_plain_pattern_sees():
+    for text in ("аdmin@example.com", "jo@example.cоm", "j\u200bo@mail.com", "jo@mail.example dot com"):
+        base = pii.plain_spans(text)
+        assert [k for k, _, _ in base] == ["email"] and base[0][1:] != (0, len(text))
+        assert pii.disguised_spans(text, base) == [("email", 0, len(text))], text
+    assert pii.disguised_spans("jo@mail.com and а", pii.plain_spans("jo@mail.com and а")) == []
+    twice = "plus four four two zero seven nine four six zero nine five eight"
+    assert [k for k, _, _ in pii.disguised_spans(twice, [])] == ["phone"]
+
+
 def test_personal_data_rows(spark, docs_of):
     texts = ["a@b.co", None, "", "a@b.co", "x" * 200_000 + " +1 (583) 555-8469", "none"]
     got = {r.doc_id: r for r in pii.span_digest(pii.find_personal_data(docs_of(texts, extra=True)), pii.KINDS).collect()}

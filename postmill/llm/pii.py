@@ -34,7 +34,8 @@ LOOKALIKE |= {z + d: 48 + d for z in (0x0660, 0x06F0, 0x0966, 0x09E6) for d in r
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _NUMBER = "(?:" + "|".join(SPELLED) + ")"
-_DOT = r"(?:\s+dot\s+|\s*[\[({<]\s*dot\s*[\])}>]\s*)"
+_BRACKETED_DOT = "(?:dot|punto|punkt|point)"
+_DOT = rf"(?:\s+dot\s+|\s*[\[({{<]\s*{_BRACKETED_DOT}\s*[\])}}>]\s*)"
 #: After a bare at, words that end no host (none is a top-level domain), and the prose in which an article's own dot meets one that could.
 _NO_ENDING = r"(?:the|and|or|of|on|off|up|if|an|we|he|she|they|that|which|who|with|from|for|was|were|has|had|have|will|would|can|could|then|than|when|where|into|onto|over|under|above|below|between|near)\b"
 _PROSE = r"(?:the|an?|this|that|each|every)\s+dot\s+(?:in|is|to|so|no|me|be|by|my|do|am|as)\b"
@@ -42,7 +43,7 @@ _TOKEN = re.compile(
     rf"(?P<gone>[​-‍⁠﻿­]+)"
     rf"|(?P<num>(?<![A-Za-z])(?:plus[ -]+)?{_NUMBER}(?:[ ,-]{{1,2}}{_NUMBER}){{6,}}(?![A-Za-z]))"
     rf"|(?P<at>\s*[\[({{<]\s*at\s*[\])}}>]\s*)"
-    rf"|(?P<dot>\s*[\[({{<]\s*(?:dot|punto|punkt|point)\s*[\])}}>]\s*)"
+    rf"|(?P<dot>\s*[\[({{<]\s*{_BRACKETED_DOT}\s*[\])}}>]\s*)"
     rf"|(?P<pair>(?<=[A-Za-z0-9_])\s+at\s+(?!{_PROSE})(?=[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}(?!{_NO_ENDING})[A-Za-z]{{2}}))"
     rf"|(?P<word>(?<=[A-Za-z0-9_-])\s+dot\s+(?=[A-Za-z0-9_-]))",
     re.IGNORECASE,
@@ -51,9 +52,10 @@ _NUMBER_WORD = re.compile(_NUMBER, re.IGNORECASE)
 _ALTERED = "".join(map(chr, LOOKALIKE))
 #: What any find needs somewhere in the text; RE2 reads it in one pass over the batch.
 _PLAIN = r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){15}"
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"  # what Python's \s takes
 _DISGUISED = (
     r"[\x{00ad}\x{200b}-\x{200d}\x{2060}\x{feff}\x{0370}-\x{052f}\x{0660}-\x{0669}\x{06f0}-\x{06f9}\x{0966}-\x{096f}\x{09e6}-\x{09ef}\x{ff01}-\x{ff5e}\x{2024}\x{3002}\x{fe52}\x{fe6b}]"
-    r"|(?i:[\[({<]\s*(?:at|dot)\s*[\])}>]|\sdot\s|" + _NUMBER + r"(?:[ ,-]{1,2}" + _NUMBER + r"){6})"
+    + rf"|(?i:[\[({{<]{_BLANK}*(?:at|{_BRACKETED_DOT}){_BLANK}*[\])}}>]|{_BLANK}dot{_BLANK}|" + _NUMBER + r"(?:[ ,-]{1,2}" + _NUMBER + r"){6})"
 )
 
 

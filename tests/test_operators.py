@@ -149,6 +149,16 @@ def test_page_checks(spark):
     assert got == {1: 1, 2: None, 3: None, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0}
 
 
+def test_closed_notices_anywhere_in_the_page(spark):
+    far = "<title>Gas Trader</title><p>" + "plain words " * 900 + "</p>"
+    notices = ["Applications are closed", "Job not found", "This posting is closed", "Closed for applications", "This job is no longer on our site", "We couldn't find that job", "This role has been filled", "The vacancy has closed"]
+    pages = [far + n for n in notices] + [far + "<script>var m = 'page not found'</script>", far, far + "search results", "<title>Jobs</title>Search results", "<title>Gas Trader</title>Search results", "<title>Jobs</title>" + far + "search results"]
+    rows = [(i, f"https://x/{i}", 200, f"https://x/{i}", h, "Gas Trader") for i, h in enumerate(pages)]
+    df = spark.createDataFrame(rows, "id long, url string, status int, final_url string, html string, title string")
+    got = {r.id: r.live for r in extract.checked_pages(df, "2024-01-31 00:00:00").collect()}
+    assert [got[i] for i in range(len(pages))] == [0] * 9 + [1, 1, 0, 1, 1]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("company,title,url\n A , T ,https://x\nB,U,\n")
     assert [(r.company, r.title, r.location) for r in registry_tables.inbox(spark, str(tmp_path / "a.csv")).collect()] == [("A", "T", "")]

@@ -50,13 +50,17 @@ def normalised(landed: DataFrame) -> DataFrame:
     known = F.create_map(*[F.lit(x) for k, (p, _) in SHAPES.items() for x in (k, p)])
     lists = F.coalesce(*[F.when(known[F.col("ats")] == p, F.col("v") if p == "$" else F.try_variant_get("v", p, "variant")) for p in sorted({p for p, _ in SHAPES.values()})])
     general = F.coalesce(F.when(F.startswith(F.schema_of_variant("v"), F.lit("ARRAY")), F.col("v")), *[F.try_variant_get("v", f"$.{k}", "variant") for k in LISTS])
-    oracle = F.try_variant_get("v", "$.items[0].requisitionList", "variant")
+    groups = F.transform(F.try_variant_get("v", "$.items", "array<variant>"), lambda g: F.coalesce(F.try_variant_get(g, "$.requisitionList", "array<variant>"), F.array().cast("array<variant>")))
+    oracle = F.to_variant_object(F.flatten(groups))
     rows = parsed.withColumn("list", F.when(F.col("ats") == "oracle", oracle).when(F.col("ats").isin(*SHAPES), lists).otherwise(general)).where("list is not null")
     rows.select("ats", "company", "url", "list").createOrReplaceTempView("__payloads")
     items = spark.sql("SELECT ats, company AS firm, url AS page, pos AS ord, value AS e FROM __payloads, LATERAL variant_explode(list)")
 
     def field(name: str) -> Column:
         own = []
+        other = {"location": F.array_join(F.try_variant_get("e", "$.locations", "array<string>"), ", "), "url": _text("e", "$.job_url")}.get(name)
+        if other is not None:
+            own.append(F.when((F.col("ats") == "eightfold") & (_text("e", SHAPES["eightfold"][1][name]) == ""), other))
         for ats, (_, fields) in SHAPES.items():
             p = fields.get(name)
             if p:
@@ -64,14 +68,16 @@ def normalised(landed: DataFrame) -> DataFrame:
         usual = {"title": ("title", "name", "jobTitle"), "location": ("location", "city", "locationName"), "url": ("url", "applyUrl", "link", "href"), "posted": ("posted", "datePosted", "publishedAt", "created_at")}.get(name)
         if usual:
             own.append(F.when(~F.col("ats").isin(*SHAPES, "oracle"), first_field(F.col("e"), usual)))
-        special = {"title": "$.Title", "location": "$.PrimaryLocation", "posted": "$.PostedDate"}.get(name)
+        special = {"title": ("Title", "title"), "location": ("PrimaryLocation", "Location"), "posted": ("PostedDate", "PostingStartDate")}.get(name)
         if special:
-            own.append(F.when(F.col("ats") == "oracle", _text("e", special)))
+            own.append(F.when(F.col("ats") == "oracle", first_field(F.col("e"), special)))
         return F.coalesce(*own, F.lit("")) if own else F.lit("")
 
+    oracle_id = F.coalesce(first_field(F.col("e"), ("Id", "id")), F.lit(""))
     url = (
         F.when(F.col("ats") == "smartrecruiters", F.concat(F.lit("https://jobs.smartrecruiters.com/"), _text("e", "$.company.identifier"), F.lit("/"), _text("e", "$.id")))
-        .when(F.col("ats") == "oracle", F.concat(F.regexp_extract("page", r"^(https?://[^/]+)", 1), F.lit("/hcmUI/CandidateExperience/en/sites/"), F.regexp_extract("page", r"siteNumber=([^,;&]+)", 1), F.lit("/job/"), _text("e", "$.Id")))
+        .when((F.col("ats") == "oracle") & ((oracle_id == "") | (F.col("page") == "")), F.lit(""))
+        .when(F.col("ats") == "oracle", F.concat(F.regexp_extract("page", r"^(https?://[^/]+)", 1), F.lit("/hcmUI/CandidateExperience/en/sites/"), F.coalesce(F.nullif(F.regexp_extract("page", r"siteNumber=([^,;&]+)", 1), F.lit("")), F.lit("CX_1")), F.lit("/job/"), oracle_id))
         .when(F.col("ats") == "workday", F.concat(F.regexp_replace("page", "/wday/cxs/([^/]+)/([^/]+)/jobs.*$", "/$2"), _text("e", "$.externalPath")))
         .otherwise(field("url"))
     )
@@ -136,7 +142,7 @@ def sample_payloads(spark: SparkSession) -> DataFrame:
         ("ashby", "Core", "", '{"jobs":[{"title":"Quant","location":"Bath","jobUrl":"https://a.example/3","publishedAt":"2024-01-05","compensation":{"compensationTierSummary":"£50,000"}}]}'),
         ("smartrecruiters", "Delta", "", '{"content":[{"name":"Clerk","id":"9","location":{"city":"York"},"company":{"identifier":"delta"},"releasedDate":"2024-01-01"}]}'),
         ("workable", "Echo", "", '{"jobs":[{"title":"Dev","city":"Ely","country":"UK","url":"https://w.example/5"}]}'),
-        ("oracle", "Fox", "https://fox.example/x?finder=siteNumber=CX_1,limit=5", '{"items":[{"requisitionList":[{"Id":"7","Title":"Ops","PrimaryLocation":"Rye","PostedDate":"2024-01-03"}]}]}'),
+        ("oracle", "Fox", "https://fox.example/x?finder=siteNumber=CX_1,limit=5", '{"items":[{"requisitionList":[{"Id":"7","Title":"Ops","PrimaryLocation":"Rye","PostedDate":"2024-01-03"}]},{"requisitionList":[{"Id":"8","Title":"Plant","PrimaryLocation":"Rye","PostedDate":"2024-01-04"}]}]}'),
         ("workday", "Gulf", "https://gulf.wd3.example.com/wday/cxs/gulf/Ext/jobs", '{"jobPostings":[{"title":"Risk","locationsText":"Ayr","externalPath":"/job/8","postedOn":"Posted Today"}]}'),
         ("adzuna", "", "", '{"results":[{"title":"Buyer","company":{"display_name":"Hope"},"location":{"display_name":"Deal"},"redirect_url":"https://z.example/9","created":"2024-01-04","salary_min":30000,"salary_max":0}]}'),
         ("pinpoint", "Iris", "", '{"data":[{"name":"Cook","city":"Bude","link":"https://p.example/10"}]}'),

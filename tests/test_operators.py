@@ -149,6 +149,21 @@ def test_page_checks(spark):
     assert got == {1: 1, 2: None, 3: None, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0}
 
 
+def test_payloads_of_several_items_and_of_other_fields(spark):
+    page = "https://fox.example/x?finder=siteNumber=CX_1,limit=5"
+    items = '{"items":[{"requisitionList":[{"Id":7,"Title":"Ops","PrimaryLocation":"Rye"},{"Id":"8","title":"Plant","Location":"Ely"}]},{"requisitionList":null},{"x":1},{"requisitionList":[{"id":"9","Title":"Desk","PostingStartDate":"2024-01-03"},{"Title":"No id"}]}]}'
+    eight = '{"positions":[{"name":"A","location":"Bath","locations":["Rye"],"canonicalPositionUrl":"https://e/1","job_url":"https://e/x"},{"name":"B","location":null,"locations":["Hull","York"],"job_url":"https://e/2"},{"name":"C"}]}'
+    landed = spark.createDataFrame([("oracle", "Fox", page, items), ("oracle", "None", page, '{"items":[]}'), ("oracle", "Odd", "", '{"items":{"requisitionList":[]}}'), ("eightfold", "Ate", "", eight)], "ats string, company string, url string, body string")
+    rows = payloads.normalised(landed).orderBy("source", "ord").collect()
+    site = "https://fox.example/hcmUI/CandidateExperience/en/sites/CX_1/job/"
+    assert [(r.title, r.location, r.url, r.posted) for r in rows] == [
+        ("A", "Bath", "https://e/1", ""), ("B", "Hull, York", "https://e/2", ""), ("C", "", "", ""),
+        ("Ops", "Rye", site + "7", ""), ("Plant", "Ely", site + "8", ""), ("Desk", "", site + "9", "2024-01-03"), ("No id", "", "", ""),
+    ]
+    assert [(r.ats, r.n) for r in payloads.job_counts(landed).orderBy("ats").collect()] == [("eightfold", 3), ("oracle", 4)]
+    assert {r.title for r in payloads.normalised(payloads.sample_payloads(spark)).where("source = 'oracle'").collect()} == {"Ops", "Plant"}
+
+
 def test_closed_notices_anywhere_in_the_page(spark):
     far = "<title>Gas Trader</title><p>" + "plain words " * 900 + "</p>"
     notices = ["Applications are closed", "Job not found", "This posting is closed", "Closed for applications", "This job is no longer on our site", "We couldn't find that job", "This role has been filled", "The vacancy has closed"]

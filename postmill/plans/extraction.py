@@ -120,8 +120,8 @@ def board_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def board_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "see https://boards.greenhouse.io/acme/jobs"), (2, "apply at jobs.lever.co/beta"), (3, "https://gamma.wd3.myworkdayjobs.com/en-US/External"), (4, "mailto:x@y")], "page_id long, html string")
-    return rows.select("page_id", web.first_label(F.col("html"), extract.BOARDS).alias("b")).select("page_id", "b.label", "b.token")
+    """The board of every page, beside a literal page for each board (ids below zero)."""
+    return extract.fingerprints(pages(spark, sf_dir).select("page_id", "html").unionByName(extract.sample_boards(spark)), "page_id")
 
 
 @query()

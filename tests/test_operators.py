@@ -149,6 +149,28 @@ def test_page_checks(spark):
     assert got == {1: 1, 2: None, 3: None, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0}
 
 
+def test_board_fingerprints(spark, tmp_path):
+    from postmill.plans import registry
+
+    labels = (
+        "greenhouse lever workday - - bullhorn jobadder vincere idibu loxo jobvite oracle greenhouse ashby smartrecruiters workable recruitee teamtailor personio breezy bamboohr rippling pinpoint comeet "
+        "jobvite eightfold icims taleo successfactors avature eploy oleeo tribepad applied brassring phenom"
+    ).split()
+    got = {r.page_id: (r.label, r.token) for r in extract.fingerprints(extract.sample_boards(spark), "page_id").collect()}
+    assert [got[-i][0] or "-" for i in range(1, len(got) + 1)] == labels
+    assert {got[-i][1].lower() for i in (1, 7, 8, 13, *range(14, 27))} == {"acme"} and got[-3][1] == "gamma/External" and got[-6][1] == "AB12" and got[-12][1] == "ab.fa.em2.oraclecloud.com/CX_1001"
+    cases = [
+        ('<script src="https://boards.greenhouse.io/embed/job_board/js?for=acme">', "greenhouse", "acme"), ("boards.greenhouse.io/embed/job_app?token=5&amp;for=acme", "greenhouse", "acme"), ("boards.greenhouse.io/embed/job_app?token=5", "greenhouse", ""),
+        ("www.bamboohr.com acme.breezy.hr www.breezy.hr", "breezy", "acme"), ("www.bamboohr.com acme.icims.com", "icims", ""), ("https://gamma.wd3.myworkdayjobs.com/wday/cxs/gamma jobs.lever.co/beta.", "lever", "beta"),
+        ("at gamma.wd3.myworkdayjobs.com", "workday", "gamma"), ("rippling.com/platform/api/ats/v1/board/acme", "rippling", "acme"), ("comeet.co/careers-api/2.0/company/A1.B2", "comeet", "A1.B2"), ("acme.recruitee.com https://g.wd1.myworkdayjobs.com/Site", "workday", "g/Site"),
+    ]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "page_id long, html string")
+    got = {r.page_id: (r.label, r.token) for r in extract.fingerprints(rows, "page_id").collect()}
+    assert [got[i] for i in range(len(cases))] == [c[1:] for c in cases]
+    rows.write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r.page_id for r in registry.QUERIES["board_fingerprints"](spark, str(tmp_path)).collect()} == {*range(len(cases)), *range(-len(labels), 0)}
+
+
 def test_payloads_of_several_items_and_of_other_fields(spark):
     page = "https://fox.example/x?finder=siteNumber=CX_1,limit=5"
     items = '{"items":[{"requisitionList":[{"Id":7,"Title":"Ops","PrimaryLocation":"Rye"},{"Id":"8","title":"Plant","Location":"Ely"}]},{"requisitionList":null},{"x":1},{"requisitionList":[{"id":"9","Title":"Desk","PostingStartDate":"2024-01-03"},{"Title":"No id"}]}]}'

@@ -134,7 +134,8 @@ def find_items(norm: bytes, bench: Benchmark) -> list[tuple[int, int, int, int]]
 
     Shared q-grams are counted by item and diagonal band; bands are as wide as twice the edit budget and overlap by
     half, so the matches of any region within the budget share one. Bands that reach the lemma's bound are
-    retained and their region is aligned along its diagonals.
+    retained and their region is aligned along its diagonals. A copy that follows at once is reported too; matches of
+    an item share a blank at most.
     """
     if not bench.ids:
         return []
@@ -168,23 +169,32 @@ def find_items(norm: bytes, bench: Benchmark) -> list[tuple[int, int, int, int]]
             low = (k - i * stride) * w - half * (w // 2) + base
             found.append((i, low, low + w))
     data = np.frombuffer(norm, np.uint8).astype(np.int16)
+
+    def beyond(floor: int, start: int, end: int) -> np.ndarray:
+        """A stretch of the text in which nothing before ``floor``, a match's end, can match again."""
+        part = data[start:end]
+        if start < floor:
+            part = part.copy()
+            part[:floor - start] = 256
+        return part
+
     out, done = [], {}
     for i, low, high in sorted(found):
         e, own = int(bench.budget[i]), bench.texts[i]
-        a = low - e
-        if i in done and a < done[i]:
+        a, floor = low - e, done.get(i, 0)
+        if high + e < floor:
             continue  # the region just reported
-        window = data[max(0, a):max(0, high + len(own) + e)]
+        window = beyond(floor, max(0, a), max(0, high + len(own) + e))
         if a < 0:
             window = np.concatenate([np.full(-a, 256, np.int16), window])
         hit = banded_edits(own, window, high - low + 2 * e, None, e)
         if hit:
             end = min(len(norm), a + len(own) + hit[1])
-            before = data[max(0, end - len(own) - e):end][::-1]
+            before = beyond(floor, max(0, end - len(own) - e), end)[::-1]
             back = banded_edits(own[::-1], np.concatenate([np.full(e, 256, np.int16), before]), 2 * e, e, FAR // 2)
             start = max(0, end - (len(own) + back[1] - e)) if back else max(0, end - len(own))
-            out.append((i, start, end, hit[0]))
-            done[i] = end
+            out.append((i, max(start, floor), end, hit[0]))
+            done[i] = end - 1  # the next copy may share the blank at this one's end
     return out
 
 

@@ -49,6 +49,21 @@ def test_items_within_the_budget_are_found_and_no_others():
             assert edits_brute(bench.texts[i], norm[max(0, s - 1):e + 1]) <= n and n == edits_brute(bench.texts[i], norm)
 
 
+def test_copies_that_follow_at_once_are_all_found():
+    rng = random.Random(8)
+    bench = D.Benchmark.build([(i, t) for i, t in ITEMS if t])
+    for n in range(60):
+        k = n % 2
+        source = bench.texts[k].decode().strip()
+        gap = " ".join(["", *["zq"] * (n % 5), ""])
+        copies = [mutate(rng, source, rng.randrange(4)) for _ in range(rng.randrange(1, 5))]
+        norm = D.normalise("klm nop " + gap.join(copies) + " qrs tuv")
+        got = [g for g in D.find_items(norm, bench) if g[0] == k]
+        assert len(got) == len(copies) and all(b[1] >= a[2] - 1 for a, b in zip(got, got[1:])), (copies, got)
+        for g, c in zip(got, copies):
+            assert g[3] <= edits_brute(bench.texts[k], D.normalise(c)) and abs(g[2] - g[1] - len(D.normalise(c))) <= 8
+
+
 def test_normalised_positions():
     for t in ["  Ab — c!", "", "…", "É x.Y", "a", "İstanbul «q» 12", "x　y"]:
         norm = D.normalise(t)

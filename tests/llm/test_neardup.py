@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from postmill.llm import neardup
@@ -88,11 +89,47 @@ def test_estimates_follow_jaccard():
         assert abs(np.mean(est) - j) < 0.03
 
 
-def test_block_intersections():
+def test_shared_counts():
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 80)).astype(np.uint64)) for _ in range(25)]
-    got = neardup.intersections(sets[:10], sets[5:], columns=64)
-    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[5 + j])) for i in range(10) for j in range(20))
+    sets = [np.unique(np.concatenate([rng.integers(0, 40, rng.integers(0, 30)), rng.integers(0, 5000, rng.integers(0, 60))])) for _ in range(60)]
+    for columns, run in ((4096, 1 << 22), (8, 7)):
+        got = neardup.shared_counts(sets[:25], sets[10:], columns, run)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[10 + j])) for i in range(25) for j in range(50))
+    assert neardup.shared_counts([np.zeros(0, np.int64)], [np.array([3])]).tolist() == [[0]]
+
+
+def test_a_group_of_near_copies_costs_rows_in_proportion(spark, monkeypatch):
+    """Doubling a group of near copies may not do much more than double what is read into the block comparisons."""
+    seen = []
+    across = neardup._across
+
+    def counted(percent):
+        run = across(percent)
+
+        def count(table):
+            out = run(table)
+            return pa.table({"a": pa.array([table.num_rows, *out.column("a").to_pylist()], pa.int64()), "b": pa.array([table.num_rows, *out.column("b").to_pylist()], pa.int64())})
+
+        return count
+
+    monkeypatch.setattr(neardup, "_across", counted)
+    keep = neardup.Scratch.__call__
+
+    def note(self, df, name):
+        out = keep(self, df, name)
+        if name == "links":
+            seen.append(out.where("a = b").agg({"a": "sum"}).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(neardup.Scratch, "__call__", note)
+    rows = []
+    for n in (300, 600):
+        rng = random.Random(5)
+        docs = list(enumerate(family(rng, n, 150, 12)))
+        seen.clear()
+        near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).count()
+        rows.append(max(seen))
+    assert 0 < rows[1] <= 2.5 * rows[0]
 
 
 def test_components_of_long_chains_and_stars(spark):

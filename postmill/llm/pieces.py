@@ -297,26 +297,90 @@ class Vocabulary:
                 v = b + (max(hit[1], self.unknown) if hit else self.unknown)
                 best[p + k] = v if best[p + k] is None else max(best[p + k], v) if isinstance(v, int) else np.maximum(best[p + k], v)
 
+    def _scores(self, body: str, ahead: str, v: list[int]) -> list:
+        """Best score at each position of ``body`` and, for pieces that start in it, of ``ahead``, from entry scores ``v``."""
+        best: list = [None] * (len(body) + self.longest)
+        for p, x in enumerate(v[:len(best)]):
+            if x > NEVER // 2:
+                best[p] = x
+        for p in range(len(body)):
+            self._extend(best, p, body + ahead)
+        return best
+
+    def _back(self, s: str, best: list, v: list[int], e: int, body: int) -> tuple[list[int], int]:
+        """Tokens of the path that ends at ``e`` and its entry; of equally good last pieces the longest, as in a whole text."""
+        out = []
+        while not (e < len(v) and v[e] == best[e]):  # a piece that began before is longer than any that begins here
+            for k in range(min(self.longest, e), 0, -1):
+                hit = self.table.get(s[e - k:e]) if e - k < body else None
+                if hit and best[e - k] is not None and best[e - k] + hit[1] == best[e]:
+                    out.append(hit[0])
+                    break
+            else:
+                k = 1
+                out.append(-1 - ord(s[e - 1]))
+            e -= k
+        return out[::-1], e
+
+    def _cuts_in(self, body: str) -> tuple[int, int] | None:
+        """The first and last forced cut of a chunk."""
+        if not self.cuts:
+            return None
+        at = [x.start() for x in re.finditer(r"(?<=[^ ]) ", body)]
+        return (at[0], at[-1]) if at else None
+
+    def entries(self, body: str, ahead: str, v: list[int]) -> list[int]:
+        """The entry of the best path to each exit of a chunk, given the best scores ``v`` at its entries; -1 where none leads there."""
+        cut, m = self._cuts_in(body), self.longest
+        if cut is None:
+            best = self._scores(body, ahead, v)
+            return [self._back(body + ahead, best, v, len(body) + j, len(body))[1] if best[len(body) + j] is not None else -1 for j in range(m)]
+        head = self._scores(body[:cut[0]], "", v)
+        entry = self._back(body[:cut[0]], head, v, cut[0], cut[0])[1]
+        tail = body[cut[1]:]
+        best = self._scores(tail, ahead, [0])
+        return [entry if best[len(tail) + j] is not None else -1 for j in range(m)]
+
+    def between(self, body: str, ahead: str, v: list[int], exit_: int) -> np.ndarray:
+        """Ids of the pieces that start in a chunk, on the path to ``exit_``."""
+        cut = self._cuts_in(body)
+        if cut is None:
+            return self.to_ids(self._back(body + ahead, self._scores(body, ahead, v), v, len(body) + exit_, len(body))[0])
+        head, middle, tail = body[:cut[0]], _UNITS.findall(body[cut[0]:cut[1]]), body[cut[1]:]
+        first = self.to_ids(self._back(head, self._scores(head, "", v), v, len(head), len(head))[0])
+        distinct: dict[str, int] = {}
+        code = [distinct.setdefault(u, len(distinct)) for u in middle]
+        ids, at, _ = self.encode_units(list(distinct))
+        last = self.to_ids(self._back(tail + ahead, self._scores(tail, ahead, [0]), [0], len(tail) + exit_, len(tail))[0])
+        return np.concatenate([first, *[ids[at[c]:at[c + 1]] for c in code], last]).astype(np.int32)
+
+    def to_ids(self, tokens: list[int]) -> np.ndarray:
+        """Ids of tokens, a character without a piece (-1 - code point) as the byte pieces of its UTF-8."""
+        out: list[int] = []
+        for t in tokens:
+            out += [t] if t >= 0 else self.byte_ids[list(chr(-1 - t).encode())].tolist()
+        return np.array(out, np.int32)
+
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The associative product of transfer matrices: cell (i, j) is the best a[i, k] + b[k, j]."""
     return np.maximum((a[:, :, None] + b[None, :, :]).max(1), NEVER)
 
 
-def scan_states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(entry, exit) of every chunk on the best path from entry 0 of the first to exit 0 of the last.
+def scan_scores(matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """The best score at each entry of every chunk: products of all matrices to its left, by doubling."""
+    start = np.full(matrices[0].shape[0], NEVER, np.int64)
+    start[0] = 0
+    return [start, *(p[0] for p in _prefixes(matrices, max_plus)[:-1])]
 
-    Products of matrices to the left of each chunk and to the right of it, both by doubling, give each chunk's
-    states on their own; ties go to the smaller entry.
-    """
-    left = _prefixes(matrices, lambda a, b: max_plus(a, b))
-    v = [np.where(np.arange(matrices[0].shape[0]) == 0, 0, NEVER)] + [p[0] for p in left[:-1]]
-    states, exit_ = [], 0
-    for k in range(len(matrices) - 1, -1, -1):
-        entry = int(np.argmax(v[k] + matrices[k][:, exit_]))
-        states.append((entry, exit_))
-        exit_ = entry
-    return states[::-1]
+
+def scan_exits(entries: list[np.ndarray]) -> list[int]:
+    """Each chunk's exit, from the map of exits to entries of the chunks behind it; the last one's is 0."""
+    exits, e = [], 0
+    for own in reversed(entries):
+        exits.append(e)
+        e = int(own[e])
+    return exits[::-1]
 
 
 def _prefixes(xs: list, combine) -> list:
@@ -348,7 +412,9 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int =
 
     Texts of up to ``chunk_chars`` characters are encoded where they lie. A longer one is cut into chunks that are dealt
     to all tasks: each gives a transfer matrix over its boundary states; one small task by document combines the
-    matrices (2 KB a chunk), and each chunk is then segmented between its two states on its own.
+    matrices (2 KB a chunk) into each chunk's entry scores; with these every chunk tells on its own which entry leads to
+    which exit; and once exits are known, it is segmented between its two states. Of equally good segmentations both
+    ways take the one whose last piece is longest, then the one before, and so on: ids don't depend on ``chunk_chars``.
 
     Null and empty texts have no ids. Repeated rows are encoded each. An empty table gives no rows. A column named
     ``ids`` in the input is replaced. Encoding keeps every character, so decoding gives the text back; with ``verify``
@@ -381,43 +447,48 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, chunk_chars: int =
 
 def giant_chunks(giants: DataFrame, vocabulary: Vocabulary, chunk_chars: int) -> DataFrame:
     """(__row, chunk, ids) of every chunk of the long texts (__row, text)."""
-    spark = giants.sparkSession
-    held = spark.sparkContext.broadcast(vocabulary)
+    held = giants.sparkSession.sparkContext.broadcast(vocabulary)
     m = vocabulary.longest
-    length = F.char_length("text") + 1
-    cut = (
-        giants.withColumn("text", F.concat(F.lit(" "), "text"))
-        .select("__row", "text", F.explode(F.sequence(F.lit(0), F.floor((length - 1) / chunk_chars).cast("int"))).alias("chunk"))
-        .select("__row", "chunk", F.substr("text", F.col("chunk") * chunk_chars + 1, F.lit(chunk_chars + m)).alias("text"), (F.floor((length - 1) / chunk_chars) == F.col("chunk")).alias("last"))
-    )
-    pieces, _ = materialise(cut.repartition(F.xxhash64("__row", "chunk")), "chunks")
-
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = held.value
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = []
-            for s, last in zip(batch.column("text").to_pylist(), batch.column("last").to_pylist()):
-                body, ahead = s[:chunk_chars], "" if last else s[chunk_chars:chunk_chars + m - 1]
-                cells.append(voc.transfer(body, ahead).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column("chunk"), pa.array(cells, pa.binary())], ["__row", "chunk", "cells"])
+            for row, text in zip(batch.column("__row"), batch.column("text")):
+                s = " " + text.as_py()
+                n = -(-len(s) // chunk_chars)
+                for a in range(0, n, 64):  # about 64 chunks leave at a time
+                    ks = range(a, min(n, a + 64))
+                    bodies = [s[k * chunk_chars:(k + 1) * chunk_chars] for k in ks]
+                    aheads = [s[(k + 1) * chunk_chars:(k + 1) * chunk_chars + m - 1] for k in ks]
+                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(ks), pa.int64()), pa.array(list(ks), pa.int32()), pa.array(bodies, pa.string()), pa.array(aheads, pa.string())], ["__row", "chunk", "body", "ahead"])
 
-    def scan(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
-        states = scan_states([np.frombuffer(c, np.int64).reshape(m, m) for c in table.column("cells").to_pylist()])
-        return pa.table({"__row": table.column("__row"), "chunk": table.column("chunk"), "entry": pa.array([s[0] for s in states], pa.int32()), "exit": pa.array([s[1] for s in states], pa.int32())})
+    pieces, _ = materialise(giants.mapInArrow(cut, "__row long, chunk int, body string, ahead string").repartition(F.xxhash64("__row", "chunk")), "chunks")
 
-    states, _ = materialise(
-        pieces.mapInArrow(matrices, "__row long, chunk int, cells binary").groupBy("__row").applyInArrow(scan, "__row long, chunk int, entry int, exit int"), "states"
-    )
+    def each(function, out: str, *more: str):
+        """A function of a chunk's columns, over batches."""
 
-    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = held.value
-        for batch in batches:
-            texts = [s[a:chunk_chars + b] for s, a, b in zip(*(batch.column(c).to_pylist() for c in ("text", "entry", "exit")))]
-            ids, _ = voc.encode(pa.array(texts, pa.string()), prefix=False)
-            yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column("chunk"), ids], ["__row", "chunk", "ids"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            voc = held.value
+            for batch in batches:
+                cells = [function(voc, *x) for x in zip(*(batch.column(c).to_pylist() for c in ("body", "ahead", *more)))]
+                yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column("chunk"), pa.array(cells, pa.list_(pa.int32()) if out == "ids" else pa.list_(pa.int64()))], ["__row", "chunk", out])
+
+        return run
 
-    return pieces.join(states, ["__row", "chunk"]).select("__row", "chunk", "text", "entry", "exit").mapInArrow(between, "__row long, chunk int, ids array<int>")
+    def scores(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        v = scan_scores([np.array(c, np.int64).reshape(m, m) for c in table.column("cells").to_pylist()])
+        return pa.table({"__row": table.column("__row"), "chunk": table.column("chunk"), "v": pa.array([x.tolist() for x in v], pa.list_(pa.int64()))})
+
+    def exits(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        return pa.table({"__row": table.column("__row"), "chunk": table.column("chunk"), "exit": pa.array(scan_exits(table.column("entries").to_pylist()), pa.int32())})
+
+    by, key = ["__row", "chunk"], "__row long, chunk int"
+    matrices = pieces.mapInArrow(each(lambda voc, body, ahead: voc.transfer(body, ahead).ravel().tolist(), "cells"), f"{key}, cells array<long>")
+    entry, _ = materialise(matrices.groupBy("__row").applyInArrow(scores, f"{key}, v array<long>"), "entry-scores")
+    maps = pieces.join(entry, by).mapInArrow(each(Vocabulary.entries, "entries", "v"), f"{key}, entries array<long>")
+    states, _ = materialise(maps.groupBy("__row").applyInArrow(exits, f"{key}, exit int"), "exits")
+    return pieces.join(entry, by).join(states, by).mapInArrow(each(Vocabulary.between, "ids", "v", "exit"), f"{key}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:

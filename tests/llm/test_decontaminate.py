@@ -35,7 +35,7 @@ def mutate(rng, text, n):
 def test_items_within_the_budget_are_found_and_no_others():
     rng = random.Random(6)
     bench = D.Benchmark.build([(i, t) for i, t in ITEMS if t])
-    assert bench.ids == [1, 2]
+    assert bench.ids == [1, 2, 3]
     for _ in range(120):
         k = rng.randrange(2)
         source = bench.texts[k].decode()
@@ -82,7 +82,7 @@ def test_rows(spark, docs_of):
     assert [[m.item_id for m in got[i]] for i in range(7)] == [[1], [], [], [], [1], [1], [1]]
     m = got[0][0]
     assert texts[0][m.start:m.end].startswith("WHAT IS") and texts[0][m.start:m.end].endswith("RIVER") and m.edits == 0
-    many = {r.doc_id: [m.item_id for m in r.matches] for r in D.contamination(docs_of(texts), bench, block_bytes=10, blocks_each=1).collect()}
+    many = {r.doc_id: [m.item_id for m in r.matches] for r in D.contamination(docs_of(texts), bench, block_bytes=10).collect()}
     assert many == {k: [m.item_id for m in v] for k, v in got.items()}
     left = D.drop_contaminated(docs_of(texts, extra=True), bench)
     assert sorted(r.doc_id for r in left.collect()) == [1, 2, 3] and left.columns == docs_of(texts, extra=True).columns
@@ -90,6 +90,43 @@ def test_rows(spark, docs_of):
     assert all(r.matches == [] for r in D.contamination(docs_of(texts), bench.limit(0)).collect())
 
 
+def test_short_items_are_found_whole(spark, docs_of):
+    items = [(1, "blue moon tea"), (2, "tiny"), (3, "a b"), (4, "no"), (5, "Blue moon"), (6, "...")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["we drank Blue-Moon  tea.", "tinyish notes", "TINY!", "say no, no", "a (b) a b", "blue moons", None, ""]
+    want = [[1, 5], [], [2], [4, 4], [3, 3], [], [], []]
+    for held in (1_000_000, 0):
+        got = {r.doc_id: [m.item_id for m in r.matches] for r in D.contamination(docs_of(texts), bench, held_bytes=held).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_a_large_benchmark_is_joined_with_the_same_matches(spark, docs_of):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7)))
+    items = [(i, " ".join(word() for _ in range(rng.randrange(1, 16)))) for i in range(300)]
+    items += [(7, items[7][1]), (301, "of the " * 9)]
+    texts = []
+    for k in range(150):
+        inner = mutate(rng, items[rng.randrange(len(items))][1], rng.randrange(6)) if k % 2 else ""
+        texts.append(" ".join(word() for _ in range(30)) + " of the " + inner + " " + " ".join(word() for _ in range(30)))
+    texts += [None, "", texts[1]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    small = D.contamination(docs_of(texts, extra=True), bench, block_bytes=200)
+    large = D.contamination(docs_of(texts, extra=True), bench, held_bytes=0)
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    a, b = (D.drop_contaminated(docs_of(texts, extra=True), bench, held_bytes=h) for h in (1_000_000, 0))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.columns == b.columns
+    assert D.contamination(docs_of(texts), bench.where("text = '...'"), held_bytes=-1).where("size(matches) > 0").count() == 0
+
+
+def test_python_stages_do_not_grow_with_the_benchmark(spark, docs_of):
+    plans = []
+    for n in (10, 1000):
+        bench = spark.createDataFrame([(i, f"item number {i} of a benchmark that goes on with more and more items {i * 7919}") for i in range(n)], "item_id long, text string")
+        plans += [D.contamination(docs_of(["some text"]), bench, block_bytes=200, held_bytes=h)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for h in (10_000_000, 0)]
+    assert plans[:2] == plans[2:] and plans[0] == 1
+
+
 def test_qgrams_are_windows():
     data = b" abcabcabc "
     g = D.qgrams(data, 4)

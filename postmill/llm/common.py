@@ -45,7 +45,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1
 def wide_rows(df: DataFrame, rows: int = 2000) -> None:
     """Hold the session's Arrow batches to ``rows`` rows: texts are wide, and a batch stays in memory whole.
 
-    A smaller setting of the user's stays.
+    A smaller setting of the user's stays. The setting holds for the session, so every operator that calls this changes it.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= rows:
@@ -121,16 +121,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50, weight: np.ndarray | None = None) -> np.ndarray:
     """Newton's method for a ridge-penalised logistic regression; the last coefficient is the intercept."""
     a = np.column_stack([x, np.ones(len(x))])
+    each = np.ones(len(x)) if weight is None else weight
     w = np.zeros(a.shape[1])
     pen = np.full(a.shape[1], ridge)
     pen[-1] = 1e-9
     for _ in range(steps):
         p = sigmoid(a @ w)
-        g = a.T @ (p - y) + pen * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(pen + 1e-9)
+        g = a.T @ (each * (p - y)) + pen * w
+        h = (a * (each * p * (1 - p))[:, None]).T @ a + np.diag(pen + 1e-9)
         step = np.linalg.solve(h, g)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:

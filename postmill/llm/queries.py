@@ -22,7 +22,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pii.span_digest(secrets.find_secrets(docs, secrets.train_markov(docs)), secrets.KINDS)
+    return pii.span_digest(secrets.find_secrets(docs, secrets.train_markov(docs, table(spark, sf_dir, "labels"))), secrets.KINDS)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import text_slices, wide_rows
+from postmill.llm.common import labelled_sample, text_slices, wide_rows
 
 KINDS = ("assign", "access", "hex")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LEAST = 16
+BUILT_IN = "item value index name count page file user order total first last next start end table row column text word line list map key node path url link image label title date time size width height color state error result".split()
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -35,11 +36,16 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
 
 @dataclass
 class MarkovModel:
-    """First-order chains over the alphabet: one for identifiers, one for each family of random strings."""
+    """First-order chains over the alphabet: one for identifiers, one for each family of random strings.
+
+    Precision and recall are those of the held-out half of the labelled samples, random strings against as many identifiers.
+    """
 
     identifier: np.ndarray
     families: list[np.ndarray]
     threshold: float
+    precision: float = float("nan")
+    recall: float = float("nan")
 
     def ratio(self, token: str) -> float:
         """Log-likelihood ratio of the best random family against the identifiers' chain."""
@@ -81,7 +87,7 @@ def random_strings(n: int = 4000, seed: int = 7) -> list[list[str]]:
 def identifiers(words: list[str], n: int = 20000, seed: int = 11) -> list[str]:
     """Labelled samples of ordinary identifiers: words as they are, and joined the way names, paths and keys are."""
     rng = np.random.default_rng(seed)
-    words = [w for w in words if w.isascii() and w.isalpha()] or ["item", "value", "index", "name", "count", "page", "file"]
+    words = [w for w in words if w.isascii() and w.isalpha()] or BUILT_IN
     out = [w for w in words if len(w) >= 4][: n // 2]
     for _ in range(n):
         k = int(rng.integers(2, 5))
@@ -103,22 +109,38 @@ def identifiers(words: list[str], n: int = 20000, seed: int = 11) -> list[str]:
     return out
 
 
-def train_markov(docs: DataFrame, sample_docs: int = 2000, sample_words: int = 20000, text_col: str = "text") -> MarkovModel:
-    """Fit the chains: random strings come labelled from a generator, ordinary words from about ``sample_docs`` documents.
+def train_markov(docs: DataFrame, labels: DataFrame | None = None, cap: int = 2000, sample_words: int = 20_000) -> MarkovModel:
+    """Fit the chains on labelled samples: random strings by family, and identifiers.
 
-    The documents are chosen by a hash of their text, in the scan: no rows move for it, and every run takes the same.
+    Random strings are labelled by the generator that makes them. Identifiers are made of words that at least two of
+    about ``cap`` documents of label ``quality`` 1 hold, ``sample_words`` of them at most (both bound the labelled
+    sample; held-out documents stay out); so a secret that stands in one document is no word. Without labels, or if
+    they give no words, a few built-in words serve.
 
-    The threshold is the largest ratio that the labelled identifiers reach, and 12 nats at least.
+    Every second sample of each kind fits the chains; the others give the threshold (the ratio that one in two thousand
+    held-out identifiers exceeds, and 12 nats at least), precision and recall.
     """
-    share = int(min(1.0, sample_docs / max(1, docs.count())) * (1 << 20))
-    words = (
-        docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(1 << 20)) < share))
-        .select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)))).alias("w"))
-        .distinct().orderBy(F.xxhash64("w"), "w").limit(sample_words)
-    )
-    names = identifiers([r["w"] for r in words.collect()])
-    model = MarkovModel(chain(names), [chain(f) for f in random_strings()], 0.0)
-    model.threshold = max(12.0, max(model.ratio(s) for s in names if len(s) >= LEAST) if any(len(s) >= LEAST for s in names) else 0.0)
+    words: list[str] = []
+    if labels is not None:
+        texts, _ = labelled_sample(docs, labels, "quality", cap)
+        held = (
+            texts.where("y = 1").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)))).alias("w"))
+            .groupBy("w").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.xxhash64("w"), "w").limit(sample_words)
+        )
+        words = [r["w"] for r in held.collect()]
+    return fit_markov(identifiers(words), random_strings())
+
+
+def fit_markov(names: list[str], families: list[list[str]]) -> MarkovModel:
+    """Chains from the even samples, threshold and quality from the odd ones."""
+    model = MarkovModel(chain(names[::2]), [chain(f[::2]) for f in families], 12.0)
+    own = np.array([model.ratio(x) for x in names[1::2] if len(x) >= LEAST])
+    other = np.array([model.ratio(x) for f in families for x in f[1::2] if len(x) >= LEAST])
+    if len(own):
+        model.threshold = max(12.0, float(np.quantile(own, 0.9995, method="higher")))
+        wrong = float((own > model.threshold).mean())
+        model.recall = float((other > model.threshold).mean()) if len(other) else float("nan")
+        model.precision = model.recall / max(1e-12, model.recall + wrong)
     return model
 
 
@@ -158,7 +180,8 @@ def find_secrets(docs: DataFrame, model: MarkovModel, id_col: str = "doc_id", te
 
     ``base`` marks what the patterns find. Every other run of 16 or more characters of the alphabet that overlaps
     none of them is judged by the Markov models (kind ``markov``). A null text counts as empty; repeated rows are
-    answered each; an empty table gives no rows; other columns are ignored. Nothing is shuffled.
+    answered each; an empty table gives no rows; other columns are ignored. Texts of any length are read whole, and
+    nothing is shuffled. Of spans that start together the kind listed first comes first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,7 +58,8 @@ class ToxicModel:
 
     def token_score(self, word: str) -> float:
         """The score of the word's best supported key, else the drift."""
-        best = max((self.score_of[k] for k in word_keys(plain_word(word)) if k in self.score_of), key=lambda x: x[1], default=(self.drift, 0.0))
+        keys = word_keys(plain_word(word))
+        best = max((self.score_of[k] for k in [*keys[:1], *keys[:0:-1]] if k in self.score_of), key=lambda x: x[1], default=(self.drift, 0.0))
         return best[0]
 
     def p_value(self, score: float, tokens: int) -> float:
@@ -98,7 +99,7 @@ class ToxicModel:
         out[:, 0] = -5
         for i, (n, found) in enumerate(zip(tokens.tolist(), segments)):
             if found:
-                norm = np.sort([self.scale * v for *_, v in found])[::-1][:200] - self.log_k - np.log(max(n, 1))
+                norm = np.sort([self.scale * v for *_, v in found])[::-1] - self.log_k - np.log(max(n, 1))
                 r = np.arange(1, len(norm) + 1)
                 x = np.maximum(np.cumsum(norm), 1e-6)
                 log_fact = np.concatenate([[0.0], np.cumsum(np.log(r))])
@@ -131,14 +132,14 @@ def word_keys(word: str, shortest: int = 3, longest: int = 8) -> list[str]:
 
 
 def train_toxicity(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", cap: int = 6000, vocabulary: int = 20_000, prior_strength: float = 500.0, z: float = 3.5, least_ratio: float = 1.5,
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", cap: int = 6000, prior_strength: float = 500.0, z: float = 3.5, least_ratio: float = 1.5,
 ) -> ToxicModel:
     """Fit on at most about ``cap`` labelled documents of each class outside the held-out rows.
 
     One half of them (by a hash of the text, so equal texts stay together) gives, for the fit of the calibration, the log-odds ratio of each word and
     of each stem, with an informative Dirichlet prior (half a document, plus a share by the key's frequency over both
-    classes). At most ``vocabulary`` keys keep a score: those ``z`` standard deviations or more from zero whose ratio
-    is below 0 or at least ``least_ratio``. A token takes its best supported key's score; without one, the drift. The
+    classes). Keys keep a score that lie ``z`` standard deviations or more from zero and whose ratio
+    is below 0 or at least ``least_ratio``; the sample's bound is theirs too. A token takes its best supported key's score; without one, the drift. The
     other half gives the extreme-value law (from its clean texts) and the calibration of the score. The final scores
     come from both halves.
     """
@@ -182,7 +183,7 @@ def train_toxicity(
         ratio = F.log((a + alpha) / (n1 + prior_strength - a - alpha)) - F.log((b + alpha) / (n0 + prior_strength - b - alpha))
         top = (
             by_word.select("word", ratio.alias("d"), (ratio / F.sqrt(1 / (a + alpha) + 1 / (b + alpha))).alias("z"))
-            .where((F.abs("z") >= z) & ((F.col("d") >= least_ratio) | (F.col("d") < 0))).orderBy(F.abs("z").desc(), "word").limit(vocabulary).collect()
+            .where((F.abs("z") >= z) & ((F.col("d") >= least_ratio) | (F.col("d") < 0))).collect()
         )
         return {r["word"]: (float(np.clip(r["d"], -1.0, 4.0)), abs(r["z"])) for r in top}
 
@@ -220,9 +221,7 @@ def train_toxicity(
     segs = [[(0, int(w), float(v)) for v, w in zip(r["v"], r["w"])] for r in rows]
     stats = model.statistics(tokens, segs)
     w = np.array([weight[int(v)] for v in y])
-    reps = np.maximum(1, np.round(w / w.min())).astype(int)
-    reps = np.minimum(reps, 50)
-    model.calibration = tuple(fit_logistic(np.repeat(stats, reps, 0), np.repeat(y, reps), ridge=0.1))
+    model.calibration = tuple(fit_logistic(stats, y, ridge=0.1, weight=w / w.min()))
     model.score_of = final
     return model
 
@@ -231,8 +230,9 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text") -
     """doc_id, score (0 to 1), predicted (score of 0.5 or more) and the significant toxic passages of every document.
 
     Passages are spans of code points with their segment score and p-value, in text order. Null and empty texts get
-    the score of a text without any segment; repeated rows are scored each; an empty table gives no rows; other
-    columns are ignored. The scan is linear in a text's length and nothing is shuffled.
+    the score of a text without any segment; repeated rows are scored each, alike; an empty table gives no rows; other
+    columns are ignored, also those of the result's names. A word that several keys fit takes the best supported one's
+    score, of equally supported ones the longest. The scan is linear in a text's length and nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

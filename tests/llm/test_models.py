@@ -66,6 +66,34 @@ def test_toxicity_and_quality(spark):
     assert {r.doc_id: r.score for r in q}[9001] == {r.doc_id: r.score for r in q}[9002]
 
 
+def test_toxic_scores_equal_brute_force(spark):
+    """Segments by their recursive definition over every token, and the extreme-value sums as their formulas stand."""
+    import math
+    import re
+
+    docs, labels = corpus(spark, 300)
+    model = toxicity.train_toxicity(docs, labels)
+    long = " ".join(["river", "grumbleworth", "snarkle snarkle"] * 700)
+    rows = [(r.doc_id, r.text) for r in docs.limit(40).collect()] + [(9001, None), (9002, ""), (9003, long), (9003, long), (9004, "grumbleworth")]
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as score", "1 as passages"), model).collect()
+    assert len(got) == len(rows)
+    score = {r.doc_id: r.score for r in got}
+    for d, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        each = [model.token_score(w.lower()) for w in words]
+        each = [min(x, model.drift) if k and words[k].lower() == words[k - 1].lower() else x for k, x in enumerate(each)]
+        norm = sorted((model.scale * v - model.log_k - math.log(max(len(words), 1)) for *_, v in toxicity.maximal_segments(each)), reverse=True)
+        best, total = 0.0, 0.0
+        for r, v in enumerate(norm, 1):
+            total += v
+            x = max(total, 1e-6)
+            if x >= r:
+                best = max(best, x - (r - 1) * math.log(x) + math.lgamma(r + 1) + math.lgamma(r))
+        stats = [min(20, max(-5, norm[0])) if norm else -5, min(50.0, best)]
+        w = model.calibration
+        assert abs(score[d] - 1 / (1 + math.exp(-(stats[0] * w[0] + stats[1] * w[1] + w[2])))) < 1e-9, d
+
+
 def test_models_without_labels(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = docs_of(["a b c", None, ""])

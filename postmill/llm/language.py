@@ -96,15 +96,15 @@ class CodeModel:
         return e / e.sum(1, keepdims=True)
 
 
-def train_language(docs: DataFrame, cap: int = 1500, modulus: int = 4, remainder: int = 2) -> CodeModel:
-    """Fit on about ``cap`` documents of each language outside the held-out rows.
+def train_language(docs: DataFrame, cap: int = 1500, modulus: int = 4, remainder: int = 2, most: int = 500) -> CodeModel:
+    """Fit on about ``cap`` documents of each of the ``most`` most frequent languages outside the held-out rows.
 
     For each bit of the codewords, the n-gram counts of the languages on its two sides give a smoothed log ratio by
     n-gram (languages count alike); a logistic fit of the mean ratios calibrates the bit and shows how far to trust it.
     """
     # counts need no texts, so the scan for them reads two narrow columns
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
-    known = {(r["lang"],): r["count"] for r in rows.groupBy("lang").count().collect()}
+    known = {(r["lang"],): r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     languages = sorted(k[0] for k in known)
     if not languages:
         return CodeModel([], np.ones((0, 1)), np.zeros((BINS, 1)), np.ones(1), np.zeros(1), np.ones(1))

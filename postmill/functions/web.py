@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmill.functions.fixed import ASSIGNED, CAREERS_HOSTS, CAREERS_PATHS, JSON_SCRIPT, NEXT_DATA, NEXT_FLIGHT
 from postmill.functions.text import present, squeeze
 
 ANCHOR = r"""(?is)<a\b[^>]*?href=["']([^"']+)["'][^>]*>(.*?)</a>"""
 JSON_LD = r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"
-#: Where a careers page usually lives.
-CAREERS_PATHS = ("", "/careers", "/jobs", "/careers/jobs", "/about/careers", "/join-us", "/vacancies", "/work-with-us")
-CAREERS_HOSTS = ("careers", "jobs", "join", "work")
 
 
 def host(url: Column) -> Column:
@@ -61,14 +59,28 @@ def json_ld(html: Column) -> Column:
 
 
 def state_blobs(html: Column) -> Column:
-    """array<variant> of the state that page frameworks embed: next data, JSON scripts, and window assignments."""
-    patterns = (
-        r"""(?is)<script[^>]+id=["']__NEXT_DATA__["'][^>]*>(.*?)</script>""",
-        r"""(?is)<script[^>]+type=["']application/json["'][^>]*>(.*?)</script>""",
-        r"(?is)window\.__[A-Z0-9_]+__\s*=\s*(\{.*?\})\s*;?\s*</script>",
+    """array<variant> of the state that page frameworks embed: next data, JSON scripts, streamed strings and window assignments."""
+    of = lambda p: F.regexp_extract_all(present(html), F.lit(p), F.lit(1))
+    whole = F.array_distinct(F.concat(of(NEXT_DATA), of(JSON_SCRIPT)))
+    # a streamed string is JSON text in which the payload is quoted once more
+    inner = F.transform(of(NEXT_FLIGHT), lambda b: F.regexp_extract(present(F.try_variant_get(F.try_parse_json(b), "$", "string")), r"(?s)\{.*\}", 0))
+    found = F.concat(whole, inner, of(ASSIGNED))
+    return F.filter(F.transform(found, lambda b: F.try_parse_json(F.trim(b))), lambda v: v.isNotNull())
+
+
+def joined_link(link: Column, field: Column, page: Column) -> Column:
+    """A page's link as an address: as it is, on the page's host, or below the page for a slug; empty for a sentence.
+
+    ``field`` is the name the link came under. Links of several parts without a leading slash resolve below the page too.
+    """
+    l = present(link)  # noqa: E741
+    root = F.concat(F.try_parse_url(page, F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url(page, F.lit("AUTHORITY")))
+    below = F.concat(F.regexp_replace(page, "/+$", ""), F.lit("/"))
+    return (
+        F.when(l == "", "").when(F.startswith(l, F.lit("http")), l).when(F.startswith(l, F.lit("//")), F.concat(present(F.try_parse_url(page, F.lit("PROTOCOL"))), F.lit(":"), l))
+        .when(F.startswith(l, F.lit("/")), F.concat(present(root), l)).when((field == "slug") | (~F.contains(l, F.lit(" ")) & ~F.contains(l, F.lit("/"))), F.concat(below, F.regexp_replace(l, "^/+", "")))
+        .when(F.contains(l, F.lit(" ")), "").otherwise(F.concat(below, l))
     )
-    found = F.flatten(F.array(*[F.regexp_extract_all(present(html), F.lit(p), F.lit(1)) for p in patterns]))
-    return F.filter(F.transform(F.array_distinct(found), lambda b: F.try_parse_json(F.trim(b))), lambda v: v.isNotNull())
 
 
 def json_body(status: Column, content_type: Column, body: Column) -> Column:

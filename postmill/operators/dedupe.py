@@ -7,26 +7,27 @@ from pyspark.sql import functions as F
 
 from postmill.functions import text as T
 from postmill.functions.web import url_key
+from postmill.session import materialise
 
 
 def url_collapse(rows: DataFrame, url: str = "url", score: str = "score", seq: str = "seq") -> DataFrame:
-    """The best row of each URL; rows without one all stay, and don't take part in the shuffle's groups."""
-    keyed = rows.withColumn("__u", url_key(F.col(url)))
+    """The best row of each URL; rows without one all stay, each a group of its own, so the rows are made once."""
+    key = F.coalesce(F.nullif(url_key(F.col(url)), F.lit("")), F.concat(F.lit("\n"), F.col(seq).cast("string")))
     w = Window.partitionBy("__u").orderBy(F.desc(score), seq)
-    best = keyed.where("__u <> ''").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    return best.unionByName(keyed.where("__u = ''")).drop("__u")
+    return rows.withColumn("__u", key).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__u")
 
 
 def description_collapse(rows: DataFrame, company: str, title: str, description: str, score: str = "score", seq: str = "seq", least: int = 400) -> DataFrame:
     """Without rows that repeat the best row of their firm and description under a title that contains, or lies in, its title.
 
-    Short descriptions have no fingerprint and are never merged, so they skip the window.
+    Short descriptions have no fingerprint and are never merged: each is a group of its own. One window, so the rows and
+    their scores are made once.
     """
-    keyed = rows.withColumns({"__c": T.norm(company), "__fp": T.fingerprint(description, least), "__t": F.array_distinct(F.split(T.norm(title), " "))})
+    key = F.coalesce(T.fingerprint(description, least), F.concat(F.lit("\n"), F.col(seq).cast("string")))
+    keyed = rows.withColumns({"__c": T.norm(company), "__fp": key, "__t": F.array_distinct(F.split(T.norm(title), " "))})
     w = Window.partitionBy("__c", "__fp").orderBy(F.desc(score), seq)
-    full = keyed.where("__fp is not null").withColumns({"__n": F.row_number().over(w), "__keep": F.first("__t").over(w)})
-    full = full.where((F.col("__n") == 1) | ~T.either_contains(F.col("__t"), F.col("__keep"))).drop("__n", "__keep")
-    return full.unionByName(keyed.where("__fp is null")).drop("__c", "__fp", "__t")
+    full = keyed.withColumns({"__n": F.row_number().over(w), "__keep": F.first("__t").over(w)})
+    return full.where((F.col("__n") == 1) | ~T.either_contains(F.col("__t"), F.col("__keep"))).drop("__n", "__keep", "__c", "__fp", "__t")
 
 
 def cap_per_group(rows: DataFrame, group: list[Column | str], cap: int | None, order: list[Column | str]) -> DataFrame:
@@ -40,6 +41,7 @@ def cap_per_group(rows: DataFrame, group: list[Column | str], cap: int | None, o
 def two_sections(rows: DataFrame, group: Column | str, threshold: int, least: int, cap: int, top: int, key: str = "id", score: str = "score", seq: str = "seq") -> DataFrame:
     """``shortlist``: rows from the threshold, capped by group, best ``top``; ``rest``: others from ``least``, best ``top``."""
     order = [F.desc(score), seq]
+    rows, _ = materialise(rows, "sections")  # read three times
     short = cap_per_group(rows.where(F.col(score) >= threshold), [group], cap, order).orderBy(*order).limit(top).withColumn("section", F.lit("shortlist"))
     rest = rows.where(F.col(score) >= least).join(short.select(key), key, "left_anti").orderBy(*order).limit(top).withColumn("section", F.lit("rest"))
     return short.unionByName(rest)
@@ -73,16 +75,17 @@ def even_sample(rows: DataFrame, n: int, order: str) -> DataFrame:
 
     Positions come from counts by range partition, so no task sees all rows.
     """
-    total = rows.count()
-    if total <= n:
-        return rows
-    ranged = rows.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
+    # range bounds are sampled anew on every run, so counts and positions must come from one written table
+    ranged, _ = materialise(rows.repartitionByRange(order).withColumn("__p", F.spark_partition_id()), "ranged")
     sizes = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}
+    total = sum(sizes.values())
+    if total <= n:
+        return ranged.drop("__p")
     start, pairs = 0, []
     for p in sorted(sizes):
         pairs += [F.lit(p), F.lit(start)]
         start += sizes[p]
     at = F.create_map(*pairs)[F.col("__p")] + F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
     step = total / n
-    wanted = F.array(*[F.lit(int(i * step)) for i in range(n)])
-    return ranged.withColumn("__at", at).where(F.array_contains(wanted, F.col("__at").cast("int"))).drop("__at", "__p")
+    wanted = F.array(*[F.lit(int(i * step)).cast("long") for i in range(n)])
+    return ranged.withColumn("__at", at).where(F.array_contains(wanted, F.col("__at").cast("long"))).drop("__at", "__p")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.functions import dates, fixed
 from postmill.functions.text import present
 
 
@@ -128,3 +129,44 @@ def all_terms(terms: list[str], *columns: str) -> Column:
     for t in terms:
         out = out & F.greatest(*[F.contains(F.lower(present(c)), F.lit(t.lower())) for c in columns]) if len(columns) > 1 else out & F.contains(F.lower(present(columns[0])), F.lit(t.lower()))
     return out
+
+
+def retroactive(rows: DataFrame, as_of: Column, title: str | None = None, wanted: CollectionRules | None = None, max_years: int | None = None, max_open: int | None = None) -> DataFrame:
+    """Stored rows (title, location, years_required, posted, valid_through) with ``cut``: the first rule that no longer lets them through, or null.
+
+    In order: an excluded title, the collection rules as they are now, more years of experience than wanted, and open for
+    longer than wanted by the posting's own date without a closing date. A row has one reason, so counts add up.
+    """
+    steps = []
+    if title:
+        steps.append((F.rlike(present("title"), F.lit(title)), "title"))
+    if wanted is not None:
+        steps.append((wanted.verdict(F.col("title"), F.col("location")).isNotNull(), "no longer matches the current rules"))
+    if max_years is not None:
+        steps.append((F.col("years_required") > max_years, f">{max_years}y experience"))
+    if max_open is not None:
+        steps.append(((dates.days_since(F.col("posted"), as_of) > max_open) & (present("valid_through") == ""), f"open >{max_open}d with no close date"))
+    return rows.withColumn("cut", F.coalesce(*[F.when(c, F.lit(why)) for c, why in steps], F.lit(None).cast("string")))
+
+
+def apply_list(scored: DataFrame, seq: str = "seq", max_age: int = 45, keep_brokers: bool = False, hide_recruiters: bool = False) -> DataFrame:
+    """Scored rows (url, title, company, why, score) with ``cut``, and what the list tells of those that stay.
+
+    In order: rows without a link go, then all but the first of each link, roles in broking, those open for longer than
+    ``max_age`` days by their explanation, and agencies' if asked. ``agency``, ``unverified`` and ``age`` describe a row;
+    ``band`` is where its score puts it.
+    """
+    note = present("why")
+    key = F.lower(F.regexp_replace(F.trim(present("url")), "/+$", ""))
+    first = F.row_number().over(Window.partitionBy(F.when(key != "", key).otherwise(F.concat(F.lit("\n"), F.col(seq).cast("string")))).orderBy(seq))
+    is_in = lambda c, p: F.rlike(present(c), F.lit("(?i)" + p))
+    open_for = F.regexp_extract(note, r"open (\d+)d, no close date", 1).try_cast("int")
+    rows = scored.withColumns({"agency": is_in("company", fixed.RECRUITERS), "unverified": F.contains(note, F.lit("site blocked the check")), "age": F.regexp_extract(note, r"\b(\d+)d old", 1).try_cast("int"), "__first": first})
+    cut = F.when(key == "", "nolink").when(F.col("__first") > 1, "duplicate")
+    if not keep_brokers:
+        cut = cut.when(is_in("title", fixed.BROKING), "broker")
+    cut = cut.when(open_for > max_age, "stale")
+    if hide_recruiters:
+        cut = cut.when(F.col("agency"), "recruiter")
+    band = F.when(F.col("score") >= 110, "Prime").when(F.col("score") >= 90, "Strong").when(F.col("score") >= 70, "Worth a look").when(F.col("score") >= 45, "Marginal").otherwise("Long tail")
+    return rows.withColumns({"cut": cut, "band": band}).drop("__first")

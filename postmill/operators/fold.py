@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.session import materialise
+
 
 def upsert_fold(sightings: DataFrame, key: list[str], seq: str, rank: Column, keep_first: list[str], source: str = "source", url: str = "url", salary: list[str] | None = None) -> DataFrame:
     """The state after replaying every key's sightings in the order of ``seq``.
@@ -80,56 +85,56 @@ def circuit_breaker(log: DataFrame, key: str = "host", at: str = "at", ok: str =
     """The requests a per-host breaker lets through: (host, at, ok, state).
 
     Six failures in a row open it for ``cool_down`` seconds; while open, requests are skipped and change nothing. The
-    state after a request depends on all before it, so each host's log goes through a small Python loop in order.
+    state after a request depends on all before it: each host's log passes a small loop in order, batch by batch, with
+    three numbers carried from one batch to the next, so no log is held whole.
     """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, ok], kind="stable")
-        streak, until, states = 0, float("-inf"), []
-        for t, good in zip(pdf[at], pdf[ok]):
-            if t < until:
-                states.append("skipped")
-                continue
-            streak = 0 if good else streak + 1
-            states.append("ok" if good else "failed")
-            if streak >= failures:
-                until, streak = t + cool_down, 0
-        return pdf.assign(state=states)[[key, at, ok, "state"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, streak, until = object(), 0, float("-inf")
+        for batch in batches:
+            states = []
+            for h, t, good in zip(*(c.to_pylist() for c in batch.columns)):
+                if h != host:
+                    host, streak, until = h, 0, float("-inf")
+                if t < until:
+                    states.append("skipped")
+                    continue
+                streak = 0 if good else streak + 1
+                states.append("ok" if good else "failed")
+                if streak >= failures:
+                    until, streak = t + cool_down, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(states, pa.string())], [key, at, ok, "state"])
 
     kinds = dict(log.dtypes)
-    return log.select(key, at, ok).groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{at}` {kinds[at]}, `{ok}` {kinds[ok]}, state string")
+    ordered = log.select(key, at, ok).repartition(key).sortWithinPartitions(key, at, ok)
+    return ordered.mapInArrow(run, f"`{key}` {kinds[key]}, `{at}` {kinds[at]}, `{ok}` {kinds[ok]}, state string")
 
 
 def accept_new(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates (seq, name, category, domain) with a verdict, each judged against the registry and those accepted before it.
 
-    A name or a domain that is taken is refused; a refused candidate claims neither. Blank domains never collide. The
-    outcome of a row can hang on all earlier ones, so rows that share a name or domain, directly or through others,
-    must be judged together: the rows are few (a batch of additions), and one task takes the batch.
+    A name or a domain that is taken is refused; a refused candidate claims neither. Blank domains never collide. In
+    every round the candidates that come first both under their name and under their domain are accepted, and those
+    that share either with one of them are refused; the number of rounds is the longest chain of candidates that wait for
+    one another, and each is a few joins.
     """
-    import pandas as pd
-
     key = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     names = existing.select(key("name").alias("n")).distinct().withColumn("name_taken", F.lit(True))
     domains = existing.select(key("domain").alias("d")).where("d <> ''").distinct().withColumn("domain_taken", F.lit(True))
-    batch = candidates.select("seq", "name", key("name").alias("n"), key("domain").alias("d")).join(names, "n", "left").join(domains, "d", "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        used_names, used_domains, out = set(), set(), []
-        for n, d, by_name, by_domain in zip(pdf["n"], pdf["d"], pdf["name_taken"], pdf["domain_taken"]):
-            if not n:
-                out.append("no name")
-            elif by_name or n in used_names:
-                out.append("name taken")
-            elif d and (by_domain or d in used_domains):
-                out.append("domain taken")
-            else:
-                out.append("accepted")
-                used_names.add(n)
-                used_domains.add(d)
-        return pdf.assign(verdict=out)[["seq", "name", "verdict"]]
-
-    flags = batch.select("seq", "name", "n", "d", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("name_taken", "domain_taken")])
-    return flags.withColumn("batch", F.lit(1)).groupBy("batch").applyInPandas(run, "seq long, name string, verdict string")
+    judged = candidates.select("seq", "name", key("name").alias("n"), key("domain").alias("d")).join(names, "n", "left").join(domains, "d", "left")
+    first = F.when(F.col("n") == "", "no name").when(F.col("name_taken"), "name taken").when(F.col("domain_taken"), "domain taken")
+    judged, _ = materialise(judged.select("seq", "name", "n", "d", first.alias("verdict")), "judged")
+    open_ = judged.where("verdict is null").select("seq", "n", "d")
+    accepted = open_.limit(0)
+    while not open_.isEmpty():
+        by_name = open_.groupBy("n").agg(F.min("seq").alias("first_n"))
+        by_domain = open_.where("d <> ''").groupBy("d").agg(F.min("seq").alias("first_d"))
+        placed = open_.join(by_name, "n").join(by_domain, "d", "left")
+        now, _ = materialise(placed.where("seq = first_n and (d = '' or seq = first_d)").select("seq", "n", "d"), "accepted")
+        accepted = accepted.unionByName(now)
+        left = open_.join(now.select("n"), "n", "left_anti").join(now.where("d <> ''").select("d"), "d", "left_anti")
+        open_, _ = materialise(left.select("seq", "n", "d"), "undecided")
+    took = accepted.select("n", F.col("seq").alias("by"))
+    last = judged.where("verdict is null").select("seq", "name", "n").join(took, "n", "left")
+    verdict = F.when(F.col("by") == F.col("seq"), "accepted").when(F.col("by") < F.col("seq"), "name taken").otherwise("domain taken")
+    return judged.where("verdict is not null").select("seq", "name", "verdict").unionByName(last.select("seq", "name", verdict.alias("verdict")))

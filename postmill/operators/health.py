@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.session import materialise
 
-def source_health(seen: DataFrame, expected: DataFrame, as_of: str, falling: float = 0.4, least: int = 5) -> DataFrame:
-    """(source, week, usual, health) of every expected source: the last 7 days against a quarter of the 28 before them."""
+
+def source_health(seen: DataFrame, expected: DataFrame, as_of: str) -> DataFrame:
+    """(source, week, usual, health): every source that was ever seen or is expected, its last 7 days against a quarter of the 28 before.
+
+    An expected source (source, known) that was never seen is what ``known`` says ('not run here', 'no key', 'known
+    broken'), or 'never seen'. One that brought 2 or more a week and now none is 'silent'; one that brought 5 or more
+    and now less than 0.3 of that is 'falling'.
+    """
     now = F.lit(as_of).cast("timestamp")
     ago = lambda d: now - F.make_dt_interval(F.lit(d))
     t = F.col("first_seen")
-    counts = seen.groupBy("source").agg(
-        F.count_if((t >= ago(7)) & (t < now)).alias("week"), (F.count_if((t < ago(7)) & (t >= ago(35))) / 4).alias("usual"), F.count("*").alias("ever"),
-    )
+    counts = seen.groupBy("source").agg(F.count_if(t > ago(7)).alias("week"), (F.count_if((t > ago(35)) & (t <= ago(7))) / 4).alias("usual"))
     week, usual = F.coalesce("week", F.lit(0)), F.coalesce("usual", F.lit(0.0))
     verdict = (
-        F.when(F.coalesce("ever", F.lit(0)) == 0, "never seen").when((week == 0) & (usual > 0), "silent")
-        .when((usual >= least) & (week < usual * falling), "falling").otherwise("ok")
+        F.when(F.col("usual").isNull(), F.coalesce("known", F.lit("never seen"))).when((usual >= 2) & (week == 0), "silent")
+        .when((usual >= 5) & (week < usual * 0.3), "falling").otherwise("ok")
     )
-    return F.broadcast(expected).join(counts, "source", "left").select("source", week.alias("week"), F.round(usual, 4).alias("usual"), verdict.alias("health"))
+    return counts.join(expected, "source", "full").select("source", week.alias("week"), F.round(usual, 4).alias("usual"), verdict.alias("health"))
 
 
 def silent_groups(health: DataFrame, groups: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -28,6 +33,12 @@ def silent_groups(health: DataFrame, groups: dict[str, tuple[str, ...]]) -> Data
     return health.withColumn("grp", of).where("grp is not null").groupBy("grp").agg(F.sum("week").alias("week"), F.sum("usual").alias("usual")).where("week = 0 and usual > 0")
 
 
+def never_seen_group(seen: DataFrame, members: tuple[str, ...]) -> DataFrame:
+    """One row (members, seen = false) if none of a group of sources has ever brought anything."""
+    n = seen.agg(F.count_if(F.col("source").isin(*members)).alias("n"))
+    return n.where("n = 0").select(F.lit(", ".join(sorted(members))).alias("members"), F.lit(False).alias("seen"))
+
+
 def velocity(rows: DataFrame, group: Column, at: str, top: int = 18, burst_days: int = 14) -> DataFrame:
     """Busiest groups: rows, days between first and last, and whether hiring looks continuous or like a burst."""
     span = F.floor((F.max(F.unix_timestamp(at)) - F.min(F.unix_timestamp(at))) / 86400)
@@ -41,16 +52,25 @@ def observed_weeks(rows: DataFrame, at: str) -> DataFrame:
 
 
 def index_percentiles(rows: DataFrame, value: str, shares: tuple[float, ...], by: list[str] = ()) -> DataFrame:
-    """Elements at position min(n - 1, int(n p)) of the sorted values, by group.
+    """Elements at position min(n - 1, int(n p)) of the sorted values, by group; null values don't count.
 
-    Neither interpolated nor discrete percentiles. Instead of sorting all values of a group in one task, values are
-    counted first (a shuffle combined by value), and positions are running sums over the distinct ones.
+    Neither interpolated nor discrete percentiles. Values are counted (a shuffle combined by value) and dealt to range
+    partitions, which are written; a position is what the partitions before hold plus a running sum within its own. So
+    no task sees all values of a group, however many are distinct.
     """
     from pyspark.sql import Window
 
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    spans = counts.withColumn("hi", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    ranged, _ = materialise(counts.repartitionByRange(*by, value).withColumn("__p", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy(*by, "__p").agg(F.sum("c").alias("__c"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__c").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*by, F.col("__p").alias("__q"), before.alias("__before"), F.sum("__c").over(group).alias("n"))
+    same = F.col("a.__p") == F.col("b.__q")
+    for c in by:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    spans = ranged.alias("a").join(parts.alias("b"), same).select(*[F.col(f"a.{c}").alias(c) for c in by], F.col(f"a.{value}").alias(value), "c", "n", "__before", "__p")
+    spans = spans.withColumn("hi", F.col("__before") + F.sum("c").over(Window.partitionBy(*by, "__p").orderBy(value)))
     at = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p)))
     picks = [F.max(F.when((at(p) < F.col("hi")) & (at(p) >= F.col("hi") - F.col("c")), F.col(value))).alias(f"p{round(100 * p)}") for p in shares]
     return spans.groupBy(*by).agg(F.max("n").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), *picks)

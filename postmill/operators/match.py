@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.text import content_terms
+from postmill.session import materialise
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text", stop: tuple[str, ...] = ()) -> DataFrame:
@@ -33,6 +34,7 @@ def tfidf_cosine(docs: DataFrame, key: str, query: DataFrame, text: str = "text"
 
 def relative_scores(rows: DataFrame, score: str = "cosine") -> DataFrame:
     """Scores as whole percentages of the largest, half to even; the largest comes from an aggregate, not a one-task window."""
+    rows, _ = materialise(rows, "scores")  # read twice: one short row a document
     top = rows.agg(F.max(score).alias("__top"))
     share = 100 * F.col(score) / F.coalesce(F.nullif("__top", F.lit(0.0)), F.lit(1.0))
     return rows.join(F.broadcast(top), how="cross").withColumn("relative", F.bround(share, 0).cast("int")).drop("__top")

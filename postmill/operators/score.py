@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions import dates
+from postmill.functions import dates, fixed
 from postmill.functions.text import present
 from postmill.operators.filters import any_of, fused
 
@@ -25,7 +25,7 @@ class Rubric:
     per_year_over: int = -5
     phd_title: int = -60
     phd: dict[str, int] = field(default_factory=lambda: {"required": -45, "preferred": -12})
-    phd_pattern: str = r"\bph\.?\s?d\b|\bdoctora(?:l|te)\b"
+    phd_pattern: str = fixed.PHD
     categories: dict[str, int] = field(default_factory=dict)
     category_roles: dict[str, tuple[int, list[str]]] = field(default_factory=dict)
     signals: list[tuple[str, int, list[str]]] = field(default_factory=list)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions import text as T
-from postmill.functions import udfs
+from postmill.functions import fixed, udfs
 from postmill.functions.text import NOISE_WORDS
 from postmill.operators import dedupe, filters, match
 from postmill.operators import score as S
@@ -17,7 +17,8 @@ AS_OF = "2024-01-31 00:00:00"
 _NOISE_SQL = "[" + ", ".join(f"'{w}'" for w in NOISE_WORDS) + "]"
 _NORM = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))"
 _TOKENS = f"list_sort(list_filter(regexp_extract_all(lower(coalesce({{0}}, '')), '[a-z0-9]+'), lambda w: len(w) > 1 AND NOT list_contains({_NOISE_SQL}, w)))"
-_TITLE = "substr(split_part(text, chr(10), 1), 1, 80)"
+_TITLE = "split_part(text, chr(10), 1)"
+
 
 def whole(words: str) -> str:
     """A pattern for whole words that means the same to every regular-expression engine: letters of any script delimit."""
@@ -32,26 +33,37 @@ RUBRIC = S.Rubric(
     category_roles={"src0": (8, [whole("of")])},
     signals=[("insult", -40, ["idiot", "pathetic", "worthless"]), ("licence", -10, [r"licensed under", r"all rights reserved"]), ("long words", 10, ["[a-z]{14}"]), ("question", 5, [r"\?"])],
     home=([whole("of")], 6), away=([whole("des")], -6), no_location=-2,
-    sources={"src0": 3, "src1": 2, "src3": 1},
+    sources={"src0": 3, "src1": 2, "src3": 1}, freshness=[(3, 20), (7, 12), (14, 5), (30, 0), (60, -10)],
 )
 
 
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as postings: the first line, at most 80 characters, is the title; the source is the firm."""
+    """Documents as postings: the first line is the title; the source is the firm."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("company"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), F.col("text").alias("description"), "source", "lang")
+    return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("company"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("description"), "source", "lang")
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings with their checks: a document without a label was never checked; quality is liveness, toxic anonymity."""
+    """Postings with their checks: a document without a label was never checked; quality is liveness, toxic anonymity.
+
+    The other facts that a score reads come from the id: dates, years, a doctorate, the match of titles and reposts; the
+    site of every seventeenth checked one refused the check.
+    """
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("live"), F.col("toxic").alias("anonymous"))
     rows = titled(spark, sf_dir).join(labels, "id", "left").withColumn("category", F.col("company"))
-    return rows.withColumn("checked_at", F.when(F.col("live").isNotNull(), F.lit(AS_OF)))
+    every = lambda n, k=0: F.pmod(F.col("id"), F.lit(n)) == k
+    past = lambda n: F.date_format(F.date_sub(F.lit("2024-01-31").cast("date"), F.pmod(F.col("id"), F.lit(n)).cast("int")), "yyyy-MM-dd")
+    return rows.withColumn("checked_at", F.when(F.col("live").isNotNull(), F.lit(AS_OF))).withColumns({
+        "live": F.when(~every(17), F.col("live")), "years_required": F.when(every(3), F.pmod(F.col("id"), F.lit(11)).cast("int")), "phd": F.when(every(7), "required").when(every(7, 1), "preferred"),
+        "posted": F.when(~every(4), past(90)), "first_seen": past(40), "title_match": F.pmod(F.col("id"), F.lit(10)) / 10.0, "valid_through": F.when(every(5), "2024-06-01").otherwise(""), "ghost": every(13),
+    })
 
 
 _SCORED = f"""
     WITH d AS (
-        SELECT doc_id AS id, source, source AS company, {_TITLE} AS title, text, lower(text) AS body, quality AS live, toxic
+        SELECT doc_id AS id, source, source AS company, {_TITLE} AS title, text, lower(text) AS body, quality IS NOT NULL AS was_checked, CASE WHEN doc_id % 17 <> 0 THEN quality END AS live, toxic,
+            CASE WHEN doc_id % 3 = 0 THEN doc_id % 11 END AS years, CASE WHEN doc_id % 7 = 0 THEN 'required' WHEN doc_id % 7 = 1 THEN 'preferred' END AS phd, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 90 END AS posted_ago,
+            coalesce(CASE WHEN doc_id % 4 <> 0 THEN doc_id % 90 END, doc_id % 40) AS age
         FROM documents LEFT JOIN labels USING (doc_id)),
     t AS (
         SELECT *, len(body) AS n, translate(concat_ws(' ', '', title, ''), '-_/', '   ') AS place, title || chr(10) || body AS title_body,
@@ -61,6 +73,8 @@ _SCORED = f"""
                      WHEN regexp_matches(title, '(?i)(?:^|[^\\p{{L}}])(?:de|la|der|und)(?:[^\\p{{L}}]|$)') THEN {{'label': 'title:fair', 'points': 15}}
                      WHEN regexp_matches(title, '[#$%&*]{{3}}') THEN {{'label': 'title:weak', 'points': -20}} END,
                 CASE WHEN regexp_matches(title, '(?i)(?:^|[^\\p{{L}}])(?:th|les)(?:[^\\p{{L}}]|$)') THEN {{'label': 'junior title', 'points': 12}} ELSE {{'label': 'no seniority marker', 'points': 0}} END,
+                CASE WHEN years > 4 THEN {{'label': 'wants ' || years || 'y experience', 'points': -20 - 5 * (years - 5)}} END,
+                CASE WHEN regexp_matches(title, '(?i){fixed.PHD}') THEN {{'label': 'title asks for a PhD', 'points': -60}} WHEN phd = 'required' THEN {{'label': 'PhD required', 'points': -45}} WHEN phd = 'preferred' THEN {{'label': 'PhD preferred', 'points': -12}} END,
                 {{'label': 'firm:' || coalesce(company, 'unknown'), 'points': CASE company WHEN 'src0' THEN 15 WHEN 'src1' THEN 10 WHEN 'src2' THEN 5 ELSE 0 END}},
                 CASE WHEN company = 'src0' AND regexp_matches(title, '(?i)(?:^|[^\\p{{L}}])(?:of)(?:[^\\p{{L}}]|$)') THEN {{'label': 'src0 + this role type', 'points': 8}} END,
                 CASE WHEN regexp_matches(title_body, '(?i)idiot|pathetic|worthless') THEN {{'label': 'text:insult', 'points': -40}} END,
@@ -71,8 +85,12 @@ _SCORED = f"""
                 CASE WHEN regexp_matches(place, '(?i)(?:^|[^\\p{{L}}])(?:of)(?:[^\\p{{L}}]|$)') THEN {{'label': 'home confirmed', 'points': 6}}
                      WHEN regexp_matches(place, '(?i)(?:^|[^\\p{{L}}])(?:des)(?:[^\\p{{L}}]|$)') THEN {{'label': 'elsewhere', 'points': -6}} ELSE {{'label': 'location not stated', 'points': -2}} END,
                 {{'label': 'via ' || coalesce(source, ''), 'points': CASE source WHEN 'src0' THEN 3 WHEN 'src1' THEN 2 WHEN 'src3' THEN 1 ELSE 0 END}},
-                CASE WHEN live IS NULL THEN {{'label': 'not verified', 'points': -5}} WHEN live = 0 THEN {{'label': 'dead: ', 'points': -100}} ELSE {{'label': 'verified live', 'points': 10}} END,
-                CASE WHEN live <> 0 AND toxic <> 0 THEN {{'label': 'employer anonymous', 'points': -10}} END
+                CASE WHEN age <= 3 THEN {{'label': age || 'd old', 'points': 20}} WHEN age <= 7 THEN {{'label': age || 'd old', 'points': 12}} WHEN age <= 14 THEN {{'label': age || 'd old', 'points': 5}} WHEN age > 30 AND age <= 60 THEN {{'label': age || 'd old', 'points': -10}} END,
+                CASE WHEN NOT was_checked THEN {{'label': 'not verified', 'points': -5}} WHEN live IS NULL THEN {{'label': 'site blocked the check', 'points': -5}} WHEN live = 0 THEN {{'label': 'dead: ', 'points': -100}} ELSE {{'label': 'verified live', 'points': 10}} END,
+                CASE WHEN live <> 0 AND id % 10 < 4 THEN {{'label': 'page title mismatch', 'points': -15}} END,
+                CASE WHEN live <> 0 AND toxic <> 0 THEN {{'label': 'employer anonymous', 'points': -10}} END,
+                CASE WHEN live <> 0 AND posted_ago > 60 AND id % 5 <> 0 THEN {{'label': 'open ' || posted_ago || 'd, no close date', 'points': -10}} END,
+                CASE WHEN id % 13 = 0 THEN {{'label': 'reposted repeatedly', 'points': -25}} END
             ], lambda x: x IS NOT NULL) AS why
         FROM d),
     s AS (SELECT *, CAST(list_sum(list_transform(why, lambda x: x.points)) AS INTEGER) AS score FROM t)
@@ -140,10 +158,10 @@ def jd_fingerprint_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower({_TITLE}), '[a-z]{{3,}}')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z]{{3,}}')) AS b FROM documents)
+@query(f"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower({_TITLE}), '[a-z]{{3,}}')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS b FROM documents)
     SELECT doc_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round_even(len(list_intersect(a, b)) / len(a), 3) ELSE 0 END AS similarity FROM w""")
 def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return titled(spark, sf_dir).select(F.col("id").alias("doc_id"), T.title_similarity("title", F.substring("description", 1, 400)).alias("similarity"))
+    return titled(spark, sf_dir).select(F.col("id").alias("doc_id"), T.title_similarity("title", "description").alias("similarity"))
 
 
 @query("""WITH s AS (SELECT doc_id, string_split(trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.!?]) ', '\\1' || chr(1), 'g')), chr(1)) AS parts, len(text) AS n FROM documents)
@@ -248,9 +266,39 @@ def clean_text_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", udfs.clean_text("text").alias("clean"))
 
 
-@query()
+_WANTS = [
+    (-1, "You bring 3-5 years of relevant experience.", 3), (-2, "At least 5+ years' experience; 2 years of track record in gas.", 5), (-3, "We have 30 years of experience in the market.", None), (-4, "Our team has 20 years of experience. You have 4 years of experience.", 4),
+    (-5, "Our ideal candidate has 7 plus years of trading experience.", 7), (-6, "26 years of experience", None), (-7, "10 to 12 years in an office. Experience helps.", None), (-8, "", None), (-9, None, None),
+]
+
+
+@query("""WITH y AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '(?i)""" + fixed.YEARS + """', 1), lambda x: CAST(x AS INTEGER)), lambda x: x <= 25) AS ys FROM documents)
+    SELECT doc_id, list_min(ys) AS years FROM y UNION ALL SELECT * FROM (VALUES """ + ", ".join(f"({i}, {'NULL' if n is None else n})" for i, _, n in _WANTS) + ") AS v(doc_id, years)")
 def years_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", udfs.years_required("text").alias("years"))
+    """Years of experience of every document, beside literal demands and boasts (ids below zero); no document of the tables boasts."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(i, t) for i, t, _ in _WANTS], "doc_id long, text string"))
+    return texts.select("doc_id", udfs.years_required("text").alias("years"))
+
+
+@query(_SCORED + """, r AS (SELECT id, CASE WHEN regexp_matches(title, '(?i)licensed') THEN 'title' WHEN years > 6 THEN '>6y experience' WHEN posted_ago > 45 AND id % 5 <> 0 THEN 'open >45d with no close date' ELSE 'kept' END AS cut FROM s)
+    SELECT cut, count(*) AS n FROM r GROUP BY cut""")
+def refilter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored rows by the rule that no longer lets them through: reasons are disjoint."""
+    rows = filters.retroactive(checked(spark, sf_dir), F.lit(AS_OF), title="(?i)licensed", max_years=6, max_open=45)
+    return rows.groupBy(F.coalesce("cut", F.lit("kept")).alias("cut")).agg(F.count("*").alias("n"))
+
+
+@query(_SCORED + """, w AS (SELECT *, list_aggregate(list_transform(why, lambda t: t.label || CASE WHEN t.points >= 0 THEN '+' ELSE '' END || t.points), 'string_agg', '; ') AS note,
+        CASE WHEN id % 19 = 0 THEN '' ELSE 'https://x.example/' || (id % 700) END AS url FROM s),
+    f AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN url = '' THEN '#' || id ELSE url END ORDER BY id) AS k, try_cast(nullif(regexp_extract(note, 'open (\\d+)d, no close date', 1), '') AS INTEGER) AS open_for FROM w)
+    SELECT id, CASE WHEN url = '' THEN 'nolink' WHEN k > 1 THEN 'duplicate' WHEN regexp_matches(title, '(?i)""" + fixed.BROKING + """') THEN 'broker' WHEN open_for > 45 THEN 'stale' END AS cut,
+        CASE WHEN score >= 110 THEN 'Prime' WHEN score >= 90 THEN 'Strong' WHEN score >= 70 THEN 'Worth a look' WHEN score >= 45 THEN 'Marginal' ELSE 'Long tail' END AS band,
+        contains(note, 'site blocked the check') AS unverified, try_cast(nullif(regexp_extract(note, '\\b(\\d+)d old', 1), '') AS INTEGER) AS age FROM f""")
+def apply_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the apply list keeps and why not, with bands and marks."""
+    url = F.when(F.col("id") % 19 == 0, "").otherwise(F.concat(F.lit("https://x.example/"), (F.col("id") % 700).cast("string")))
+    rows = ranked(spark, sf_dir).withColumns({"why": S.explained(F.col("why")), "url": url})
+    return filters.apply_list(rows, seq="id").select("id", "cut", "band", "unverified", "age")
 
 
 @query("""SELECT doc_id, lang, round(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(regexp_replace(text, '[^\\p{L}]', '', 'g')), 6) >= 0.9 AS latin

@@ -61,15 +61,21 @@ def ghost_reposts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.reposted(e, [F.col("user_id"), F.col("event_type")], "ts", 3, 20).select("event_id")
 
 
-@query("""WITH e AS (SELECT * FROM (VALUES ('click'), ('view'), ('signup'), ('purchase'), ('error'), ('refund')) AS v(source)),
-    c AS (SELECT event_type AS source, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-24' AND ts < TIMESTAMP '2024-01-31') AS week,
-        count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-24' AND ts >= TIMESTAMP '2023-12-27') / 4 AS usual, count(*) AS ever FROM events GROUP BY event_type)
-    SELECT source, coalesce(week, 0) AS week, round(coalesce(usual, 0), 4) AS usual, CASE WHEN coalesce(ever, 0) = 0 THEN 'never seen' WHEN coalesce(week, 0) = 0 AND usual > 0 THEN 'silent'
-        WHEN usual >= 5 AND week < usual * 0.4 THEN 'falling' ELSE 'ok' END AS health FROM e LEFT JOIN c USING (source)""")
+@query("""WITH e AS (SELECT * FROM (VALUES ('click', NULL), ('view', NULL), ('signup', NULL), ('purchase', NULL), ('error', 'no key'), ('refund', NULL), ('import', 'no key'), ('mirror', 'known broken'), ('partner', 'not run here')) AS v(source, known)),
+    n AS (SELECT CASE WHEN event_type = 'view' AND ts > TIMESTAMP '2024-01-24' THEN 'view late' WHEN event_type = 'signup' AND ts > TIMESTAMP '2024-01-24' AND event_id % 8 <> 0 THEN 'signup rest' WHEN event_type = 'click' AND event_id % 1500 = 0 AND ts <= TIMESTAMP '2024-01-24' THEN 'rare' ELSE event_type END AS source, ts FROM events),
+    c AS (SELECT source, count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-24') AS week, count(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-24' AND ts > TIMESTAMP '2023-12-27') / 4 AS usual FROM n GROUP BY source)
+    SELECT source, coalesce(week, 0) AS week, round(coalesce(usual, 0), 4) AS usual, CASE WHEN usual IS NULL THEN coalesce(known, 'never seen') WHEN usual >= 2 AND week = 0 THEN 'silent'
+        WHEN usual >= 5 AND week < usual * 0.3 THEN 'falling' ELSE 'ok' END AS health FROM e FULL JOIN c USING (source)""")
 def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = spark.createDataFrame([(s,) for s in ("click", "view", "signup", "purchase", "error", "refund")], "source string")
-    seen = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("first_seen"))
-    return health.source_health(seen, expected, AS_OF)
+    """Sources of every state: event types, some of whose last week goes under other names, and four that never brought anything."""
+    known = [("click", None), ("view", None), ("signup", None), ("purchase", None), ("error", "no key"), ("refund", None), ("import", "no key"), ("mirror", "known broken"), ("partner", "not run here")]
+    t, e = F.col("ts").cast("timestamp"), table(spark, sf_dir, "events")
+    late = t > F.lit("2024-01-24").cast("timestamp")
+    name = (
+        F.when((F.col("event_type") == "view") & late, "view late").when((F.col("event_type") == "signup") & late & (F.col("event_id") % 8 != 0), "signup rest")
+        .when((F.col("event_type") == "click") & (F.col("event_id") % 1500 == 0) & ~late, "rare").otherwise(F.col("event_type"))
+    )
+    return health.source_health(e.select(name.alias("source"), t.alias("first_seen")), spark.createDataFrame(known, "source string, known string"), AS_OF)
 
 
 @query("""WITH o AS (SELECT *, event_type = 'error' AS miss FROM events),
@@ -87,7 +93,12 @@ def throttle_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.throttled(e, "user_id", F.unix_millis(F.col("ts").cast("timestamp")), ["ts", "event_id"], 3_600_000).select("event_id", "start_ms")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id AS host, epoch_us(ts) / 1e6 AS t, event_type IN ('view', 'click') AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type IN ('view', 'click'), event_id) AS n FROM events),
+    w AS (SELECT host, n, t, ok, CASE WHEN ok THEN 'ok' ELSE 'failed' END AS state, CASE WHEN ok THEN 0 ELSE 1 END AS streak, CAST(-1 AS DOUBLE) AS until FROM o WHERE n = 1
+        UNION ALL SELECT o.host, o.n, o.t, o.ok, CASE WHEN o.t < w.until THEN 'skipped' WHEN o.ok THEN 'ok' ELSE 'failed' END,
+            CASE WHEN o.t < w.until THEN w.streak WHEN o.ok THEN 0 WHEN w.streak + 1 >= 3 THEN 0 ELSE w.streak + 1 END, CASE WHEN o.t >= w.until AND NOT o.ok AND w.streak + 1 >= 3 THEN o.t + 86400 ELSE w.until END
+        FROM w JOIN o ON o.host = w.host AND o.n = w.n + 1)
+    SELECT host, t AS "at", ok, state FROM w""")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("host"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("event_type").isin("view", "click").alias("ok"))
     return fold.circuit_breaker(e.withColumn("at", F.col("at") / 1e6), failures=3, cool_down=86400.0)

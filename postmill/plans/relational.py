@@ -158,7 +158,7 @@ def shared_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry_tables.shared_domains(table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("name"), F.col("c_mktsegment").alias("domain")))
 
 
-@query()
+@query("""SELECT * FROM (VALUES (1, 'Supplier#000000001', 'name taken'), (2, 'Fresh', 'domain taken'), (3, 'Fresh', 'accepted'), (4, 'Other', 'domain taken'), (5, 'Blank', 'accepted'), (6, 'Blank Two', 'accepted'), (7, 'fresh', 'name taken')) AS v(seq, name, verdict)""")
 def add_registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     existing = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".example")).alias("domain"))
     rows = [(1, "Supplier#000000001", "new.example"), (2, "Fresh", "s2.example"), (3, "Fresh", "fresh.example"), (4, "Other", "fresh.example"), (5, "Blank", ""), (6, "Blank Two", ""), (7, "fresh", "x.example")]

@@ -22,12 +22,23 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
+_own: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where the setting is absent."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Where the setting is absent, a session of a local master (one process, as in tests) gets a temporary folder of its own; on a
+    cluster a machine-local folder would lose tables, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="postmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="postmill-")
+        root = _own[app]
     return root.rstrip("/")
 
 

@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from pyspark.sql import functions as F
@@ -124,9 +125,11 @@ def test_percentiles_by_index(spark):
 
 def test_extraction(spark):
     pages = extract.sample_pages(spark)
-    assert {(r.page_id, r.stage, r.title) for r in extract.cascade(pages, "page_id").collect()} == {
-        (1, 1, "Grid Analyst"), (2, 1, "Risk Clerk"), (3, 2, "Data Engineer"), (3, 2, "Trader"), (4, 2, "Scheduler"), (5, 3, "Power Scheduler"),
+    assert {(r.page_id, r.stage, r.title) for r in extract.cascade(pages, "page_id", url="url").collect()} == {
+        (1, 1, "Grid Analyst"), (2, 1, "Risk Clerk"), (3, 2, "Data Engineer"), (3, 2, "Trader"), (4, 2, "Scheduler"), (5, 3, "Power Scheduler"), (5, 3, "Gas Analyst"), (5, 3, "Graduate Trader Programme"), (8, 2, "Grid Planner"),
     }
+    firms = pages.withColumns({"firm": F.col("page_id") % 2, "at": 10 - F.col("page_id")})
+    assert {(r.page_id, r.stage) for r in extract.cascade(firms, "page_id", "url", "firm", "at").collect()} == {(5, 3), (8, 2)}
 
 
 def test_payloads(spark):
@@ -142,7 +145,7 @@ def test_payloads(spark):
 def test_page_checks(spark):
     rows = [
         (1, "https://x/1", 200, "https://x/1", "<title>Gas Trader</title>ok"), (2, "https://x/2", 403, "", ""), (3, "https://x/3", None, "", None), (4, "https://x/4", 404, "", ""), (5, "", 200, "", ""),
-        (6, "https://x/6", 200, "https://x/6", "this role has been filled"), (7, "https://x/7", 200, "https://x/jobs/", "list"), (8, "https://x/8", 200, "https://x/8", '"validThrough": "2020-01-01"'),
+        (6, "https://x/6", 200, "https://x/6", "this role has been filled"), (7, "https://x/7", 200, "https://x/jobs/", "current openings"), (8, "https://x/8", 200, "https://x/8", '<script type="application/ld+json">{"@type":"JobPosting","title":"Gas Trader","validThrough":"2020-01-01"}</script>'),
     ]
     df = spark.createDataFrame([(*r, "Gas Trader") for r in rows], "id long, url string, status int, final_url string, html string, title string")
     got = {r.id: r.live for r in extract.checked_pages(df, "2024-01-31 00:00:00").collect()}
@@ -205,3 +208,40 @@ def test_readers(spark, tmp_path):
         assert [r.name for r in registry_tables.read_csv_maybe_header(spark, str(tmp_path / f), ["name", "category"]).collect()] == ["Acme"]
     assert settings.load_settings(["# c", "A='1'", "B=2"], {"B": "3"}) == {"A": "1", "B": "3"}
     assert settings.scoring_problems({"sources": {"a": "x"}, "freshness": [[7, 1], [3, 2]]})
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace as N
+
+    from postmill import session
+
+    bare = lambda master: N(conf=N(get=lambda k, d=None: d), sparkContext=N(master=master, applicationId="a", getConf=lambda: N(get=lambda k: None)))
+    assert session.scratch_root(bare("local[2]")) == session.scratch_root(bare("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_root(bare("spark://somewhere:7077"))
+    assert session.scratch_root(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_link_rules(spark):
+    got = {(r.page_id, r.title, r.url, r.location) for r in extract.jobs_from_links(extract.link_pages(spark), "page_id", url="url").collect()}
+    assert got == {
+        (-1, "Power Scheduler", "https://e.example/jobs/77", "Hull, UK"), (-1, "Gas Analyst", "https://e.example/vacancies/gas-9", "London"), (-2, "Gas Analyst", "https://e.example/careers/gas-analyst", ""),
+        (-2, "Graduate Trader Programme", "https://e.example/jobs/10", ""), (-3, "Quant Researcher", "https://other.example/role/quant-2", ""),
+    }
+
+
+def test_checks_of_job_pages(spark):
+    rows = {r.id: r for r in extract.checked_pages(extract.check_pages(spark), "2024-01-31 00:00:00").collect()}
+    assert {i: r.live for i, r in rows.items()} == {-1: 1, -2: 0, -3: 1, -4: 0, -5: None, -6: 0, -7: 0, -8: 0, -9: 1, -10: 1, -11: None}
+    assert (rows[-1].employer, rows[-1].years_required, rows[-1].agency, rows[-1].anonymous, rows[-1].description) == ("Acme", 5, 1, 0, "Our client wants 5+ years of experience.")
+    assert rows[-2].reason == "validThrough in the past" and rows[-2].anonymous == 1 and rows[-3].anonymous == 1 and rows[-6].reason == "http 409" and rows[-11].anonymous == 1
+
+
+def test_source_states(spark):
+    day = lambda d: f"2024-01-{d:02d} 00:00:00"
+    seen = [("quiet", day(10))] * 8 + [("thin", day(10))] * 7 + [("drop", day(10))] * 20 + [("drop", day(30))] + [("dip", day(10))] * 20 + [("dip", day(30))] * 2 + [("new", day(30))]
+    rows = spark.createDataFrame(seen, "source string, at string").selectExpr("source", "to_timestamp(at) as first_seen")
+    known = spark.createDataFrame([("quiet", None), ("keyless", "no key"), ("lost", None)], "source string, known string")
+    got = {r.source: r.health for r in health.source_health(rows, known, "2024-01-31 00:00:00").collect()}
+    assert got == {"quiet": "silent", "thin": "ok", "drop": "falling", "dip": "ok", "new": "ok", "keyless": "no key", "lost": "never seen"}
+    assert health.never_seen_group(rows, ("x", "y")).count() == 1 and health.never_seen_group(rows, ("x", "new")).count() == 0

@@ -221,3 +221,11 @@ def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = "<urlset><url><loc>https://x.example/job/1</loc></url><url><loc>https://x.example/about</loc></url><url><loc>https://x.example/job/2</loc></url><url><loc>https://x.example/job/1</loc></url></urlset>"
     return payloads.sitemap_urls(spark.createDataFrame([(1, xml)], "ord int, body string"), "/job/").select("url")
+
+
+@query("""SELECT * FROM (VALUES ('https://x.example/jobs-1.xml', 1, 0), ('https://x.example/JOBS-2.xml', 1, 1), ('https://y.example/sitemap.xml', 2, 0)) AS v(url, ord, pos)""")
+def sitemap_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemaps behind an index, a plain one, and one that did not answer."""
+    index = "<sitemapindex><sitemap><loc> https://x.example/jobs-1.xml </loc></sitemap><loc>https://x.example/news.xml</loc><loc>https://x.example/JOBS-2.xml</loc></sitemapindex>"
+    roots = [(1, "https://x.example/sitemap.xml", index), (2, "https://y.example/sitemap.xml", "<urlset><loc>https://y.example/job/1</loc></urlset>"), (3, "https://z.example/sitemap.xml", None)]
+    return payloads.expanded_sitemaps(spark.createDataFrame(roots, "ord int, url string, body string"))

@@ -134,6 +134,13 @@ def sitemap_urls(maps: DataFrame, wanted: str, limit: int | None = None) -> Data
     return rows.orderBy("ord").limit(limit) if limit else rows
 
 
+def expanded_sitemaps(roots: DataFrame) -> DataFrame:
+    """(url, ord, pos): the sitemaps to read of fetched roots (ord, url, body): the entries of an index that name jobs, any other root itself."""
+    locs = F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"<loc>\s*(.*?)\s*</loc>"), F.lit(1))
+    named = F.filter(locs, lambda u: F.contains(F.lower(u), F.lit("job")))
+    return roots.where("body is not null").select("ord", F.posexplode(F.when(F.contains("body", F.lit("<sitemapindex")), named).otherwise(F.array("url"))).alias("pos", "url")).select("url", "ord", "pos")
+
+
 def sample_payloads(spark: SparkSession) -> DataFrame:
     """One small answer for several board shapes."""
     rows = [

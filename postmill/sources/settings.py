@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import os
 
+from postmill.operators.filters import CollectionRules
+from postmill.operators.score import Rubric
+
 try:
     import yaml
 except ImportError:  # JSON is YAML too, so rule files can do without
@@ -30,6 +33,34 @@ def load_settings(lines: list[str], environ: dict[str, str] | None = None) -> di
 
 def scoring_problems(rubric: dict) -> list[str]:
     """Weights that aren't numbers, and freshness steps out of order."""
-    out = [f"{k}: {v!r} is not a number" for part in ("seniority", "verification", "sources", "firm_categories") for k, v in (rubric.get(part) or {}).items() if isinstance(v, bool) or not isinstance(v, (int, float))]
+    out = [f"{k}: {v!r} is not a number" for part in ("seniority", "verification", "geography", "source_weights", "sources", "firm_categories") for k, v in (rubric.get(part) or {}).items() if isinstance(v, bool) or not isinstance(v, (int, float))]
     steps = [s[0] for s in rubric.get("freshness") or []]
     return out + (["freshness limits must rise"] if steps != sorted(steps) else [])
+
+
+def rubric_of(scoring: dict, collection: dict | None = None, junior: tuple[str, ...] = ()) -> Rubric:
+    """The rubric that a scoring file states; what it leaves out keeps the rubric's own value.
+
+    Places come from the collection file, so that filter and ranking can't drift apart. ``junior`` holds the patterns
+    whose points ``seniority`` states.
+    """
+    where, old = collection or {}, Rubric()
+    rank, checks, place = (scoring.get(k) or {} for k in ("seniority", "verification", "geography"))
+    rules = lambda k: [(name, int(r.get("points", 0)), list(r.get("patterns") or [])) for name, r in (scoring.get(k) or {}).items()]
+    return Rubric(
+        tiers=rules("title_tiers"), junior=(list(junior), rank.get("junior_markers", 0), rank.get("no_marker", 0)), years_cap=rank.get("years_cap", old.years_cap), over_cap=rank.get("over_cap_penalty", old.over_cap),
+        per_year_over=rank.get("per_year_over", old.per_year_over), phd_title=rank.get("phd_in_title", old.phd_title), phd={k: rank.get(f"phd_{k}", v) for k, v in old.phd.items()}, categories=dict(scoring.get("firm_categories") or {}),
+        category_roles={k: (p, patterns) for k, p, patterns in rules("firm_role_bonus")}, signals=rules("description_signals"), least_text=scoring.get("min_jd_chars", old.least_text),
+        home=(list(where.get("uk_markers") or []), place.get("uk_confirmed", 0)), away=([*(where.get("location_exclude_cities") or []), *(where.get("location_exclude_regions") or [])], place.get("outside_uk", 0)), no_location=place.get("not_stated", 0),
+        sources=dict(scoring.get("source_weights") or {}), freshness=[tuple(x) for x in scoring.get("freshness") or []], live=checks.get("live", old.live), dead=checks.get("dead", old.dead), unverified=checks.get("unverified", old.unverified),
+        mismatch=checks.get("title_mismatch", old.mismatch), anonymous=checks.get("anonymous_employer", old.anonymous), long_open=checks.get("long_open", old.long_open), ghost=checks.get("ghost_repost", old.ghost),
+    )
+
+
+def collection_of(collection: dict, junior: tuple[str, ...] = (), rank_words: tuple[str, ...] = ()) -> CollectionRules:
+    """The collection filter that a collection file states."""
+    of = lambda k: [p for p in collection.get(k) or []]
+    return CollectionRules(
+        include=of("include"), roles=of("role_words"), domains=of("domain_words"), exclude=of("exclude"), rank_words=list(rank_words), junior=list(junior), home=of("uk_markers"),
+        away=of("location_exclude_cities") + of("location_exclude_regions"), locations=of("locations"),
+    )

@@ -245,3 +245,20 @@ def test_source_states(spark):
     got = {r.source: r.health for r in health.source_health(rows, known, "2024-01-31 00:00:00").collect()}
     assert got == {"quiet": "silent", "thin": "ok", "drop": "falling", "dip": "ok", "new": "ok", "keyless": "no key", "lost": "never seen"}
     assert health.never_seen_group(rows, ("x", "y")).count() == 1 and health.never_seen_group(rows, ("x", "new")).count() == 0
+
+
+def test_rule_files_become_rules(spark):
+    scoring = {
+        "title_tiers": {"core": {"points": 30, "patterns": ["trader"]}}, "seniority": {"junior_markers": 35, "no_marker": 3, "years_cap": 2, "over_cap_penalty": -40, "phd_required": -50}, "firm_categories": {"bank": 5},
+        "firm_role_bonus": {"bank": {"points": 22, "patterns": ["risk"]}}, "description_signals": {"sql": {"points": 6, "patterns": ["sql"]}}, "source_weights": {"html": 7}, "geography": {"uk_confirmed": 10, "outside_uk": -50, "not_stated": -8},
+        "freshness": [[7, 8], [21, 4]], "verification": {"live": 15, "ghost_repost": -15}, "min_jd_chars": 10,
+    }
+    places = {"uk_markers": ["london"], "location_exclude_cities": ["paris"], "location_exclude_regions": ["texas"], "include": ["trader"], "exclude": ["senior"], "role_words": ["analyst"], "domain_words": ["gas"], "locations": ["london"]}
+    r = settings.rubric_of(settings.load_rules(str(scoring).replace("'", '"')), places, junior=("junior",))
+    assert (r.years_cap, r.over_cap, r.per_year_over, r.phd, r.live, r.ghost, r.dead) == (2, -40, -5, {"required": -50, "preferred": -12}, 15, -15, -100)
+    df = spark.createDataFrame([("Junior Trader, Risk", "much sql here", "London", "html", "bank", None)], "title string, description string, location string, source string, category string, checked_at string")
+    assert score.scored(df, r, F.lit("2024-01-31")).first().score == 30 + 35 + 5 + 22 + 6 + 10 + 7 - 5
+    rules = settings.collection_of(places)
+    got = df.select(rules.verdict(F.lit("Gas Analyst"), F.lit("London")), rules.verdict(F.lit("Senior Trader"), F.lit("")), rules.verdict(F.lit("Trader"), F.lit("Paris"))).first()
+    assert tuple(got) == (None, "excluded word", "location")
+    assert settings.scoring_problems({"source_weights": {"a": "x"}})

@@ -63,3 +63,57 @@ RECRUITERS = (
     r"stanford black|camber morris|mondrian alpha|cameron kennedy|orla rose|redstone|nicholson glover|octavius|the green recruitment|ventula|prime personnel|cititec|mccabe|edgworth|fram search|albert bow|g-20 group|"
     r"ocr alpha|qenexus|onyx alpha|intropic|lodestone|per,|private equity recruit|bruin|aaa global|mason blake|emagine"
 )
+
+# -- fixed values: addresses of boards by token, in the order in which they are tried ----------------------------------
+BOARD_ENDPOINTS = {
+    "greenhouse": "https://boards-api.greenhouse.io/v1/boards/{t}/jobs?content=false",
+    "lever": "https://api.lever.co/v0/postings/{t}?mode=json",
+    "ashby": "https://api.ashbyhq.com/posting-api/job-board/{t}",
+    "smartrecruiters": "https://api.smartrecruiters.com/v1/companies/{t}/postings?limit=100",
+    "workable": "https://apply.workable.com/api/v1/widget/accounts/{t}?details=true",
+    "recruitee": "https://{t}.recruitee.com/api/offers/",
+    "teamtailor": "https://{t}.teamtailor.com/jobs.rss",
+    "personio": "https://{t}.jobs.personio.com/xml",
+    "breezy": "https://{t}.breezy.hr/json",
+    "bamboohr": "https://{t}.bamboohr.com/careers/list",
+    "rippling": "https://api.rippling.com/platform/api/ats/v1/board/{t}/jobs",
+    "pinpoint": "https://{t}.pinpointhq.com/postings.json",
+    "comeet": "https://www.comeet.co/careers-api/2.0/company/{t}/positions",
+    "jobvite": "https://jobs.jobvite.com/api/v1/jobs?companyId={t}",
+}
+READ_ONLY_ENDPOINTS = {"eightfold": "https://{t}.eightfold.ai/api/apply/v2/jobs?start=0&num=100"}
+WHOLE_ADDRESS_BOARDS = ("oracle",)
+LIST_FIELDS = ("data", "jobs", "positions", "results", "items", "postings")
+GENERIC_FIRST = (
+    "global", "world", "united", "general", "standard", "premier", "prime", "capital", "asset", "invest", "investment", "investments", "trading",
+    "trade", "markets", "market", "commodity", "commodities", "power", "renewable", "renewables", "green", "clean", "smart", "advanced", "future",
+    "next", "new", "modern", "central", "metro", "city", "london", "british", "american", "european", "asia", "pacific", "atlantic", "group", "holdings",
+    "partners", "associates", "advisors", "advisers", "management", "services", "solutions", "systems", "technologies", "consulting", "the", "and",
+)
+
+# -- fixed values: links that a site itself labels as careers ----------------------------------------------------------
+CAREERS_ANCHOR = r"""<a\b[^>]*href=["']([^"'#]+)["'][^>]*>(.*?)</a>"""
+CAREERS_WORDS = (
+    r"career|job|vacanc|opportunit|join\s+(?:us|our)|work\s+(?:for|with)\s+us|recruit|hiring|opening|life\s+(?:at|here)|working\s+(?:at|here)|"
+    r"our\s+people|grow\s+with\s+us|early\s+care|graduate"
+)
+
+# -- fixed values: firm pages ------------------------------------------------------------------------------------------
+FIRM_REFUSALS = (401, 403, 405, 406, 409, 429, 503)
+INTERSTITIAL = r"perfdrive|datadome|cloudflare|incapsula|imperva|akamai|just a moment|checking your browser|are you a robot|access denied|attention required"
+PARKED = ("domain", "for sale", "parked", "godaddy", "namecheap")
+
+# -- fixed values: the companies register ------------------------------------------------------------------------------
+SIC_CATEGORY = {
+    "06100": "major", "06200": "major", "09100": "major", "19201": "refining", "19209": "refining", "35110": "power_gas", "35120": "power_gas", "35130": "power_gas",
+    "35140": "power_gas", "35210": "power_gas", "35220": "power_gas", "35230": "power_gas", "35300": "power_gas", "46120": "trading_house", "46711": "refining",
+    "46719": "trading_house", "49500": "power_gas", "64191": "bank", "64205": "fund", "64301": "fund", "64302": "fund", "64303": "fund", "64304": "fund",
+    "64305": "fund", "64306": "fund", "64992": "fund", "64999": "fund", "66110": "exchange", "66120": "broker", "66190": "broker", "66300": "fund",
+}
+REGISTER_POSTCODE = r"^(?:EC|WC|NW|SE|SW|E|W|N)\d"
+REGISTER_JUNK = (
+    r"nominee|trustee|dormant|holdings? (no|number)|property|estate|restaurant|construction|cleaning|recruit|consult(ing|ancy)? services|"
+    r"\b(bidco|midco|topco|holdco|newco|finco|spv|gp|lp)\b|\bno\.?\s*\d+\b|\b(i{1,3}|iv|v|vi{1,3}|ix|x)\b\s*(limited|ltd)|"
+    r"pension|charit|foundation|church|residents|management company"
+)
+NAME_SUFFIX = r"\s+(limited|ltd\.?|llp|plc|uk|holdings|group|international)\b\.?$"

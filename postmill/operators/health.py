@@ -76,10 +76,14 @@ def index_percentiles(rows: DataFrame, value: str, shares: tuple[float, ...], by
     return spans.groupBy(*by).agg(F.max("n").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), *picks)
 
 
-def label_tally(rows: DataFrame, labels: str, total: int | None = None) -> DataFrame:
-    """(label, n, share): how many rows carry each label; rows without any count as ``none``."""
+def label_tally(rows: DataFrame, labels: str, fetched: Column | None = None) -> DataFrame:
+    """(label, n, share): how many rows carry each label; rows without any count as ``none``.
+
+    With ``fetched``, those are told apart: pages that were read without a finding are 'no fingerprint', others 'never fetched'.
+    """
     total_rows = rows.agg(F.count("*").alias("total"))
-    flat = rows.select(F.explode(F.when(F.size(labels) > 0, F.col(labels)).otherwise(F.array(F.lit("none")))).alias("label"))
+    rest = F.lit("none") if fetched is None else F.when(F.coalesce(fetched, F.lit(False)), "no fingerprint").otherwise("never fetched")
+    flat = rows.select(F.explode(F.when(F.size(labels) > 0, F.col(labels)).otherwise(F.array(rest))).alias("label"))
     counts = flat.groupBy("label").agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(total_rows), how="cross").select("label", "n", F.round(100 * F.col("n") / F.greatest("total", F.lit(1)), 4).alias("share"))
 

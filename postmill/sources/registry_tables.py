@@ -1,8 +1,8 @@
-"""The firm registry: readers, checks and the companies register."""
+"""The firm registry: readers and checks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.text import norm
@@ -55,19 +55,6 @@ def carried(new: DataFrame, previous: DataFrame, key: str, columns: list[str]) -
     return new.select(key, *columns).join(p, key, "full").select(key, *[F.coalesce(c, f"__p_{c}").alias(c) for c in columns])
 
 
-def register_candidates(companies: DataFrame, existing: DataFrame, sic_category: dict[str, str], locality: str, postcode: str, junk: str, since: int | None = None) -> DataFrame:
-    """Companies of the register worth adding: by SIC code, place, name and year, without those already known."""
-    sic = F.create_map(*[F.lit(x) for kv in sic_category.items() for x in kv])
-    place = F.rlike(F.coalesce("locality", F.lit("")), F.lit(locality)) | F.rlike(F.coalesce("postcode", F.lit("")), F.lit(postcode))
-    rows = companies.withColumn("category", sic[F.col("sic")]).where(F.col("category").isNotNull() & place & ~F.rlike("name", F.lit(junk)))
-    if since:
-        rows = rows.where(F.coalesce(F.substring("incorporated", 1, 4).try_cast("int"), F.lit(0)) <= since)
-    return rows.withColumn("__k", norm("name")).join(existing.select(norm("name").alias("__k")).distinct(), "__k", "left_anti").drop("__k")
-
-
-def verdict(status: Column, answered: Column, moved: Column, readable: Column, names_it: Column) -> Column:
-    """A firm page's verdict: unreachable, blocked, thin, ok, moved or mismatch."""
-    return (
-        F.when(~answered, "unreachable").when(status.isin(401, 403, 405, 406, 429, 503), "blocked").when(status >= 400, "unreachable")
-        .when(~readable, "thin").when(names_it, "ok").when(moved, "moved").otherwise("mismatch")
-    )
+def write_verdicts(checked: DataFrame, path: str) -> None:
+    """Firm checks as CSV, sorted by verdict and name."""
+    checked.select("name", "domain", "verdict", "detail", "final_url", "misses").orderBy("verdict", "name").write.mode("overwrite").option("header", True).csv(path)

@@ -117,3 +117,17 @@ REGISTER_JUNK = (
     r"pension|charit|foundation|church|residents|management company"
 )
 NAME_SUFFIX = r"\s+(limited|ltd\.?|llp|plc|uk|holdings|group|international)\b\.?$"
+
+# -- fixed values: labels of an explanation, which stored scores and their readers share -------------------------------
+TEXT_LABEL, HOME_LABEL, AWAY_LABEL = "jd", "UK confirmed", "outside the UK"
+PHD_LABELS = {"required": "description requires a PhD", "preferred": "PhD preferred"}
+
+# -- fixed values: where a page states its owner -----------------------------------------------------------------------
+OWNER_PARTS = (
+    r"(?is)<title[^>]*>(.*?)</title>",
+    r"""(?is)<meta[^>]+property=["']og:site_name["'][^>]+content=["']([^"']+)""",
+    r"""(?is)<meta[^>]+name=["']application-name["'][^>]+content=["']([^"']+)""",
+    r"""(?is)<meta[^>]+name=["']description["'][^>]+content=["']([^"']+)""",
+    r"(?is)<h1[^>]*>(.*?)</h1>",
+    r"(?i)((?:©|&copy;|copyright)[^<]{0,80})",
+)

@@ -64,7 +64,7 @@ def terms(r: Rubric, as_of: Column, cols: set[str]) -> list[Column]:
     years = get("years_required", "int")
     out.append(F.when(years > r.years_cap, entry(F.concat(F.lit("wants "), years.cast("string"), F.lit("y experience")), F.lit(r.over_cap) + F.lit(r.per_year_over) * (years - r.years_cap - 1))))
     want = get("phd")
-    by_text = F.coalesce(*[F.when(want == k, entry(f"PhD {k}", p)) for k, p in r.phd.items()])
+    by_text = F.coalesce(*[F.when(want == k, entry(fixed.PHD_LABELS.get(k, f"PhD {k}"), p)) for k, p in r.phd.items()])
     out.append(F.when(F.rlike(title, F.lit("(?i)" + r.phd_pattern)), entry("title asks for a PhD", r.phd_title)).otherwise(by_text))
     if r.categories:
         cat = F.coalesce(get("category"), F.lit("unknown"))
@@ -74,17 +74,17 @@ def terms(r: Rubric, as_of: Column, cols: set[str]) -> list[Column]:
             out.append(F.when((cat == k) & F.rlike(title, F.lit(fused(patterns))), entry(f"{k} + this role type", p)))
     for name, points, patterns in r.signals:  # against: read anywhere, however short the text
         if points < 0:
-            out.append(F.when(any_of(both, patterns, both), entry(f"text:{name}", points)))
+            out.append(F.when(any_of(both, patterns, both), entry(f"{fixed.TEXT_LABEL}:{name}", points)))
     size = F.length(text)
-    out.append(F.when((size > 0) & (size < r.least_text), entry(F.concat(F.lit("text too short to read ("), size.cast("string"), F.lit("c)")), 0)))
+    out.append(F.when((size > 0) & (size < r.least_text), entry(F.concat(F.lit(f"{fixed.TEXT_LABEL} too short to read ("), size.cast("string"), F.lit("c)")), 0)))
     for name, points, patterns in r.signals:  # in favour: only where there is enough to read
         if points >= 0:
-            out.append(F.when((size >= r.least_text) & any_of(text, patterns, text), entry(f"text:{name}", points)))
+            out.append(F.when((size >= r.least_text) & any_of(text, patterns, text), entry(f"{fixed.TEXT_LABEL}:{name}", points)))
     if r.home[0] or r.away[0]:
         where = F.regexp_replace(F.concat_ws(" ", present(get("location")), title, present(get("url"))), "[-_/]", " ")
         out.append(
-            F.when(F.rlike(where, F.lit(fused(list(r.home[0])))), entry("home confirmed", r.home[1]))
-            .when(F.rlike(where, F.lit(fused(list(r.away[0])))), entry("elsewhere", r.away[1]))
+            F.when(F.rlike(where, F.lit(fused(list(r.home[0])))), entry(fixed.HOME_LABEL, r.home[1]))
+            .when(F.rlike(where, F.lit(fused(list(r.away[0])))), entry(fixed.AWAY_LABEL, r.away[1]))
             .when(F.trim(present(get("location"))) == "", entry("location not stated", r.no_location))
         )
     source = present(get("source"))

@@ -74,16 +74,16 @@ _SCORED = f"""
                      WHEN regexp_matches(title, '[#$%&*]{{3}}') THEN {{'label': 'title:weak', 'points': -20}} END,
                 CASE WHEN regexp_matches(title, '(?i)(?:^|[^\\p{{L}}])(?:th|les)(?:[^\\p{{L}}]|$)') THEN {{'label': 'junior title', 'points': 12}} ELSE {{'label': 'no seniority marker', 'points': 0}} END,
                 CASE WHEN years > 4 THEN {{'label': 'wants ' || years || 'y experience', 'points': -20 - 5 * (years - 5)}} END,
-                CASE WHEN regexp_matches(title, '(?i){fixed.PHD}') THEN {{'label': 'title asks for a PhD', 'points': -60}} WHEN phd = 'required' THEN {{'label': 'PhD required', 'points': -45}} WHEN phd = 'preferred' THEN {{'label': 'PhD preferred', 'points': -12}} END,
+                CASE WHEN regexp_matches(title, '(?i){fixed.PHD}') THEN {{'label': 'title asks for a PhD', 'points': -60}} WHEN phd = 'required' THEN {{'label': 'description requires a PhD', 'points': -45}} WHEN phd = 'preferred' THEN {{'label': 'PhD preferred', 'points': -12}} END,
                 {{'label': 'firm:' || coalesce(company, 'unknown'), 'points': CASE company WHEN 'src0' THEN 15 WHEN 'src1' THEN 10 WHEN 'src2' THEN 5 ELSE 0 END}},
                 CASE WHEN company = 'src0' AND regexp_matches(title, '(?i)(?:^|[^\\p{{L}}])(?:of)(?:[^\\p{{L}}]|$)') THEN {{'label': 'src0 + this role type', 'points': 8}} END,
-                CASE WHEN regexp_matches(title_body, '(?i)idiot|pathetic|worthless') THEN {{'label': 'text:insult', 'points': -40}} END,
-                CASE WHEN regexp_matches(title_body, '(?i)licensed under|all rights reserved') THEN {{'label': 'text:licence', 'points': -10}} END,
-                CASE WHEN n > 0 AND n < 400 THEN {{'label': 'text too short to read (' || n || 'c)', 'points': 0}} END,
-                CASE WHEN n >= 400 AND regexp_matches(body, '[a-z]{{14}}') THEN {{'label': 'text:long words', 'points': 10}} END,
-                CASE WHEN n >= 400 AND regexp_matches(body, '\\?') THEN {{'label': 'text:question', 'points': 5}} END,
-                CASE WHEN regexp_matches(place, '(?i)(?:^|[^\\p{{L}}])(?:of)(?:[^\\p{{L}}]|$)') THEN {{'label': 'home confirmed', 'points': 6}}
-                     WHEN regexp_matches(place, '(?i)(?:^|[^\\p{{L}}])(?:des)(?:[^\\p{{L}}]|$)') THEN {{'label': 'elsewhere', 'points': -6}} ELSE {{'label': 'location not stated', 'points': -2}} END,
+                CASE WHEN regexp_matches(title_body, '(?i)idiot|pathetic|worthless') THEN {{'label': 'jd:insult', 'points': -40}} END,
+                CASE WHEN regexp_matches(title_body, '(?i)licensed under|all rights reserved') THEN {{'label': 'jd:licence', 'points': -10}} END,
+                CASE WHEN n > 0 AND n < 400 THEN {{'label': 'jd too short to read (' || n || 'c)', 'points': 0}} END,
+                CASE WHEN n >= 400 AND regexp_matches(body, '[a-z]{{14}}') THEN {{'label': 'jd:long words', 'points': 10}} END,
+                CASE WHEN n >= 400 AND regexp_matches(body, '\\?') THEN {{'label': 'jd:question', 'points': 5}} END,
+                CASE WHEN regexp_matches(place, '(?i)(?:^|[^\\p{{L}}])(?:of)(?:[^\\p{{L}}]|$)') THEN {{'label': 'UK confirmed', 'points': 6}}
+                     WHEN regexp_matches(place, '(?i)(?:^|[^\\p{{L}}])(?:des)(?:[^\\p{{L}}]|$)') THEN {{'label': 'outside the UK', 'points': -6}} ELSE {{'label': 'location not stated', 'points': -2}} END,
                 {{'label': 'via ' || coalesce(source, ''), 'points': CASE source WHEN 'src0' THEN 3 WHEN 'src1' THEN 2 WHEN 'src3' THEN 1 ELSE 0 END}},
                 CASE WHEN age <= 3 THEN {{'label': age || 'd old', 'points': 20}} WHEN age <= 7 THEN {{'label': age || 'd old', 'points': 12}} WHEN age <= 14 THEN {{'label': age || 'd old', 'points': 5}} WHEN age > 30 AND age <= 60 THEN {{'label': age || 'd old', 'points': -10}} END,
                 CASE WHEN NOT was_checked THEN {{'label': 'not verified', 'points': -5}} WHEN live IS NULL THEN {{'label': 'site blocked the check', 'points': -5}} WHEN live = 0 THEN {{'label': 'dead: ', 'points': -100}} ELSE {{'label': 'verified live', 'points': 10}} END,

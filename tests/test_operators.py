@@ -111,8 +111,8 @@ def test_score_orders_and_explains(spark):
     got = {r.id: r for r in score.scored(df, rubric, F.lit("2024-01-31")).collect()}
     labels = {i: [w.label for w in r.why] for i, r in got.items()}
     assert got[1].score > got[2].score > got[3].score > got[4].score
-    assert "text:no experience" in labels[1] and "text:no experience" not in labels[2]
-    assert "text:language" in labels[3] and "site blocked the check" in labels[3] and "not verified" in labels[5] and "1d old" in labels[1]
+    assert "jd:no experience" in labels[1] and "jd:no experience" not in labels[2]
+    assert "jd:language" in labels[3] and "site blocked the check" in labels[3] and "not verified" in labels[5] and "1d old" in labels[1]
     assert all(r.score == sum(w.points for w in r.why) for r in got.values())
 
 

@@ -45,3 +45,25 @@ def test_shards(spark, docs_of):
 
 def test_empty(spark, docs_of):
     assert shard_documents(docs_of([])).count() == 0
+
+
+def test_spread_equals_differencing_of_every_group(spark):
+    """Many more groups than bins, a hot one and a long text: the bins cost no balance against differencing each group alone."""
+    from pyspark.sql import functions as F
+
+    size = F.pmod(F.xxhash64("id"), F.lit(150)).cast("int") + 1
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "hot").when(F.col("id") == 7, F.repeat(F.lit("long "), F.lit(4000))).otherwise(F.concat(F.repeat(F.lit("x"), size), F.col("id").cast("string"))).alias("text"))
+    sums = [r.b for r in shard_documents(docs).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    groups = [r.b for r in docs.groupBy("text").agg(F.sum(F.octet_length("text") + 1).alias("b")).collect()]
+    best = [0] * 16
+    for g, k in zip(groups, differencing(groups, 16)):
+        best[k] += g
+    assert len(groups) > 25_000 and max(sums) - min(sums) <= max(best) - min(best) + 1
+
+
+def test_repeated_rows_all_stay(spark, docs_of):
+    docs = docs_of(["a", "a", None, "b"])
+    got = shard_documents(docs.unionByName(docs)).collect()
+    assert len(got) == 8 and len({r.shard for r in got if r.doc_id in (0, 1)}) == 1
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))

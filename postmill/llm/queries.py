@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.knn import exact_topk
-from postmill.llm import decontaminate, language, pieces, pii, quality, secrets, toxicity
+from postmill.llm import clusters, decontaminate, language, pieces, pii, quality, secrets, toxicity
 from postmill.llm.neardup import near_duplicates
 from postmill.llm.sharding import shard_documents
 from postmill.sources.tables import table
@@ -56,6 +56,34 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words_each=3, percent=85)
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def _kmeans_sql(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's algorithm unrolled: centroids ``c<i>`` and assignments ``a<i>`` of every round."""
+    steps = [f"""v AS MATERIALIZED (
+            SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h, e) - 1 AS j, e FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h, e LIMIT {k}))"""]
+    near = """a{0} AS MATERIALIZED (
+            SELECT i, min((d, j)) AS best FROM (
+                SELECT v.i, c.j, CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{0} c)
+            GROUP BY i)"""
+    for r in range(rounds):
+        steps += [near.format(r), f"""c{r + 1} AS MATERIALIZED (
+            SELECT c.j, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN (
+                SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS e FROM (
+                    SELECT a.best[2] AS j, pos, CAST(sum(v.e[pos]) AS BIGINT) AS s, count(*) AS n FROM a{r} a JOIN v USING (i), range(1, 65) t(pos) GROUP BY ALL)
+                GROUP BY j) m USING (j))"""]
+    last = ", ".join([*steps, near.format(rounds)])
+    return f"""WITH {last}
+        SELECT v.vec_id, CAST(a.best[2] AS INTEGER) AS cluster, a.best[1] AS distance, CAST(sum(a.best[1]) OVER (PARTITION BY a.best[2]) AS BIGINT) AS cluster_inertia,
+            CAST(sum(a.best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN v USING (i) JOIN c{rounds} c ON c.j = a.best[2]"""
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
@@ -67,6 +95,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_minhash": op10_minhash,
+    "op11_clusters": op11_clusters,
 }
 
 ORACLE_SQL = {
@@ -95,4 +124,5 @@ ORACLE_SQL = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
     """,
+    "op11_clusters": _kmeans_sql(),
 }

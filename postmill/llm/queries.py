@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.knn import exact_topk
-from postmill.llm import clusters, decontaminate, language, pieces, pii, quality, secrets, toxicity
+from postmill.llm import clusters, decontaminate, language, pieces, pii, quality, ranked, secrets, toxicity
 from postmill.llm.neardup import near_duplicates
 from postmill.llm.sharding import shard_documents
 from postmill.sources.tables import table
@@ -60,6 +60,10 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _kmeans_sql(k: int = 8, rounds: int = 10) -> str:
     """Lloyd's algorithm unrolled: centroids ``c<i>`` and assignments ``a<i>`` of every round."""
     steps = [f"""v AS MATERIALIZED (
@@ -96,6 +100,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_minhash": op10_minhash,
     "op11_clusters": op11_clusters,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLE_SQL = {
@@ -125,4 +130,19 @@ ORACLE_SQL = {
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
     """,
     "op11_clusters": _kmeans_sql(),
+    "op12_ranked_search": """
+        WITH t AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+        f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+        c AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS len FROM d),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term, n_docs),
+        q AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+        s AS (
+            SELECT q.item_id, f.doc_id, CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 12 * (75 + (25 * d.n * c.n_docs) // c.len)))) AS BIGINT) AS score
+            FROM q JOIN f USING (term) JOIN w USING (term) JOIN d ON d.doc_id = f.doc_id, c GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+    """,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.knn import exact_topk
-from postmill.llm import clusters, decontaminate, language, pieces, pii, quality, ranked, secrets, toxicity
+from postmill.llm import clusters, decontaminate, language, pieces, pii, quality, ranked, secrets, tokencount, toxicity
 from postmill.llm.neardup import near_duplicates
 from postmill.llm.sharding import shard_documents
 from postmill.sources.tables import table
@@ -64,6 +64,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def _kmeans_sql(k: int = 8, rounds: int = 10) -> str:
     """Lloyd's algorithm unrolled: centroids ``c<i>`` and assignments ``a<i>`` of every round."""
     steps = [f"""v AS MATERIALIZED (
@@ -101,6 +105,7 @@ QUERIES = {
     "op10_minhash": op10_minhash,
     "op11_clusters": op11_clusters,
     "op12_ranked_search": op12_ranked_search,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL = {

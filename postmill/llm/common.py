@@ -102,7 +102,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, mo
     """About ``cap`` labelled documents of each class outside the held-out rows, and the weight of one row of each class.
 
     Ids are drawn from the labels alone; they have that bound, so the documents meet them in a broadcast join and
-    aren't shuffled. An id that has several labels counts once, with the largest. The texts (id, text, y) are
+    aren't shuffled: as many tasks as the table has splits read them, and only the drawn rows meet in 16 parts. An id that has several labels counts once, with the largest. The texts (id, text, y) are
     written to the shared scratch folder for the passes of the training.
     """
     wide_rows(docs)
@@ -112,7 +112,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, mo
     )
     full = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     drawn = bounded_sample(rows, "doc_id", cap, ["y"], {(k,): n for k, n in full.items()})
-    texts, _ = materialise(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").coalesce(16), "sample")
+    texts, _ = materialise(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").repartition(16, "doc_id").sortWithinPartitions("doc_id", "text"), "sample")
     got = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     return texts, {y: full.get(y, 0) / n for y, n in got.items()}
 

@@ -108,7 +108,7 @@ def train_language(docs: DataFrame, cap: int = 1500, modulus: int = 4, remainder
     languages = sorted(k[0] for k in known)
     if not languages:
         return CodeModel([], np.ones((0, 1)), np.zeros((BINS, 1)), np.ones(1), np.zeros(1), np.ones(1))
-    texts, _ = materialise(bounded_sample(rows, "doc_id", cap, ["lang"], known).where("text is not null").select("lang", "text").coalesce(16), "lang")
+    texts, _ = materialise(bounded_sample(rows, "doc_id", cap, ["lang"], known).where("text is not null").repartition(16, "doc_id").sortWithinPartitions("doc_id", "text").select("lang", "text"), "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

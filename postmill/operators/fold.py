@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.operators import state
+from postmill.operators.scan import Scan
 from postmill.session import materialise
 
 
@@ -16,26 +18,11 @@ def upsert_fold(sightings: DataFrame, key: list[str], seq: str, rank: Column, ke
 
     The first sighting fixes ``keep_first``. A later one of strictly higher source rank than any before replaces
     the source, and the url if it has one. The first sighting whose ``salary[0]`` isn't null gives all salary fields
-    (else the first sighting). ``seen_count`` counts them all. One shuffle by key: the running maximum and the
-    aggregation share its partitioning.
+    (else the first sighting). ``seen_count`` counts them all. Sightings are combined by key and rank before the shuffle,
+    so no key is too large for a task.
     """
-    before = Window.partitionBy(*key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    rows = sightings.withColumn("__rank", F.coalesce(rank, F.lit(0)))
-    rows = rows.withColumn("__best", F.max("__rank").over(before))
-    rows = rows.withColumn("__up", F.col("__best").isNull() | (F.col("__rank") > F.col("__best")))
-    at = F.col(seq)
-    aggs = [F.min_by(c, at).alias(c) for c in keep_first if c not in key]
-    aggs += [F.max_by(source, F.when(F.col("__up"), at)).alias(source)]
-    if url in sightings.columns:
-        aggs += [F.coalesce(F.max_by(url, F.when(F.col("__up") & (F.coalesce(F.col(url), F.lit("")) != ""), at)), F.min_by(url, at)).alias(url)]
-    if salary:
-        held = F.struct(*salary)
-        first = F.coalesce(F.min_by(held, F.when(F.col(salary[0]).isNotNull(), at)), F.min_by(held, at))
-        aggs += [first.alias("__salary")]
-    out = rows.groupBy(*key).agg(*aggs, F.count("*").alias("seen_count"))
-    if salary:
-        out = out.select("*", *[F.col("__salary")[c].alias(c) for c in salary]).drop("__salary")
-    return out
+    f = state.Fold(tuple(key), seq, rank, tuple(keep_first), source, url if url in sightings.columns else None, tuple(salary or ()))
+    return state.folded(state.summaries(sightings, f), f)
 
 
 def latest_per_key(rows: DataFrame, key: list[str], seq: list[str]) -> DataFrame:
@@ -57,10 +44,14 @@ def with_status(state: DataFrame, changes: DataFrame, key: str = "id", seq: str
 
 
 def miss_streaks(rows: DataFrame, key: str, order: str, missed: Column) -> DataFrame:
-    """Each row with its run of consecutive misses up to and including it; anything else resets the count."""
-    so_far = Window.partitionBy(key).orderBy(order)
-    island = rows.withColumn("__hit", missed.cast("int")).withColumn("__island", F.sum(1 - F.col("__hit")).over(so_far))
-    return island.withColumn("misses", F.sum("__hit").over(Window.partitionBy(key, "__island").orderBy(order))).drop("__hit", "__island")
+    """Each row with its run of consecutive misses up to and including it; anything else, a null too, resets the count.
+
+    The run is the row's place in its key less the place of the last row that was no miss: two running values, scanned over
+    ranges so that one key may hold most rows.
+    """
+    scan = Scan(rows.withColumn("__hit", ~F.coalesce(missed, F.lit(False))), key, order).sum("__n", F.lit(1))
+    scan = scan.max("__last", F.when(F.col("__hit"), F.col("__n")))
+    return scan.done().withColumn("misses", F.col("__n") - F.coalesce("__last", F.lit(0))).drop("__hit", "__n", "__last")
 
 
 def prune_missing(verdicts: DataFrame, dead_after: int = 3) -> DataFrame:
@@ -73,12 +64,12 @@ def prune_missing(verdicts: DataFrame, dead_after: int = 3) -> DataFrame:
 def throttled(rows: DataFrame, key: str, arrival: Column, order: list[str], gap_ms: int = 350) -> DataFrame:
     """Start times when each key's requests keep a least gap: t(i) = max(arrival(i), t(i-1) + gap), in closed form.
 
-    t(i) = i gap + max over j <= i of (arrival(j) - j gap), one window instead of a recurrence.
+    t(i) = i gap + max over j <= i of (arrival(j) - j gap): two running values instead of a recurrence, scanned over ranges so
+    that one key may hold most rows.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    n = (F.row_number().over(w) - 1).cast("long")
-    rows = rows.withColumn("__n", n).withColumn("__slack", arrival - F.col("__n") * gap_ms)
-    return rows.withColumn("start_ms", F.col("__n") * gap_ms + F.max("__slack").over(w)).drop("__n", "__slack")
+    scan = Scan(rows.withColumn("__arrival", arrival), key, order).sum("__n", F.lit(1))
+    scan = scan.max("__slack", F.col("__arrival") - (F.col("__n") - 1) * gap_ms)
+    return scan.done().withColumn("start_ms", (F.col("__n") - 1) * gap_ms + F.col("__slack")).drop("__n", "__slack", "__arrival")
 
 
 def circuit_breaker(log: DataFrame, key: str = "host", at: str = "at", ok: str = "ok", failures: int = 6, cool_down: float = 900.0) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmill.functions import dates
-from postmill.operators import dedupe, fold, health
+from postmill.operators import dedupe, fold, health, state
 from postmill.plans.registry import query
+from postmill.session import scratch_root
 from postmill.sources.tables import table
 
 AS_OF = "2024-01-31 00:00:00"
@@ -28,17 +31,33 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH s AS (SELECT user_id || '-' || (event_id % 8) AS id, event_id, event_type AS source, CASE event_type WHEN 'purchase' THEN 10 WHEN 'signup' THEN 9 WHEN 'click' THEN 4 WHEN 'view' THEN 2 ELSE 0 END AS r,
+_FOLDED = """WITH s AS (SELECT user_id || '-' || (event_id % 8) AS id, event_id, event_type AS source, CASE event_type WHEN 'purchase' THEN 10 WHEN 'signup' THEN 9 WHEN 'click' THEN 4 WHEN 'view' THEN 2 ELSE 0 END AS r,
         CASE WHEN event_id % 3 = 0 THEN '' ELSE 'https://x.example/' || event_id END AS url, CASE WHEN value >= 20 THEN value END AS lo, value * 2 AS hi, ts FROM events),
     b AS (SELECT *, max(r) OVER (PARTITION BY id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM s),
     u AS (SELECT *, best IS NULL OR r > best AS up FROM b)
     SELECT id, strftime(min(ts), '%Y-%m-%d') AS first_day, arg_max(source, event_id) FILTER (WHERE up) AS source,
         coalesce(arg_max(url, event_id) FILTER (WHERE up AND url <> ''), arg_min(url, event_id)) AS url, count(*) AS seen_count,
         arg_min(lo, event_id) FILTER (WHERE lo IS NOT NULL) AS salary_min,
-        coalesce(arg_min(hi, event_id) FILTER (WHERE lo IS NOT NULL), arg_min(hi, event_id)) AS salary_max FROM u GROUP BY id""")
+        coalesce(arg_min(hi, event_id) FILTER (WHERE lo IS NOT NULL), arg_min(hi, event_id)) AS salary_max FROM u GROUP BY id"""
+
+
+@query(_FOLDED)
 def upsert_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = fold.upsert_fold(sightings(spark, sf_dir), ["id"], "event_id", rank_of(), ["first_seen"], salary=["salary_min", "salary_max"])
-    return state.select("id", F.date_format("first_seen", "yyyy-MM-dd").alias("first_day"), "source", "url", "seen_count", "salary_min", "salary_max")
+    found = fold.upsert_fold(sightings(spark, sf_dir), ["id"], "event_id", rank_of(), ["first_seen"], salary=["salary_min", "salary_max"])
+    return found.select("id", F.date_format("first_seen", "yyyy-MM-dd").alias("first_day"), "source", "url", "seen_count", "salary_min", "salary_max")
+
+
+@query(_FOLDED)
+def incremental_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state by batches: events of three spans of days, the last first, each merged into the buckets that it touches."""
+    f = state.Fold(("id",), "event_id", rank_of(), ("first_seen",), salary=("salary_min", "salary_max"))
+    rows = sightings(spark, sf_dir)
+    kept = state.BucketedState(spark, f"{scratch_root(spark)}/postmill/state-{uuid.uuid4().hex}", f, buckets=16)
+    ends = ["2024-01-10", "2024-01-20", None]
+    since = lambda day: F.lit(True) if day is None else F.col("first_seen") >= F.lit(day).cast("timestamp")
+    for batch, (start, end) in enumerate(reversed(list(zip([None, *ends], ends)))):
+        kept.apply(rows.where(since(start) & (F.lit(True) if end is None else ~since(end))), batch)
+    return kept.read().select("id", F.date_format("first_seen", "yyyy-MM-dd").alias("first_day"), "source", "url", "seen_count", "salary_min", "salary_max")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")

@@ -54,6 +54,11 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs_path(spark, path)
+    return fs.exists(p)
+
+
 def materialise(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet under the shared scratch folder and read it back.
 

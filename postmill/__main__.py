@@ -5,13 +5,15 @@ from __future__ import annotations
 import argparse
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmill.functions import text as T
+from postmill.functions import udfs
 from postmill.operators import dedupe, filters, fold, health, match
 from postmill.operators.score import explained
 from postmill.plans import ranking, report
+from postmill.session import exists
 from postmill.sources import registry_tables, settings
 
 STATUSES = ("new", "applied", "ignored", "interviewing", "rejected", "offer")
@@ -27,27 +29,44 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> int:
     wrong = settings.scoring_problems(rules_at(spark, a.scoring)) + settings.collection_of(rules_at(spark, a.collection)).problems(a.keep, a.drop)
     if a.registry:
         shared = registry_tables.shared_domains(registry_tables.read_csv(spark, a.registry, ["name", "category", "domain"]))
-        wrong += [f"domain {r.domain} is claimed by {r.names} names" for r in shared.orderBy("domain").limit(50).collect()]
+        claims = shared.orderBy("domain")
+        wrong += [f"domain {r.domain} is claimed by {r.names} names" for r in claims.toLocalIterator()]
     print("\n".join(wrong) or "all well")
     return min(len(wrong), 100)
 
 
 def ingest(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Append a drop folder's postings that the collection filter keeps to the sightings."""
+    """Append a drop folder's well-formed postings that the collection filter keeps to the sightings, and count what went where.
+
+    All counts are observed on the one job that writes.
+    """
     rules = settings.collection_of(rules_at(spark, a.collection))
-    kept, lost = filters.audited(registry_tables.inbox(spark, a.inbox), rules.verdict(F.col("title"), F.col("location")))
-    kept = kept.select(T.canonical_key("company", "title").alias("id"), "*", F.lit(a.as_of).alias("first_seen"))
+    rows = registry_tables.inbox(spark, a.inbox)
+    rows = rows.withColumns({c: udfs.clean_text(c) for c in ("company", "title", "location")})
+    reason = F.coalesce(filters.invalid_reason(), rules.verdict(F.col("title"), F.col("location")))
+    rows = rows.withColumn("why", reason).withColumn("id", T.canonical_key("company", "title"))
+    if exists(spark, a.sightings):
+        known = spark.read.parquet(a.sightings).select("id").distinct().withColumn("known", F.lit(True))
+        rows = rows.join(known, "id", "left")
+    else:
+        rows = rows.withColumn("known", F.lit(None).cast("boolean"))
+    fresh = F.row_number().over(Window.partitionBy("id", F.col("why").isNull()).orderBy("url")) == 1
+    rows = rows.withColumn("new", F.col("why").isNull() & F.col("known").isNull() & fresh)
+    rows, counts = report.observed(rows, {"raw": F.lit(True), "matched": F.col("why").isNull(), "new": F.col("new"), **{w: F.col("why") == w for w in filters.REASONS}})
+    band = T.stated_salary(F.col("salary_min").try_cast("double"), F.col("salary_max").try_cast("double"), "currency", "salary_text")
+    kept = rows.where("why is null").select("id", "company", "title", "location", F.trim("url").alias("url"), "source", "posted", F.lit(a.as_of).alias("first_seen"), band["lo"].alias("salary_min"), band["hi"].alias("salary_max"), band["currency"].alias("currency"))
     kept.write.mode("append").parquet(a.sightings)
-    lost.orderBy(F.desc("n")).show(truncate=False)
+    for name, n in counts.get.items():
+        if n or name in ("raw", "matched", "new"):
+            print(f"{name}: {n}")
     return 0
 
 
 def rank(spark: SparkSession, a: argparse.Namespace) -> int:
     """Rank sightings into a digest, a scored CSV and, if asked, a recorded run."""
     scoring, collection = rules_at(spark, a.scoring), rules_at(spark, a.collection)
-    seen = spark.read.parquet(a.sightings)
-    first = seen.groupBy("id").agg(*[F.min_by(c, F.struct("first_seen", "url")).alias(c) for c in seen.columns if c != "id"])
-    state = fold.with_status(first, spark.read.parquet(a.statuses)) if a.statuses else first
+    postings = ranking.state_of(spark.read.parquet(a.sightings))
+    state = fold.with_status(postings, spark.read.parquet(a.statuses)) if a.statuses else postings
     seniority, said = scoring.get("seniority") or {}, scoring.get("report") or {}
     since = report.last_run(spark.read.parquet(a.runs)) if a.new_only and a.runs else None
     d = ranking.Digest(

@@ -52,6 +52,21 @@ FIRM_BOAST = r"\b(we|our (team|firm|company|group|business|people)|the (firm|com
 YEARS = r"(\d{1,2})\s*(?:\+|plus)?\s*(?:-|to|–)?\s*(\d{1,2})?\s*(?:\+)?\s*years?[^.]{0,40}(?:experience|exp\b|track record)"
 PHD = r"\bph\.?\s?d\b|\bdoctoral\b|\bdoctorate\b|\bdphil\b"
 
+PHD_SOFT = r"preferred|a plus|desirable|nice to have|advantage|bonus|or equivalent|welcome|ideally|not required"
+
+# -- fixed values: seniority, as the collection filter and the ranking read it -------------------------------------------
+RANK_WORDS = ("manager", "lead", r"\bstaff\b", r"\bexpert\b", "principal")
+JUNIOR_MARKERS = (r"\b(junior|jnr|trainee|graduate|entry.?level|assistant|apprentice\w*|intern|placement)\b",)
+JUNIOR_TITLES = (r"\bjunior\b|trainee|entry.?level|early care|assistant|associate|analyst i\b",)
+
+# -- fixed values: how far a source is trusted; the higher one's link replaces the lower one's ---------------------------
+SOURCE_RANK = {
+    "jsonld": 10, "embedded": 9, "html": 8,
+    "greenhouse": 10, "lever": 10, "ashby": 10, "workday": 10, "oracle": 10, "eightfold": 9, "smartrecruiters": 9, "workable": 9, "recruitee": 9, "teamtailor": 9,
+    "personio": 9, "breezy": 9, "bamboohr": 9, "rippling": 9, "pinpoint": 9, "comeet": 9, "jobvite": 9,
+    "efinancialcareers": 4, "bullhorn": 4, "linkedin": 3, "reed": 2, "adzuna": 2, "google": 2, "jooble": 2, "careerjet": 2, "indeed": 1, "glassdoor": 1,
+}
+
 # -- fixed values: where a careers page usually lives -----------------------------------------------------------------
 CAREERS_PATHS = ("", "/careers", "/careers/", "/jobs", "/about/careers", "/company/careers", "/en/careers", "/careers/vacancies", "/careers/opportunities", "/join-us", "/work-with-us", "/about-us/careers", "/careers/jobs")
 CAREERS_HOSTS = ("www", "careers", "jobs", "recruitment", "apply", "talent", "workfor")

@@ -34,6 +34,10 @@ def any_of(text: Column, patterns: list[str], low: Column | None = None) -> Colu
     return out
 
 
+#: Every reason of ``invalid_reason`` and of ``CollectionRules.verdict``.
+REASONS = ("empty title", "title absurdly long", "title contains markup", "title has no words", "bad url", "no company", "no match", "excluded word", "location")
+
+
 def invalid_reason(title: str = "title", url: str = "url", company: str = "company") -> Column:
     """Why a row would poison the state, or null: ordered checks, the first reason wins."""
     t, u = F.trim(present(title)), F.trim(present(url))
@@ -93,7 +97,7 @@ class CollectionRules:
     def excluded(self, title: Column) -> Column:
         """An excluded word, unless a junior marker stands beside a mere rank word."""
         t = present(title)
-        hit = F.regexp_substr(t, F.lit(fused(self.exclude)))
+        hit = F.trim(F.regexp_substr(t, F.lit(fused(self.exclude))))
         rank_only = F.rlike(hit, F.lit("(?i)^(?:" + "|".join(self.rank_words or ["(?!)"]) + ")$"))
         return hit.isNotNull() & ~(F.rlike(t, F.lit(fused(self.junior))) & rank_only)
 
@@ -149,6 +153,15 @@ def retroactive(rows: DataFrame, as_of: Column, title: str | None = None, wanted
     return rows.withColumn("cut", F.coalesce(*[F.when(c, F.lit(why)) for c, why in steps], F.lit(None).cast("string")))
 
 
+def cut_examples(rows: DataFrame, most: int = 12, seq: str = "id") -> DataFrame:
+    """(cut, place, company, title, years_required): the first ``most`` rows that each rule cut, by company and title.
+
+    Spark keeps the first rows of each reason before the shuffle, so a reason that takes most rows stays cheap.
+    """
+    w = Window.partitionBy("cut").orderBy("company", "title", seq)
+    return rows.where("cut is not null").withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("cut", "place", "company", "title", "years_required")
+
+
 def apply_list(scored: DataFrame, seq: str = "seq", max_age: int = 45, keep_brokers: bool = False, hide_recruiters: bool = False) -> DataFrame:
     """Scored rows (url, title, company, why, score) with ``cut``, and what the list tells of those that stay.
 

@@ -26,6 +26,7 @@ class Rubric:
     phd_title: int = -60
     phd: dict[str, int] = field(default_factory=lambda: {"required": -45, "preferred": -12})
     phd_pattern: str = fixed.PHD
+    phd_hedge: str = fixed.PHD_SOFT
     categories: dict[str, int] = field(default_factory=dict)
     category_roles: dict[str, tuple[int, list[str]]] = field(default_factory=dict)
     signals: list[tuple[str, int, list[str]]] = field(default_factory=list)

@@ -65,7 +65,8 @@ _SCORED = f"""
             CASE WHEN doc_id % 3 = 0 THEN doc_id % 11 END AS years, CASE WHEN doc_id % 7 = 0 THEN 'required' WHEN doc_id % 7 = 1 THEN 'preferred' END AS phd, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 90 END AS posted_ago,
             coalesce(CASE WHEN doc_id % 4 <> 0 THEN doc_id % 90 END, doc_id % 40) AS age
         FROM documents LEFT JOIN labels USING (doc_id)),
-    t AS (
+    """
+SCORED_TERMS = f"""t AS (
         SELECT *, len(body) AS n, translate(concat_ws(' ', '', title, ''), '-_/', '   ') AS place, title || chr(10) || body AS title_body,
             list_filter([
                 CASE WHEN regexp_matches(title, '(?i)(?:^|[^\\p{{L}}])(?:the the|station)(?:[^\\p{{L}}]|$)') THEN {{'label': 'title:top', 'points': 50}}
@@ -93,8 +94,8 @@ _SCORED = f"""
                 CASE WHEN id % 13 = 0 THEN {{'label': 'reposted repeatedly', 'points': -25}} END
             ], lambda x: x IS NOT NULL) AS why
         FROM d),
-    s AS (SELECT *, CAST(list_sum(list_transform(why, lambda x: x.points)) AS INTEGER) AS score FROM t)
-"""
+    s AS (SELECT *, CAST(list_sum(list_transform(why, lambda x: x.points)) AS INTEGER) AS score FROM t)"""
+_SCORED += SCORED_TERMS + "\n"
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,29 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions import dates
+from postmill.functions import dates, fixed
 from postmill.functions import text as T
 from postmill.functions.text import present
-from postmill.operators import dedupe, filters
+from postmill.operators import dedupe, filters, fold
 from postmill.operators.filters import CollectionRules
 from postmill.operators.score import Rubric, scored
 from postmill.session import materialise
 
 
+def state_of(sightings: DataFrame) -> DataFrame:
+    """Sightings (id, company, title, location, url, source, posted, first_seen, and a salary if told) as one posting an id.
+
+    They replay in the order of ``first_seen``, then of their values: the first one's texts stay, a source of higher rank replaces
+    source and link, the first salary stays, and sightings are counted.
+    """
+    names = ("company", "title", "location", "url", "source", "posted", "first_seen")
+    rows = sightings.withColumns({c: F.lit(None).cast("string") for c in names if c not in sightings.columns})
+    rank = F.create_map(*[F.lit(x) for pair in fixed.SOURCE_RANK.items() for x in pair])[F.col("source")]
+    salary = tuple(c for c in ("salary_min", "salary_max", "currency") if c in sightings.columns)
+    rows = rows.withColumn("__seq", F.struct("first_seen", "company", "title", "url", "source"))
+    return fold.upsert_fold(rows, ["id"], "__seq", rank, ["company", "title", "location", "posted", "first_seen"], salary=list(salary))
+
+
 @dataclass
 class Digest:
     """What a digest takes. ``since`` (a timestamp) keeps what was first seen after it, topped up below ``backfill_to`` rows."""
@@ -42,7 +56,8 @@ def judged(postings: DataFrame, checks: DataFrame | None, categories: DataFrame
     """Postings (id, company, title, location, url, source, posted, first_seen, status) that are still new, with ``cut``, ``carried_over``, ``why`` and ``score``.
 
     Reposts are told from all postings, whatever else drops them. Missing columns count as empty. ``checks`` has a row an id
-    at most; a posting without one was never checked.
+    at most; a posting without one was never checked. Whether a doctorate is asked for comes from the description where the
+    checks don't tell.
     """
     have = set(postings.columns)
     rows = postings.withColumns({c: F.lit("") for c in ("location", "url", "source", "posted", "first_seen", "status") if c not in have})
@@ -63,19 +78,22 @@ def judged(postings: DataFrame, checks: DataFrame | None, categories: DataFrame
     if categories is not None:
         rows = rows.withColumn("firm", T.norm("company")).join(categories.select("firm", F.col("category").alias("__cat")), "firm", "left").drop("firm")
         rows = rows.withColumn("category", F.col("__cat")).drop("__cat")
+    said = T.graded_requirement("description", "(?i)" + rubric.phd_pattern, "(?i)" + rubric.phd_hedge, rubric.least_text)
+    rows = rows.withColumn("phd", F.coalesce("phd", said))
     now = F.lit(as_of)
     rows = filters.retroactive(rows, now, d.excluded_title, d.wanted, d.max_years, d.max_open)
     return scored(rows, rubric, now)
 
 
 def rank_postings(postings: DataFrame, checks: DataFrame | None, categories: DataFrame | None, rubric: Rubric, as_of: str, d: Digest) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(digest, kept, cuts): the two sections, every row of at least the least score, and how many each hard rule took.
+    """(digest, kept, cuts): the two sections, every row of at least the least score, and how many each hard rule took with its first twelve.
 
     Rows proven dead go unless ``dead_too``; those never checked, or whose site refused, stay. Of one description's copies
     the best remains.
     """
     rows, _ = materialise(judged(postings, checks, categories, rubric, as_of, d), "judged")  # read for the cuts and for the ranking
-    cuts = rows.where("cut is not null").groupBy("cut").agg(F.count("*").alias("n"))
+    shown = filters.cut_examples(rows).groupBy("cut").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "company", "title", "years_required"))), lambda x: x.dropFields("place")).alias("first"))
+    cuts = rows.where("cut is not null").groupBy("cut").agg(F.count("*").alias("n")).join(shown, "cut")
     open_ = dedupe.description_collapse(rows.where("cut is null"), "company", "title", "description", seq="id", least=rubric.least_text)
     if not d.dead_too:
         open_ = open_.where(~F.col("live").eqNullSafe(F.lit(0)))

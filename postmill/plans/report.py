@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.operators.score import explained
@@ -55,9 +55,15 @@ def link_index(firms: DataFrame, template: str = "https://www.google.com/search?
     return firms.groupBy("category").agg(F.array_sort(F.collect_list(row)).alias("l")).select("category", F.transform("l", lambda x: F.struct(x["name"], x["url"])).alias("links")).orderBy("category")
 
 
-def run_report(raw: DataFrame, matched: DataFrame, new: DataFrame) -> tuple[dict[str, int], DataFrame]:
-    """Counts of a run, and its new rows by company."""
-    return {"raw": raw.count(), "matched": matched.count(), "new": new.count()}, new.orderBy("company", "title")
+def observed(rows: DataFrame, counts: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """Rows, and how many meet each condition: counted on the plan that some action runs anyway, read by ``get`` after it."""
+    watch = Observation()
+    return rows.observe(watch, *[F.count_if(c).alias(k) for k, c in counts.items()]), watch
+
+
+def run_report(new: DataFrame) -> DataFrame:
+    """A run's new rows by company; its counts come from ``observed``."""
+    return new.orderBy("company", "title")
 
 
 def snapshot(rows: DataFrame, root: str, stamp: str, keep: int = 5) -> None:

@@ -23,8 +23,8 @@ def read_csv_maybe_header(spark: SparkSession, path: str, columns: list[str]) ->
 
 
 def inbox(spark: SparkSession, path: str) -> DataFrame:
-    """Posting CSVs of a drop folder; rows without a URL are left out."""
-    return read_csv(spark, path, ["company", "title", "location", "url", "source", "posted"]).where("url <> ''")
+    """Posting CSVs of a drop folder, salaries where the files have them; rows without a URL are left out."""
+    return read_csv(spark, path, ["company", "title", "location", "url", "source", "posted", "salary_min", "salary_max", "currency", "salary_text"]).where("url <> ''")
 
 
 def categories(registry: DataFrame, seq: str = "seq") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+from postmill.functions import fixed
 from postmill.operators.filters import CollectionRules
 from postmill.operators.score import Rubric
 
@@ -38,7 +39,7 @@ def scoring_problems(rubric: dict) -> list[str]:
     return out + (["freshness limits must rise"] if steps != sorted(steps) else [])
 
 
-def rubric_of(scoring: dict, collection: dict | None = None, junior: tuple[str, ...] = ()) -> Rubric:
+def rubric_of(scoring: dict, collection: dict | None = None, junior: tuple[str, ...] = fixed.JUNIOR_TITLES) -> Rubric:
     """The rubric that a scoring file states; what it leaves out keeps the rubric's own value.
 
     Places come from the collection file, so that filter and ranking can't drift apart. ``junior`` holds the patterns
@@ -57,8 +58,8 @@ def rubric_of(scoring: dict, collection: dict | None = None, junior: tuple[str,
     )
 
 
-def collection_of(collection: dict, junior: tuple[str, ...] = (), rank_words: tuple[str, ...] = ()) -> CollectionRules:
-    """The collection filter that a collection file states."""
+def collection_of(collection: dict, junior: tuple[str, ...] = fixed.JUNIOR_MARKERS, rank_words: tuple[str, ...] = fixed.RANK_WORDS) -> CollectionRules:
+    """The collection filter that a collection file states; junior markers and rank words are no part of the file."""
     of = lambda k: [p for p in collection.get(k) or []]
     return CollectionRules(
         include=of("include"), roles=of("role_words"), domains=of("domain_words"), exclude=of("exclude"), rank_words=list(rank_words), junior=list(junior), home=of("uk_markers"),

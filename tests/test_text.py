@@ -90,3 +90,9 @@ def test_web(spark):
 def test_retry_delay(spark):
     d = lambda *a: one(spark, dates.retry_delay(*[F.lit(x) for x in a]))
     assert d(20, 500, None) == 30.0 and d(1, 429, "500") == 120.0 and round(d(1, 429, None), 3) == 3.6
+
+
+def test_stated_salary(spark):
+    rows = [(None, None, "", "£40,000 - £50,000"), (30000.0, None, "", "£90,000"), (30000.0, 60000.0, "EUR", ""), (0.0, 0.0, "", "£70,000"), (None, None, "USD", "from 80000"), (None, None, None, None), (None, None, "USD", "£45,000")]
+    df = spark.createDataFrame(rows, "lo double, hi double, cur string, said string").select(T.stated_salary("lo", "hi", "cur", "said").alias("b"))
+    assert [tuple(r.b) for r in df.collect()] == [(40000, 50000, "GBP"), (30000, None, "GBP"), (30000, 60000, "EUR"), (None, None, ""), (80000, 80000, "USD"), (None, None, ""), (45000, 45000, "GBP")]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.text import content_terms
+from postmill.operators.index import text_index
 from postmill.session import materialise
 
 
@@ -17,19 +18,11 @@ def term_counts(docs: DataFrame, key: str, text: str = "text", stop: tuple[str,
 def tfidf_cosine(docs: DataFrame, key: str, query: DataFrame, text: str = "text", stop: tuple[str, ...] = ()) -> DataFrame:
     """(key, cosine) of every document that shares a term with the query (one row), idf = ln(1 + n / (1 + df)) over documents and query.
 
-    The query's terms are one text's, so that side of the joins is small; the document terms are shuffled once, on the
-    key, and their idf comes by term.
+    The texts become an inverted index; the query then reads its own terms' postings and nothing else. ``index.TextIndex`` is for
+    many queries, and for the best documents alone.
     """
-    tf = term_counts(docs, key, text, stop)
-    q = query.select(F.explode(content_terms(text, stop)).alias("term")).groupBy("term").agg(F.count("*").alias("qn"))
-    df = tf.select("term").unionByName(q.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg((F.count("*") + 1).alias("total"))
-    idf = df.join(F.broadcast(total), how="cross").select("term", F.log(1 + F.col("total") / (1 + F.col("df"))).alias("w"))
-    weighted = tf.join(idf, "term").join(F.broadcast(q), "term", "left")
-    a, b = F.col("n") * F.col("w"), F.col("qn") * F.col("w")
-    by_doc = weighted.groupBy(key).agg(F.sqrt(F.sum(a * a)).alias("norm"), F.sum(a * b).alias("dot")).where("dot is not null")
-    qnorm = q.join(idf, "term").agg(F.sqrt(F.sum(b * b)).alias("qnorm"))
-    return by_doc.join(F.broadcast(qnorm), how="cross").select(key, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("cosine"))
+    found = text_index(docs, key, text, stop).search(query.select(F.lit(0).alias("qid"), F.col(text).alias("text")), "text", stop)
+    return found.select(F.col("doc").alias(key), "cosine")
 
 
 def relative_scores(rows: DataFrame, score: str = "cosine") -> DataFrame:

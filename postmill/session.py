@@ -59,16 +59,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared scratch folder; what is there when the driver's Python ends is removed then."""
+    path = f"{scratch_root(spark)}/postmill/{name}-{uuid.uuid4().hex}"
+    atexit.register(_quietly_drop, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet under the shared scratch folder and read it back.
 
     This cuts lineage and survives lost executors: every later stage rereads files that all executors see.
-    Tables still there when the driver's Python ends are removed then.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/postmill/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    atexit.register(_quietly_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -26,7 +26,9 @@ def rules_at(spark: SparkSession, path: str | None) -> dict:
 
 def validate(spark: SparkSession, a: argparse.Namespace) -> int:
     """Say what is wrong with rule files and the registry; the exit code counts it."""
-    wrong = settings.scoring_problems(rules_at(spark, a.scoring)) + settings.collection_of(rules_at(spark, a.collection)).problems(a.keep, a.drop)
+    scoring, collection = rules_at(spark, a.scoring), rules_at(spark, a.collection)
+    wrong = settings.scoring_problems(scoring) + settings.pattern_problems(scoring) + settings.pattern_problems(collection)
+    wrong += [] if wrong else settings.collection_of(collection, written=True).problems(a.keep, a.drop)
     if a.registry:
         shared = registry_tables.shared_domains(registry_tables.read_csv(spark, a.registry, ["name", "category", "domain"]))
         claims = shared.orderBy("domain")

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from postmill.functions import dates, fixed
 from postmill.functions.text import present
 from postmill.operators.filters import any_of, fused
+from postmill.operators.rules import RuleMatcher
 
 WHY = "array<struct<label:string,points:int>>"
 
 
 @dataclass
 class Rubric:
-    """Points and patterns. Every part may be empty; a term without an entry adds nothing."""
+    """Points and patterns. Every part may be empty; a term without an entry adds nothing.
+
+    ``python`` says that the patterns are Python's, as those of rule files are: they are matched by one automaton for each text that
+    they read (``rules.RuleMatcher``). Else they are Java's and become expressions, for which a rubric should be short.
+    """
 
     tiers: list[tuple[str, int, list[str]]] = field(default_factory=list)
     junior: tuple[list[str], int, int] = ((), 0, 0)  # patterns, points with, points without
@@ -43,6 +48,15 @@ class Rubric:
     anonymous: int = -10
     long_open: int = -10
     ghost: int = -25
+    python: bool = False
+
+    def by_text(self) -> dict[str, list[str]]:
+        """The patterns that each text is read for."""
+        title = [p for _, _, ps in self.tiers for p in ps] + list(self.junior[0]) + [p for _, ps in self.category_roles.values() for p in ps]
+        return {
+            "__title": title, "__both": [p for _, n, ps in self.signals if n < 0 for p in ps], "__text": [p for _, n, ps in self.signals if n >= 0 for p in ps],
+            "__where": [*self.home[0], *self.away[0]],
+        }
 
 
 def entry(label: Column | str, points: Column | int) -> Column:
@@ -52,16 +66,24 @@ def entry(label: Column | str, points: Column | int) -> Column:
 def terms(r: Rubric, as_of: Column, cols: set[str]) -> list[Column]:
     """One nullable struct by rule, in the order of the explanation. Columns that the rows lack count as null."""
     get = lambda c, kind="string": F.col(c) if c in cols else F.lit(None).cast(kind)
-    title, text, both = F.col("__title"), F.col("__text"), F.col("__both")
+    title, text = F.col("__title"), F.col("__text")
+    known = {c: {p: i for i, p in enumerate(dict.fromkeys(ps))} for c, ps in r.by_text().items()}
+
+    def found(name: str, patterns: list[str]) -> Column:
+        """Whether one of the patterns matches a text."""
+        if r.python:
+            return F.arrays_overlap(F.col(f"{name}_hits"), F.array(*[F.lit(known[name][p]) for p in patterns])) if patterns else F.lit(False)
+        return any_of(F.col(name), patterns, F.col(name)) if name in ("__both", "__text") else F.rlike(F.col(name), F.lit(fused(list(patterns))))
+
     out = []
     if r.tiers:
         tier = None
         for name, points, patterns in r.tiers:
-            hit = F.rlike(title, F.lit(fused(patterns)))
+            hit = found("__title", patterns)
             tier = F.when(hit, entry(f"title:{name}", points)) if tier is None else tier.when(hit, entry(f"title:{name}", points))
         out.append(tier)
     if r.junior[0]:
-        out.append(F.when(F.rlike(title, F.lit(fused(list(r.junior[0])))), entry("junior title", r.junior[1])).otherwise(entry("no seniority marker", r.junior[2])))
+        out.append(F.when(found("__title", r.junior[0]), entry("junior title", r.junior[1])).otherwise(entry("no seniority marker", r.junior[2])))
     years = get("years_required", "int")
     out.append(F.when(years > r.years_cap, entry(F.concat(F.lit("wants "), years.cast("string"), F.lit("y experience")), F.lit(r.over_cap) + F.lit(r.per_year_over) * (years - r.years_cap - 1))))
     want = get("phd")
@@ -72,20 +94,19 @@ def terms(r: Rubric, as_of: Column, cols: set[str]) -> list[Column]:
         points = F.coalesce(*[F.when(cat == k, F.lit(p)) for k, p in r.categories.items()], F.lit(r.categories.get("unknown", 0)))
         out.append(entry(F.concat(F.lit("firm:"), cat), points))
         for k, (p, patterns) in r.category_roles.items():
-            out.append(F.when((cat == k) & F.rlike(title, F.lit(fused(patterns))), entry(f"{k} + this role type", p)))
+            out.append(F.when((cat == k) & found("__title", patterns), entry(f"{k} + this role type", p)))
     for name, points, patterns in r.signals:  # against: read anywhere, however short the text
         if points < 0:
-            out.append(F.when(any_of(both, patterns, both), entry(f"{fixed.TEXT_LABEL}:{name}", points)))
+            out.append(F.when(found("__both", patterns), entry(f"{fixed.TEXT_LABEL}:{name}", points)))
     size = F.length(text)
     out.append(F.when((size > 0) & (size < r.least_text), entry(F.concat(F.lit(f"{fixed.TEXT_LABEL} too short to read ("), size.cast("string"), F.lit("c)")), 0)))
     for name, points, patterns in r.signals:  # in favour: only where there is enough to read
         if points >= 0:
-            out.append(F.when((size >= r.least_text) & any_of(text, patterns, text), entry(f"{fixed.TEXT_LABEL}:{name}", points)))
+            out.append(F.when((size >= r.least_text) & found("__text", patterns), entry(f"{fixed.TEXT_LABEL}:{name}", points)))
     if r.home[0] or r.away[0]:
-        where = F.regexp_replace(F.concat_ws(" ", present(get("location")), title, present(get("url"))), "[-_/]", " ")
         out.append(
-            F.when(F.rlike(where, F.lit(fused(list(r.home[0])))), entry(fixed.HOME_LABEL, r.home[1]))
-            .when(F.rlike(where, F.lit(fused(list(r.away[0])))), entry(fixed.AWAY_LABEL, r.away[1]))
+            F.when(found("__where", r.home[0]), entry(fixed.HOME_LABEL, r.home[1]))
+            .when(found("__where", r.away[0]), entry(fixed.AWAY_LABEL, r.away[1]))
             .when(F.trim(present(get("location"))) == "", entry("location not stated", r.no_location))
         )
     source = present(get("source"))
@@ -109,13 +130,18 @@ def terms(r: Rubric, as_of: Column, cols: set[str]) -> list[Column]:
 
 
 def scored(rows: DataFrame, rubric: Rubric, as_of: Column) -> DataFrame:
-    """Rows with ``why`` and ``score``: one projection, no shuffle, no Python."""
+    """Rows with ``why`` and ``score``: one projection and no shuffle; Python only where the rubric's patterns are Python's."""
     cols = set(rows.columns)
     # the texts that many rules read are columns of their own, so that they are made once a row
     low = lambda c: F.lower(present(c)) if c in cols else F.lit("")
     rows = rows.withColumns({"__title": present("title") if "title" in cols else F.lit(""), "__text": low("description")})
     rows = rows.withColumn("__both", F.concat(F.lower("__title"), F.lit("\n"), F.col("__text")))
-    rows = rows.withColumn("why", F.filter(F.array(*terms(rubric, as_of, cols)), lambda t: t.isNotNull())).drop("__title", "__text", "__both")
+    told = lambda c: present(c) if c in cols else F.lit("")
+    rows = rows.withColumn("__where", F.regexp_replace(F.concat_ws(" ", told("location"), F.col("__title"), told("url")), "[-_/]", " "))
+    texts = rubric.by_text()
+    if rubric.python:
+        rows = rows.withColumns({f"{c}_hits": RuleMatcher(list(dict.fromkeys(ps))).column(c) for c, ps in texts.items()})
+    rows = rows.withColumn("why", F.filter(F.array(*terms(rubric, as_of, cols)), lambda t: t.isNotNull())).drop(*texts, *[f"{c}_hits" for c in texts])
     return rows.withColumn("score", F.aggregate("why", F.lit(0), lambda acc, t: acc + t["points"]))
 
 

@@ -11,6 +11,7 @@ from postmill.functions.text import NOISE_WORDS
 from postmill.operators import dedupe, filters, match
 from postmill.operators import score as S
 from postmill.operators.index import text_index
+from postmill.operators.rules import rule_join
 from postmill.plans.registry import query
 from postmill.sources.tables import table
 
@@ -220,6 +221,16 @@ def rule_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return low.select("doc_id", F.inline(hits))
 
 
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM benchmark),
+    d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)
+    SELECT doc_id, word AS label, len(word) AS points FROM d JOIN w USING (word)""")
+def rules_of_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the benchmark as a rule (hundreds to thousands) over every document: one pass, no pairs but those found."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(T.words("text", "[a-z]{4,}")).alias("w")).distinct().orderBy("w").toLocalIterator()
+    rules = [(r["w"], f"(?<![a-z]){r['w']}(?![a-z])", len(r["w"])) for r in words]
+    return rule_join(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), "doc_id", "text", rules)
+
+
 @query("""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM documents)
     WHERE word NOT IN ('that', 'with', 'this', 'from') GROUP BY word ORDER BY n DESC, word LIMIT 14""")
 def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

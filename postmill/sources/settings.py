@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from postmill.functions import fixed
+from postmill.functions import fixed, patterns
 from postmill.operators.filters import CollectionRules
 from postmill.operators.score import Rubric
 
@@ -39,6 +39,15 @@ def scoring_problems(rubric: dict) -> list[str]:
     return out + (["freshness limits must rise"] if steps != sorted(steps) else [])
 
 
+def pattern_problems(rules: object, at: str = "") -> list[str]:
+    """What is wrong with the patterns of a rule file: its lists of strings, wherever they stand, named by their place."""
+    if isinstance(rules, dict):
+        return [p for k, v in rules.items() for p in pattern_problems(v, f"{at}.{k}" if at else str(k))]
+    if isinstance(rules, list):
+        return [f"{at}: {p!r} {why}" for p in rules if isinstance(p, str) for why in patterns.problems(p)]
+    return []
+
+
 def rubric_of(scoring: dict, collection: dict | None = None, junior: tuple[str, ...] = fixed.JUNIOR_TITLES) -> Rubric:
     """The rubric that a scoring file states; what it leaves out keeps the rubric's own value.
 
@@ -54,14 +63,18 @@ def rubric_of(scoring: dict, collection: dict | None = None, junior: tuple[str,
         category_roles={k: (p, patterns) for k, p, patterns in rules("firm_role_bonus")}, signals=rules("description_signals"), least_text=scoring.get("min_jd_chars", old.least_text),
         home=(list(where.get("uk_markers") or []), place.get("uk_confirmed", 0)), away=([*(where.get("location_exclude_cities") or []), *(where.get("location_exclude_regions") or [])], place.get("outside_uk", 0)), no_location=place.get("not_stated", 0),
         sources=dict(scoring.get("source_weights") or {}), freshness=[tuple(x) for x in scoring.get("freshness") or []], live=checks.get("live", old.live), dead=checks.get("dead", old.dead), unverified=checks.get("unverified", old.unverified),
-        mismatch=checks.get("title_mismatch", old.mismatch), anonymous=checks.get("anonymous_employer", old.anonymous), long_open=checks.get("long_open", old.long_open), ghost=checks.get("ghost_repost", old.ghost),
+        mismatch=checks.get("title_mismatch", old.mismatch), anonymous=checks.get("anonymous_employer", old.anonymous), long_open=checks.get("long_open", old.long_open), ghost=checks.get("ghost_repost", old.ghost), python=True,
     )
 
 
-def collection_of(collection: dict, junior: tuple[str, ...] = fixed.JUNIOR_MARKERS, rank_words: tuple[str, ...] = fixed.RANK_WORDS) -> CollectionRules:
-    """The collection filter that a collection file states; junior markers and rank words are no part of the file."""
-    of = lambda k: [p for p in collection.get(k) or []]
+def collection_of(collection: dict, junior: tuple[str, ...] = fixed.JUNIOR_MARKERS, rank_words: tuple[str, ...] = fixed.RANK_WORDS, written: bool = False) -> CollectionRules:
+    """The collection filter that a collection file states; junior markers and rank words are no part of the file.
+
+    Its patterns are Python's and are put into Java's terms, unless they are wanted as ``written``.
+    """
+    as_is = lambda ps: [p if written else patterns.java(p) for p in ps]
+    of = lambda k: as_is(collection.get(k) or [])
     return CollectionRules(
-        include=of("include"), roles=of("role_words"), domains=of("domain_words"), exclude=of("exclude"), rank_words=list(rank_words), junior=list(junior), home=of("uk_markers"),
+        include=of("include"), roles=of("role_words"), domains=of("domain_words"), exclude=of("exclude"), rank_words=as_is(rank_words), junior=as_is(junior), home=of("uk_markers"),
         away=of("location_exclude_cities") + of("location_exclude_regions"), locations=of("locations"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.operators import state
+from postmill.operators.components import components
 from postmill.operators.scan import Scan
 from postmill.session import materialise
 
@@ -101,13 +102,30 @@ def circuit_breaker(log: DataFrame, key: str = "host", at: str = "at", ok: str =
     return ordered.mapInArrow(run, f"`{key}` {kinds[key]}, `{at}` {kinds[at]}, `{ok}` {kinds[ok]}, state string")
 
 
+class _Accept:
+    """A table function over one component's candidates (seq, n, d) in order: those whose name and domain no accepted one holds."""
+
+    def __init__(self) -> None:
+        self.names: set[str] = set()
+        self.domains: set[str] = set()
+
+    def eval(self, row):
+        n, d = row["n"], row["d"]
+        if n not in self.names and d not in self.domains:
+            self.names.add(n)
+            if d:
+                self.domains.add(d)
+            yield row["seq"], n
+
+
 def accept_new(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates (seq, name, category, domain) with a verdict, each judged against the registry and those accepted before it.
 
-    A name or a domain that is taken is refused; a refused candidate claims neither. Blank domains never collide. In
-    every round the candidates that come first both under their name and under their domain are accepted, and those
-    that share either with one of them are refused; the number of rounds is the longest chain of candidates that wait for
-    one another, and each is a few joins.
+    A name or a domain that is taken is refused; a refused candidate claims neither. Blank domains never collide; names and
+    domains are the same whatever the case. Whether a candidate is accepted depends on those that share its name or domain, on
+    those that share one with them, and so on: the components of that relation. Each component passes a table function in the order of
+    ``seq``, which holds the names and domains that it accepted. Components take rounds that grow with the logarithm of the longest
+    chain; candidates that repeat a name and domain go in once, and those that the registry refuses not at all.
     """
     key = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     names = existing.select(key("name").alias("n")).distinct().withColumn("name_taken", F.lit(True))
@@ -115,17 +133,14 @@ def accept_new(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     judged = candidates.select("seq", "name", key("name").alias("n"), key("domain").alias("d")).join(names, "n", "left").join(domains, "d", "left")
     first = F.when(F.col("n") == "", "no name").when(F.col("name_taken"), "name taken").when(F.col("domain_taken"), "domain taken")
     judged, _ = materialise(judged.select("seq", "name", "n", "d", first.alias("verdict")), "judged")
-    open_ = judged.where("verdict is null").select("seq", "n", "d")
-    accepted = open_.limit(0)
-    while not open_.isEmpty():
-        by_name = open_.groupBy("n").agg(F.min("seq").alias("first_n"))
-        by_domain = open_.where("d <> ''").groupBy("d").agg(F.min("seq").alias("first_d"))
-        placed = open_.join(by_name, "n").join(by_domain, "d", "left")
-        now, _ = materialise(placed.where("seq = first_n and (d = '' or seq = first_d)").select("seq", "n", "d"), "accepted")
-        accepted = accepted.unionByName(now)
-        left = open_.join(now.select("n"), "n", "left_anti").join(now.where("d <> ''").select("d"), "d", "left_anti")
-        open_, _ = materialise(left.select("seq", "n", "d"), "undecided")
-    took = accepted.select("n", F.col("seq").alias("by"))
-    last = judged.where("verdict is null").select("seq", "name", "n").join(took, "n", "left")
-    verdict = F.when(F.col("by") == F.col("seq"), "accepted").when(F.col("by") < F.col("seq"), "name taken").otherwise("domain taken")
-    return judged.where("verdict is not null").select("seq", "name", "verdict").unionByName(last.select("seq", "name", verdict.alias("verdict")))
+    heads, _ = materialise(judged.where("verdict is null").groupBy("n", "d").agg(F.min("seq").alias("seq")), "heads")
+    of_name = F.concat(F.lit("n"), "n")
+    edges = heads.select(of_name.alias("u"), F.when(F.col("d") == "", of_name).otherwise(F.concat(F.lit("d"), "d")).alias("v"))
+    placed = heads.join(components(edges), of_name == F.col("node")).select("component", "seq", "n", "d")
+    accept = F.udtf(_Accept, returnType="by long, n string")
+    took = accept(placed.asTable().partitionBy("component").orderBy("seq"))
+    final = (
+        F.when(F.col("verdict").isin("no name", "name taken"), F.col("verdict")).when(F.col("by") < F.col("seq"), "name taken")
+        .when(F.col("verdict").isNull() & (F.col("by") == F.col("seq")), "accepted").otherwise("domain taken")
+    )
+    return judged.join(took, "n", "left").select("seq", "name", final.alias("verdict"))

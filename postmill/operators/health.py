@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.session import materialise
@@ -51,29 +53,60 @@ def observed_weeks(rows: DataFrame, at: str) -> DataFrame:
     return rows.agg(F.greatest(F.lit(1), F.floor(days / 7)).alias("weeks"))
 
 
-def index_percentiles(rows: DataFrame, value: str, shares: tuple[float, ...], by: list[str] = ()) -> DataFrame:
+def index_percentiles(rows: DataFrame, value: str, shares: tuple[float, ...], by: list[str] = (), accuracy: int = 1000, few: int = 1 << 17) -> DataFrame:
     """Elements at position min(n - 1, int(n p)) of the sorted values, by group; null values don't count.
 
-    Neither interpolated nor discrete percentiles. Values are counted (a shuffle combined by value) and dealt to range
-    partitions, which are written; a position is what the partitions before hold plus a running sum within its own. So
-    no task sees all values of a group, however many are distinct.
+    Neither interpolated nor discrete percentiles. A mergeable quantile sketch brackets each position in one pass; a second
+    counts exactly what lies below and inside each bracket, and only values inside are counted one by one and put in order. Brackets
+    that hold more than ``few`` rows of several values are narrowed by a sketch of what is inside, and one that a sketch
+    got wrong is opened to its group's end, so the result is exact whatever the sketch says (narrowing ends after six
+    rounds, each by a twentieth or so). No pass shuffles all values.
     """
-    from pyspark.sql import Window
-
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    ranged, _ = materialise(counts.repartitionByRange(*by, value).withColumn("__p", F.spark_partition_id()), "ranged")
-    parts = ranged.groupBy(*by, "__p").agg(F.sum("c").alias("__c"))
-    group = Window.partitionBy(*by)
-    before = F.coalesce(F.sum("__c").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(*by, F.col("__p").alias("__q"), before.alias("__before"), F.sum("__c").over(group).alias("n"))
-    same = F.col("a.__p") == F.col("b.__q")
-    for c in by:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    spans = ranged.alias("a").join(parts.alias("b"), same).select(*[F.col(f"a.{c}").alias(c) for c in by], F.col(f"a.{value}").alias(value), "c", "n", "__before", "__p")
-    spans = spans.withColumn("hi", F.col("__before") + F.sum("c").over(Window.partitionBy(*by, "__p").orderBy(value)))
-    at = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p)))
-    picks = [F.max(F.when((at(p) < F.col("hi")) & (at(p) >= F.col("hi") - F.col("c")), F.col(value))).alias(f"p{round(100 * p)}") for p in shares]
-    return spans.groupBy(*by).agg(F.max("n").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), *picks)
+    vals = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    v, every = F.col("__v"), range(len(shares))
+    ends = [min(1.0, max(0.0, p + d)) for p in shares for d in (-2 / accuracy, 2 / accuracy)]
+    first = vals.groupBy(*by).agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile_approx(v, ends, F.lit(accuracy)).alias("q"))
+    place = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p)))
+    first = first.select(*by, "n", "lo", "hi", *[c for k, p in enumerate(shares) for c in (place(p).alias(f"t{k}"), F.col("q")[2 * k].alias(f"a{k}"), F.col("q")[2 * k + 1].alias(f"b{k}"))])
+    state, _ = materialise(first.where("n > 0"), "brackets")  # a row a group; sketches may differ from run to run
+    inside = lambda k: v.between(F.col(f"a{k}"), F.col(f"b{k}"))
+
+    def beside(extra: DataFrame, left: DataFrame = vals) -> DataFrame:
+        if not by:
+            return left.join(F.broadcast(extra), how="cross")  # one row
+        names = {c: f"__{c}" for c in by}
+        same = F.lit(True)
+        for c in by:
+            same = same & left[c].eqNullSafe(F.col(names[c]))
+        return left.join(extra.withColumnsRenamed(names), same).drop(*names.values())
+
+    narrowed = 0
+    while True:
+        counts = beside(state).groupBy(*by).agg(*[c for k in every for c in (F.count_if(v < F.col(f"a{k}")).alias(f"below{k}"), F.count_if(inside(k)).alias(f"in{k}"))])
+        state, _ = materialise(beside(counts, state), "brackets")
+        early = [F.col(f"t{k}") < F.col(f"below{k}") for k in every]
+        late = [F.col(f"t{k}") >= F.col(f"below{k}") + F.col(f"in{k}") for k in every]
+        wide = [(F.col(f"in{k}") > few) & (F.col(f"a{k}") < F.col(f"b{k}")) for k in every]
+        some = lambda cs: F.coalesce(F.bool_or(reduce(lambda x, y: x | y, cs)), F.lit(False))
+        missed, broad = state.agg(some(early + late), some(wide)).first()
+        bare = [*by, "n", "lo", "hi", *[f"t{k}" for k in every]]
+        if missed:
+            state = state.select(*bare, *[c for k in every for c in (F.when(early[k], F.col("lo")).otherwise(F.col(f"a{k}")).alias(f"a{k}"), F.when(late[k], F.col("hi")).otherwise(F.col(f"b{k}")).alias(f"b{k}"))])
+        elif broad and narrowed < 6:
+            narrowed += 1
+            grid = [i / 64 for i in range(65)]
+            cuts = beside(beside(state).groupBy(*by).agg(*[F.percentile_approx(F.when(inside(k), v), grid, F.lit(accuracy)).alias(f"q{k}") for k in every]), state)
+            slot = lambda k: F.floor((F.col(f"t{k}") - F.col(f"below{k}")) * 64 / F.col(f"in{k}")).cast("int")
+            narrow = lambda k, at, old: F.when(wide[k], F.element_at(f"q{k}", F.least(F.greatest(at, F.lit(1)), F.lit(65)))).otherwise(F.col(old)).alias(old)
+            state, _ = materialise(cuts.select(*bare, *[c for k in every for c in (narrow(k, slot(k), f"a{k}"), narrow(k, slot(k) + 3, f"b{k}"))]), "brackets")
+        else:
+            break
+    held = beside(state).select(*by, v, F.inline(F.filter(F.array(*[F.when(inside(k), F.struct(F.lit(k).alias("k"), (F.col(f"t{k}") - F.col(f"below{k}")).alias("want"))) for k in every]), lambda x: x.isNotNull())))
+    counted = held.groupBy(*by, "k", "want", "__v").agg(F.count("*").alias("c"))
+    run = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*by, "k").orderBy("__v")))
+    picked = run.where((F.col("want") < F.col("upto")) & (F.col("want") >= F.col("upto") - F.col("c")))
+    found = picked.groupBy(*by).agg(*[F.max(F.when(F.col("k") == k, v)).alias(f"p{round(100 * p)}") for k, p in enumerate(shares)])
+    return beside(found, state.select(*by, "n", "lo", "hi"))
 
 
 def label_tally(rows: DataFrame, labels: str, fetched: Column | None = None) -> DataFrame:

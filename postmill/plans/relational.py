@@ -163,3 +163,28 @@ def add_registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     existing = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".example")).alias("domain"))
     rows = [(1, "Supplier#000000001", "new.example"), (2, "Fresh", "s2.example"), (3, "Fresh", "fresh.example"), (4, "Other", "fresh.example"), (5, "Blank", ""), (6, "Blank Two", ""), (7, "fresh", "x.example")]
     return fold.accept_new(existing, spark.createDataFrame([(a, b, "x", c) for a, b, c in rows], "seq long, name string, category string, domain string"))
+
+
+@query("""WITH RECURSIVE c AS (
+        SELECT c_custkey AS seq, 'Firm ' || ((c_custkey * 37) % 700) AS name, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE 'd' || ((c_custkey * 53 + c_nationkey) % 600) || '.example' END AS domain, row_number() OVER (ORDER BY c_custkey) AS k FROM customer),
+    w AS (
+        SELECT CAST(0 AS BIGINT) AS k, (SELECT list(DISTINCT 'firm ' || ((s_suppkey * 11) % 90)) FROM supplier) AS names, (SELECT list(DISTINCT 'd' || ((s_suppkey * 29) % 500) || '.example') FROM supplier) AS domains, CAST(NULL AS VARCHAR) AS verdict
+        UNION ALL SELECT j.k, CASE WHEN j.verdict = 'accepted' THEN list_append(j.names, lower(j.name)) ELSE j.names END, CASE WHEN j.verdict = 'accepted' AND j.domain <> '' THEN list_append(j.domains, j.domain) ELSE j.domains END, j.verdict FROM (
+            SELECT c.k, c.name, c.domain, w.names, w.domains, CASE WHEN list_contains(w.names, lower(c.name)) THEN 'name taken' WHEN c.domain <> '' AND list_contains(w.domains, c.domain) THEN 'domain taken' ELSE 'accepted' END AS verdict
+            FROM w JOIN c ON c.k = w.k + 1) j)
+    SELECT seq, name, verdict FROM w JOIN c USING (k)""")
+def registry_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as candidates for a registry of suppliers, each judged after those before it."""
+    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    existing = s.select(text("FIRM ", (F.col("s_suppkey") * 11) % 90).alias("name"), text("D", (F.col("s_suppkey") * 29) % 500, ".example").alias("domain"))
+    domain = F.when(F.col("c_custkey") % 9 == 0, "").otherwise(text("d", (F.col("c_custkey") * 53 + F.col("c_nationkey")) % 600, ".example"))
+    return fold.accept_new(existing, c.select(F.col("c_custkey").alias("seq"), text("Firm ", (F.col("c_custkey") * 37) % 700).alias("name"), F.lit("x").alias("category"), domain.alias("domain")))
+
+
+@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE 'firm ' || s_suppkey = 'firm ' || (c_custkey % 400))""")
+def unanswered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names without an answer; the answers are written in capitals and with accents, which the comparison looks past."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit(" firm "), (F.col("c_custkey") % 400).cast("string")).alias("name"))
+    done = table(spark, sf_dir, "supplier").select(F.concat(F.lit("F\u00cdRM "), F.col("s_suppkey").cast("string")).alias("name"))
+    return registry_tables.unanswered(c, done).select("c_custkey")

@@ -33,8 +33,8 @@ def categories(registry: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def unanswered(todo: DataFrame, done: DataFrame, name: str = "name") -> DataFrame:
-    """Rows whose name has no answer yet, whatever the case."""
-    key = lambda: F.lower(F.trim(F.col(name)))
+    """Rows whose name has no answer yet, whatever case and accents: names are compared under a collation, in the JVM."""
+    key = lambda: F.collate(F.trim(F.col(name)), "UNICODE_CI_AI")
     return todo.withColumn("__k", key()).join(done.select(key().alias("__k")).distinct(), "__k", "left_anti").drop("__k")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from postmill.operators.state import BucketedState
+
 POSTING_CSV = "company string, title string, location string, url string, source string, posted string"
 STATE = "company string, title string, source string, url string, rank int, seen_count long"
 
@@ -25,11 +27,21 @@ def ingest(stream: DataFrame, reason: Column, out: str, checkpoint: str):
     return kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def folded(stream: DataFrame, kept: BucketedState, checkpoint: str):
+    """The upsert fold, salary included, over a stream of sightings: every micro-batch merges into the bucketed state.
+
+    Summaries merge in any order, so late sightings and any split into batches give the state that one fold over all would. A batch that
+    is run again after a failure changes nothing that it has changed already. Runs over what is there, then stops.
+    """
+    return stream.writeStream.foreachBatch(kept.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def running_state(stream: DataFrame, key: Column, rank: Column) -> DataFrame:
     """The upsert fold over a stream: one updated row for each key that a batch touches.
 
     First sightings fix company and title; a strictly higher source rank replaces the source, and the url if it has
-    one. Rows of a key within one batch count in the order of ``seq``.
+    one. Rows of a key within one batch count in the order of ``seq``, batches in the order of their arrival: ``folded`` is for
+    sightings that may come late.
     """
 
     def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

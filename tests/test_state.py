@@ -132,3 +132,24 @@ def test_streaks_and_start_times(spark):
         want_streak[i], want_start[i] = streaks[h], last[h]
     assert {r["at"]: r["misses"] for r in fold.miss_streaks(df, "host", "at", ~F.col("ok")).collect()} == want_streak
     assert {r["at"]: r["start_ms"] for r in fold.throttled(df, "host", F.col("arrival"), ["at"], 350).collect()} == want_start
+
+
+@pytest.mark.parametrize("few,accuracy", [(1 << 17, 1000), (20, 50), (5, 4)])
+def test_percentiles_by_position(spark, few, accuracy):
+    from postmill.operators import health
+
+    rnd = random.Random(9)
+    draw = lambda g: 7.0 if g == "same" or rnd.random() < 0.3 else rnd.choice([rnd.gauss(0, 9), float(rnd.randrange(5))])
+    rows = [(g, draw(g)) for g in rnd.choices(["a", "b", "same", None], [6, 2, 1, 1], k=1500)] + [("one", 1.5), ("two", 1.0), ("two", 2.0), ("nulls", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    groups = {}
+    for g, x in rows:
+        if x is not None:
+            groups.setdefault(g, []).append(x)
+    got = {r.g: (r.n, r.lo, r.hi, r.p0, r.p25, r.p50, r.p99, r.p100) for r in health.index_percentiles(df, "v", (0.0, 0.25, 0.5, 0.99, 1.0), ["g"], accuracy, few).collect()}
+    at = lambda xs, p: sorted(xs)[min(len(xs) - 1, int(len(xs) * p))]
+    assert got == {g: (len(xs), min(xs), max(xs), *(at(xs, p) for p in (0.0, 0.25, 0.5, 0.99, 1.0))) for g, xs in groups.items()}
+    every = [x for xs in groups.values() for x in xs]
+    r = health.index_percentiles(df, "v", (0.5,), (), accuracy, few).first()
+    assert (r.n, r.p50) == (len(every), at(every, 0.5))
+    assert health.index_percentiles(df.where("false"), "v", (0.5,), ["g"]).count() == 0

@@ -40,3 +40,25 @@ def test_snapshots_rotate(spark, tmp_path):
     for i in range(4):
         report.snapshot(spark.range(1), str(tmp_path / "s"), f"{i}", keep=2)
     assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["postings-2", "postings-3"]
+
+
+def test_late_sightings_give_the_batch_fold(spark, tmp_path):
+    import random
+
+    from postmill.operators import fold, state
+
+    rnd = random.Random(1)
+    rows = [(rnd.choice("abcd"), i, rnd.choice(["weak", "strong", None]), rnd.choice(["", f"u{i}"]), rnd.choice([None, float(i)])) for i in range(120)]
+    schema = "id string, seq long, source string, url string, lo double"
+    rank = F.when(F.col("source") == "strong", 2).when(F.col("source") == "weak", 1)
+    rnd.shuffle(rows)
+    f = state.Fold(("id",), "seq", rank, salary=("lo",))
+    kept = state.BucketedState(spark, str(tmp_path / "state"), f, buckets=4)
+    for part in range(3):
+        spark.createDataFrame(rows[part * 40:part * 40 + 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = ingest.folded(stream, kept, str(tmp_path / "cp"))
+        assert q.awaitTermination(90) and q.exception() is None
+    want = fold.upsert_fold(spark.createDataFrame(rows, schema), ["id"], "seq", rank, [], salary=["lo"])
+    plain = lambda df: sorted((r.id, r.source, r.url, r.lo, r.seen_count) for r in df.collect())
+    assert plain(kept.read()) == plain(want)

@@ -12,7 +12,7 @@ from postmill.sources.tables import table
 
 _GENERIC = str(list(fixed.GENERIC_FIRST))
 _BOARDS = ", ".join(f"({i}, '{p}', '{u}')" for i, (p, u) in enumerate(fixed.BOARD_ENDPOINTS.items()))
-_TRIALS = f"""WITH f AS (SELECT DISTINCT p_name AS name, p_name || '.' || lower(replace(p_brand, '#', '')) AS domain FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'Northgate Power', 'ngp-uk.example'),
+_TRIALS = f"""WITH f AS (SELECT DISTINCT p_name AS name, p_name || '.' || lower(replace(p_brand, '#', '')) AS domain FROM part UNION ALL SELECT 'Northgate Power', 'ngp-uk.example'),
     w AS (SELECT *, string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM f),
     s AS (SELECT ws[1] AS first FROM w GROUP BY ws[1] HAVING count(*) > 1),
     g AS (SELECT name, domain, list_filter([split_part(domain, '.', 1), array_to_string(ws, ''), array_to_string(ws, '-'), CASE WHEN NOT list_contains({_GENERIC}, ws[1]) AND ws[1] NOT IN (SELECT first FROM s) THEN ws[1] END], lambda x: len(x) > 2) AS l FROM w),
@@ -24,8 +24,8 @@ _TRIALS = f"""WITH f AS (SELECT DISTINCT p_name AS name, p_name || '.' || lower(
 
 @query(_TRIALS)
 def board_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every guess at a board for every name among the parts of even key, and one name of its own."""
-    parts = table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
+    """Every guess at a board for every name among the parts, and one name of its own."""
+    parts = table(spark, sf_dir, "part")
     firms = parts.select(F.col("p_name").alias("name"), F.concat("p_name", F.lit("."), F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))).alias("domain")).distinct()
     firms = firms.unionByName(spark.createDataFrame([("Northgate Power", "ngp-uk.example")], "name string, domain string"))
     return discovery.board_trials(firms.withColumn("category", F.col("domain"))).select("name", F.col("category").alias("domain"), "ord", "provider", "token", "url")

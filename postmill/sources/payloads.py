@@ -53,8 +53,8 @@ def normalised(landed: DataFrame) -> DataFrame:
     groups = F.transform(F.try_variant_get("v", "$.items", "array<variant>"), lambda g: F.coalesce(F.try_variant_get(g, "$.requisitionList", "array<variant>"), F.array().cast("array<variant>")))
     oracle = F.to_variant_object(F.flatten(groups))
     rows = parsed.withColumn("list", F.when(F.col("ats") == "oracle", oracle).when(F.col("ats").isin(*SHAPES), lists).otherwise(general)).where("list is not null")
-    rows.select("ats", "company", "url", "list").createOrReplaceTempView("__payloads")
-    items = spark.sql("SELECT ats, company AS firm, url AS page, pos AS ord, value AS e FROM __payloads, LATERAL variant_explode(list)")
+    each = rows.select("ats", "company", "url", "list").lateralJoin(spark.tvf.variant_explode(F.col("list").outer()))
+    items = each.select("ats", F.col("company").alias("firm"), F.col("url").alias("page"), F.col("pos").alias("ord"), F.col("value").alias("e"))
 
     def field(name: str) -> Column:
         own = []

@@ -13,7 +13,7 @@ from postmill.operators import score as S
 from postmill.operators.index import text_index
 from postmill.operators.rules import rule_join
 from postmill.plans.registry import query
-from postmill.sources.tables import table
+from postmill.sources.tables import spread, table
 
 AS_OF = "2024-01-31 00:00:00"
 _NOISE_SQL = "[" + ", ".join(f"'{w}'" for w in NOISE_WORDS) + "]"
@@ -52,7 +52,7 @@ def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     site of every seventeenth checked one refused the check.
     """
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("live"), F.col("toxic").alias("anonymous"))
-    rows = titled(spark, sf_dir).join(labels, "id", "left").withColumn("category", F.col("company"))
+    rows = spread(titled(spark, sf_dir)).join(labels, "id", "left").withColumn("category", F.col("company"))
     every = lambda n, k=0: F.pmod(F.col("id"), F.lit(n)) == k
     past = lambda n: F.date_format(F.date_sub(F.lit("2024-01-31").cast("date"), F.pmod(F.col("id"), F.lit(n)).cast("int")), "yyyy-MM-dd")
     return rows.withColumn("checked_at", F.when(F.col("live").isNotNull(), F.lit(AS_OF))).withColumns({
@@ -150,7 +150,8 @@ def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT doc_id, substr(sha1(array_to_string({_TOKENS.format('source')}, '') || '|' || array_to_string({_TOKENS.format(_TITLE)}, ' ')), 1, 16) AS key FROM documents""")
 def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return titled(spark, sf_dir).select(F.col("id").alias("doc_id"), T.canonical_key("company", "title").alias("key"))
+    short = spread(titled(spark, sf_dir).select("id", "company", "title"))
+    return short.select(F.col("id").alias("doc_id"), T.canonical_key("company", "title").alias("key"))
 
 
 @query("""WITH f AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents),
@@ -228,13 +229,13 @@ def rules_of_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the benchmark as a rule (hundreds to thousands) over every document: one pass, no pairs but those found."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(T.words("text", "[a-z]{4,}")).alias("w")).distinct().orderBy("w").toLocalIterator()
     rules = [(r["w"], f"(?<![a-z]){r['w']}(?![a-z])", len(r["w"])) for r in words]
-    return rule_join(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), "doc_id", "text", rules)
+    return rule_join(spread(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))), "doc_id", "text", rules)
 
 
 @query("""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM documents)
     WHERE word NOT IN ('that', 'with', 'this', 'from') GROUP BY word ORDER BY n DESC, word LIMIT 14""")
 def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select(F.explode(T.words("text", "[a-z]{4,}")).alias("word"))
+    found = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(T.words("text", "[a-z]{4,}")).alias("word"))
     return found.where(~F.col("word").isin("that", "with", "this", "from")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(14)
 
 
@@ -255,7 +256,7 @@ _TFIDF = f"""
 @query(_TFIDF + """SELECT doc_id, round(dot / (dn.norm * qn.norm), 6) AS cosine, CAST(round_even(100 * (dot / (dn.norm * qn.norm)) / max(dot / (dn.norm * qn.norm)) OVER (), 0) AS INTEGER) AS relative
     FROM c JOIN dn USING (doc_id), qn""")
 def tfidf_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     bench = table(spark, sf_dir, "benchmark")
     first = bench.agg(F.min_by("text", "item_id").alias("text"))
     return match.relative_scores(match.tfidf_cosine(docs, "doc_id", first)).select("doc_id", F.round("cosine", 6).alias("cosine"), "relative")
@@ -279,7 +280,7 @@ _BEST = f"""
 @query(_BEST + "SELECT item_id, CAST(place AS INTEGER) AS place, round(cosine, 6) AS cosine FROM k WHERE place <= 5")
 def tfidf_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most alike documents of every benchmark text, all in one plan: the cosines of each place (which of equal copies holds it is left open)."""
-    index = text_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    index = text_index(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
     found, _ = index.top(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), 5)
     return found.select(F.col("qid").alias("item_id"), "place", F.round("cosine", 6).alias("cosine"))
 

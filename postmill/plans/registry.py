@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from postmill.plans import discovery, documents, events, extraction, postings, relational  # noqa: E402, F401 - they register themselves
+from postmill.plans import discovery, documents, events, extraction, postings, relational, upkeep  # noqa: E402, F401 - they register themselves

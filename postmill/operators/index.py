@@ -40,8 +40,8 @@ def content_runs(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     solid = np.flatnonzero((kind > 0) & (kind < 3))
     last = solid[np.searchsorted(solid, stop) - 1] + 1 if len(first) else stop
     step = np.zeros(len(raw) + 1, np.int8)
-    np.add.at(step, first, 1)
-    np.add.at(step, last, -1)
+    step[first] += 1
+    step[last] -= 1
     data = raw[np.cumsum(step[:-1]) > 0]
     offsets = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int64)
     terms = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
@@ -103,10 +103,11 @@ class TextIndex:
 
     def _read(self, asked: DataFrame) -> DataFrame:
         """Postings of the asked terms: only their shards' files are opened, and few terms are pushed into the scan."""
+        few = asked.select("term", self.shard("term").alias("shard")).distinct().limit(257).collect()
+        if len(few) <= 256:
+            return self.postings.where(F.col("shard").isin(sorted({r["shard"] for r in few})) & F.col("term").isin([r["term"] for r in few]))
         found = asked.select(self.shard("term").alias("shard")).distinct().collect()  # as many as there are shards, at most
-        rows = self.postings.where(F.col("shard").isin([r["shard"] for r in found]))
-        few = [r["term"] for r in asked.select("term").distinct().limit(257).collect()]
-        return rows.where(F.col("term").isin(few)) if len(few) <= 256 else rows
+        return self.postings.where(F.col("shard").isin([r["shard"] for r in found]))
 
     def _scores(self, rows: DataFrame) -> DataFrame:
         """(qid, doc, cosine) from postings joined to asked terms."""

@@ -15,23 +15,15 @@ from postmill.functions.patterns import required
 _FOLD = str.maketrans({"ſ": "s", "ı": "i"})  # what ignoring case takes for an ASCII letter beside its capital
 
 
-class RuleMatcher:
-    """Which of many patterns a text matches, whatever the case.
-
-    Every match of a pattern holds one of the strings that its form requires (``patterns.required``). One automaton finds all of
-    these in a single walk over the text, however many rules there are; a regular expression runs only for rules of which such a string
-    was found. Patterns that require none always run.
-    """
+class Walk:
+    """What tasks do with patterns and the strings that each requires (null: none is known); it builds what it needs there."""
 
-    def __init__(self, patterns: Sequence[str]) -> None:
-        self.patterns = list(patterns)
-        for p in self.patterns:
-            re.compile(p, re.IGNORECASE)
-        self.needs = [required(p) for p in self.patterns]
+    def __init__(self, patterns: Sequence[str], needs: Sequence[frozenset[str] | None]) -> None:
+        self.patterns, self.needs = list(patterns), list(needs)
         self._ready = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_ready": None}  # tasks build the automaton and compile what they meet
+        return {**self.__dict__, "_ready": None}
 
     def _machine(self):
         if self._ready is None:
@@ -66,9 +58,23 @@ class RuleMatcher:
                 out.append(i)
         return out
 
+
+class RuleMatcher(Walk):
+    """Which of many patterns a text matches, whatever the case.
+
+    Every match of a pattern holds one of the strings that its form requires (``patterns.required``). One automaton finds all of
+    these in a single walk over the text, however many rules there are; a regular expression runs only for rules of which such a string
+    was found. Patterns that require none always run.
+    """
+
+    def __init__(self, patterns: Sequence[str]) -> None:
+        for p in patterns:
+            re.compile(p, re.IGNORECASE)
+        super().__init__(patterns, [required(p) for p in patterns])
+
     def column(self, text: Column | str) -> Column:
         """``hits`` of a text column, as an array of indexes: one Arrow-batched function however many rules."""
-        own = self
+        own = Walk(self.patterns, self.needs)
 
         @F.pandas_udf(ArrayType(IntegerType()))
         def matched(s: pd.Series) -> pd.Series:

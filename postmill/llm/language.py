@@ -160,7 +160,8 @@ def identify_language(docs: DataFrame, model: CodeModel, text_col: str = "text",
     """doc_id, held_out, lang_pred, score and ``ambiguous`` (the nearest codeword doesn't stand out) of every document.
 
     A null text, or one without a letter, is ``und`` with score 0, and ambiguous; so is every text when no language
-    could be learned. Repeated rows are answered each; an empty table gives no rows. Only doc_id and text are read.
+    could be learned. Of equally near codewords the language that comes first by name is taken. Texts are read whole, however long.
+    Repeated rows are answered each; an empty table gives no rows. Only doc_id and text are read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -220,7 +220,8 @@ def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3,
     """All rows and columns of ``docs`` with ``score`` and ``predicted``.
 
     Null and empty texts get the score of all-zero features; repeated rows are scored each; an empty table gives no
-    rows. Columns of these names in the input are replaced. Texts are read whole; nothing is shuffled.
+    rows. Columns of these names in the input are replaced. Texts are read whole, however long; equal texts get equal scores, and a
+    score of just ``threshold`` counts as 1. Nothing is shuffled.
     """
     wide_rows(docs)
     docs = docs.drop("score", "predicted")

@@ -58,7 +58,8 @@ def shard_documents(
     holds a third of all rows is no hot key.
 
     Null texts count as one group of size 1 a row, with crc 0; empty texts are another group. Repeated rows are
-    all kept. An empty table gives no rows. Other columns are ignored.
+    all kept, and rows without an id are dealt like others. Groups of equal size go by their hash; slots follow a
+    hash of the row, then the id. Texts are read whole, for their size and hash alone. An empty table gives no rows. Other columns are ignored.
     Result: doc_id, size, text_crc32, law, shard, slot, grown_shard.
     """
     spark = docs.sparkSession

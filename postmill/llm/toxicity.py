@@ -232,7 +232,9 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text") -
     Passages are spans of code points with their segment score and p-value, in text order. Null and empty texts get
     the score of a text without any segment; repeated rows are scored each, alike; an empty table gives no rows; other
     columns are ignored, also those of the result's names. A word that several keys fit takes the best supported one's
-    score, of equally supported ones the longest. The scan is linear in a text's length and nothing is shuffled.
+    score, of equally supported ones the longest. A token's log-odds are held between -1 and 4, the normalised sum of the
+    best segment between -5 and 20, and that of all segments together at 50, so that no single word decides alone. The scan is linear in a
+    text's length, however long, and nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

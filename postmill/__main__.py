@@ -30,7 +30,12 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> int:
     wrong = settings.scoring_problems(scoring) + settings.pattern_problems(scoring) + settings.pattern_problems(collection)
     wrong += [] if wrong else settings.collection_of(collection, written=True).problems(a.keep, a.drop)
     if a.registry:
-        shared = registry_tables.shared_domains(registry_tables.read_csv(spark, a.registry, ["name", "category", "domain"]))
+        columns = ["name", "category", "domain"]
+        there = spark.read.option("header", True).csv(a.registry).columns
+        wrong += [f"the registry lacks the column {c}" for c in columns if c not in there]
+        firms = registry_tables.read_csv(spark, a.registry, columns)
+        wrong += [f"name {r['name']} stands {r.n} times" for r in registry_tables.repeated_names(firms).orderBy("name").toLocalIterator()]
+        shared = registry_tables.shared_domains(firms)
         claims = shared.orderBy("domain")
         wrong += [f"domain {r.domain} is claimed by {r.names} names" for r in claims.toLocalIterator()]
     print("\n".join(wrong) or "all well")

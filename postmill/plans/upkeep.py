@@ -65,6 +65,13 @@ def blanked_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry_tables.blanked(s.drop("s_acctbal"), s.where("s_acctbal < 3000"))
 
 
+@query("""SELECT lower(trim(name)) AS name, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN ' FIRM ' ELSE 'firm ' END || (c_custkey % 1300) AS name FROM customer) GROUP BY ALL HAVING count(*) > 1""")
+def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that the registry holds more than once, whatever the case."""
+    names = table(spark, sf_dir, "customer").select(_text(F.when(F.col("c_custkey") % 2 == 0, " FIRM ").otherwise("firm "), F.col("c_custkey") % 1300).alias("name"))
+    return registry_tables.repeated_names(names)
+
+
 @query("""SELECT name FROM (SELECT s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN 'unreachable' ELSE 'ok' END AS verdict, CASE WHEN s_suppkey % 8 = 0 THEN 'HTTP 410' ELSE 'no answer' END AS detail, s_suppkey % 6 AS misses FROM supplier)
     WHERE verdict = 'unreachable' AND (detail = 'HTTP 410' OR misses >= 3)""")
 def pruned_names(spark: SparkSession, sf_dir: str) -> DataFrame:

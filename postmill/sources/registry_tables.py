@@ -43,6 +43,11 @@ def shared_domains(registry: DataFrame) -> DataFrame:
     return registry.where("trim(domain) <> ''").groupBy(F.lower("domain").alias("domain")).agg(F.count("*").alias("n"), F.countDistinct("name").alias("names")).where("names > 1")
 
 
+def repeated_names(registry: DataFrame) -> DataFrame:
+    """(name, n): names that stand more than once, whatever the case."""
+    return registry.where("trim(name) <> ''").groupBy(F.lower(F.trim("name")).alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def blanked(registry: DataFrame, bad: DataFrame, column: str = "domain") -> DataFrame:
     """The registry with one column emptied for the names of ``bad``."""
     flagged = bad.select("name").distinct().withColumn("__bad", F.lit(True))

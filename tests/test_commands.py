@@ -36,6 +36,12 @@ def test_commands(spark, tmp_path, capsys):
     run = lambda *a: main([*a, "--as-of", "2024-01-31 00:00:00"], spark)
     assert run("validate", "--scoring", at("scoring.json"), "--collection", at("collection.json"), "--registry", at("firms.csv")) == 1 and "acme.example" in capsys.readouterr().out
     assert run("validate", "--scoring", at("scoring.json"), "--collection", at("collection.json"), "--keep", "Gas Trader", "--drop", "Cook") == 0
+    (tmp_path / "bad.csv").write_text("name,domain\nAcme,a.example\nACME ,b.example\n")
+    assert run("validate", "--registry", at("bad.csv")) == 2
+    told = capsys.readouterr().out
+    assert "lacks the column category" in told and "name acme stands 2 times" in told
+    (tmp_path / "rules.json").write_text(json.dumps({"include": ["trad", "("], "exclude": [r"(\w+)+x"]}))
+    assert run("validate", "--collection", at("rules.json")) == 2 and "may take very long" in capsys.readouterr().out
     assert run("ingest", "--inbox", at("inbox"), "--sightings", at("seen"), "--collection", at("collection.json")) == 0
     assert sorted(r.title for r in spark.read.parquet(at("seen")).collect()) == ["Gas Trader", "Trader"]
     assert run("track", "applied", "beta", "--sightings", at("seen"), "--statuses", at("statuses")) == 0

@@ -262,3 +262,9 @@ def test_rule_files_become_rules(spark):
     got = df.select(rules.verdict(F.lit("Gas Analyst"), F.lit("London")), rules.verdict(F.lit("Senior Trader"), F.lit("")), rules.verdict(F.lit("Trader"), F.lit("Paris"))).first()
     assert tuple(got) == (None, "excluded word", "location")
     assert settings.scoring_problems({"source_weights": {"a": "x"}})
+
+
+def test_malformed_bytes_are_replaced(spark, tmp_path):
+    (tmp_path / "f.csv").write_bytes(b"name,category,domain\nSoci\xe9t\xe9,fund,s.example\nGr\xc3\xb6\xc3\x9fe,fund,\n")
+    got = [(r["name"], r.domain) for r in registry_tables.read_csv(spark, str(tmp_path / "f.csv"), ["name", "category", "domain"]).collect()]
+    assert got == [("Soci\ufffdt\ufffd", "s.example"), ("Gr\u00f6\u00dfe", "")]

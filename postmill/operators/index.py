@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.text import content_terms, present
-from postmill.session import materialise, scratch_path
+from postmill.session import materialise, narrow_batches, scratch_path
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[ord("a"):ord("z") + 1] = 1
@@ -48,16 +48,24 @@ def content_runs(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.searchsorted(ends, first, side="right") - 1, terms
 
 
-def _poster(stop: tuple[str, ...], block_rows: int):
+def _poster(stop: tuple[str, ...], block_rows: int, block_bytes: int):
     """Each block's terms with the documents that hold them, how often, and the largest count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             # texts of like length share a block, so that its least norm tells something of all of them
-            order = pc.sort_indices(pc.binary_length(batch.column("text")))
-            for lo in range(0, batch.num_rows, block_rows):
-                part = batch.take(order.slice(lo, block_rows))
+            size = pc.binary_length(batch.column("text"))
+            order = pc.sort_indices(size)
+            size = size.take(order).to_numpy(zero_copy_only=False).tolist()
+            cuts, held = [0], 0
+            for i, n in enumerate(size):
+                if i > cuts[-1] and (held + n > block_bytes or i - cuts[-1] >= block_rows):
+                    cuts.append(i)
+                    held = 0
+                held += n
+            for lo, hi in zip(cuts, [*cuts[1:], len(size)] if size else []):
+                part = batch.take(order.slice(lo, hi - lo))
                 doc, terms = content_runs(part.column("text"))
                 coded = terms.dictionary_encode()
                 words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -148,16 +156,17 @@ class TextIndex:
         return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k), judged.select("qid", "block", "bound", "read")
 
 
-def text_index(docs: DataFrame, key: str, text: str = "text", stop: tuple[str, ...] = (), shards: int = 16, block_rows: int = 2048) -> TextIndex:
+def text_index(docs: DataFrame, key: str, text: str = "text", stop: tuple[str, ...] = (), shards: int = 16, block_rows: int = 2048, block_bytes: int = 2 << 20) -> TextIndex:
     """Index texts by term. ``key`` tells documents apart and is not null; texts that are null or hold no term are counted, and never found.
 
-    One pass cuts the texts into terms and counts them, a block of ``block_rows`` documents at a time, so what is shuffled is a row a
-    block and term, not one a document and term. Postings are written by shard of the term and sorted by it: a query opens its
+    One pass cuts the texts into terms and counts them, a block of ``block_rows`` documents or about ``block_bytes`` of text at a time
+    (a longer text alone), so memory is bounded and what is shuffled is a row a block and term, not one a document and term. Postings are written by shard of the term and sorted by it: a query opens its
     terms' shards and skips row groups of others. Norms take one join of these rows with the terms' weights.
     """
+    narrow_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.lower(present(text)).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    raw = rows.mapInArrow(_poster(stop, block_rows), f"block long, term string, df int, most int, docs array<{kind}>, counts array<int>")
+    raw = rows.mapInArrow(_poster(stop, block_rows, block_bytes), f"block long, term string, df int, most int, docs array<{kind}>, counts array<int>")
     shard = F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int")
     path = scratch_path(docs.sparkSession, "postings")
     raw.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "term").write.partitionBy("shard").parquet(path)

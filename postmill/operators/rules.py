@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from postmill.functions.patterns import required
+from postmill.session import narrow_batches
 
 _FOLD = str.maketrans({"ſ": "s", "ı": "i"})  # what ignoring case takes for an ASCII letter beside its capital
 
@@ -91,6 +92,7 @@ def rule_join(rows: DataFrame, key: str, text: str, rules: Sequence[tuple[str, s
     """
     if not rules:
         return rows.select(key, F.lit("").alias("label"), F.lit(0).alias("points")).limit(0)
+    narrow_batches(rows.sparkSession)
     hits = rows.select(key, F.explode(RuleMatcher([p for _, p, _ in rules]).column(text)).alias("rule"))
     named = rows.sparkSession.createDataFrame([(i, label, points) for i, (label, _, points) in enumerate(rules)], "rule int, label string, points int")
     return hits.join(F.broadcast(named), "rule").select(key, "label", "points")

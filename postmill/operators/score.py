@@ -11,6 +11,7 @@ from postmill.functions import dates, fixed
 from postmill.functions.text import present
 from postmill.operators.filters import any_of, fused
 from postmill.operators.rules import RuleMatcher
+from postmill.session import narrow_batches
 
 WHY = "array<struct<label:string,points:int>>"
 
@@ -140,6 +141,7 @@ def scored(rows: DataFrame, rubric: Rubric, as_of: Column) -> DataFrame:
     rows = rows.withColumn("__where", F.regexp_replace(F.concat_ws(" ", told("location"), F.col("__title"), told("url")), "[-_/]", " "))
     texts = rubric.by_text()
     if rubric.python:
+        narrow_batches(rows.sparkSession)
         rows = rows.withColumns({f"{c}_hits": RuleMatcher(list(dict.fromkeys(ps))).column(c) for c, ps in texts.items()})
     rows = rows.withColumn("why", F.filter(F.array(*terms(rubric, as_of, cols)), lambda t: t.isNotNull())).drop(*texts, *[f"{c}_hits" for c in texts])
     return rows.withColumn("score", F.aggregate("why", F.lit(0), lambda acc, t: acc + t["points"]))

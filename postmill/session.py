@@ -54,6 +54,13 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def narrow_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hold the session's Arrow batches to ``rows`` rows, for functions that read texts; a smaller setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs_path(spark, path)
     return fs.exists(p)

@@ -169,7 +169,8 @@ def text_index(docs: DataFrame, key: str, text: str = "text", stop: tuple[str, .
     raw = rows.mapInArrow(_poster(stop, block_rows, block_bytes), f"block long, term string, df int, most int, docs array<{kind}>, counts array<int>")
     shard = F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int")
     path = scratch_path(docs.sparkSession, "postings")
-    raw.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "term").write.partitionBy("shard").parquet(path)
+    # a shard is split over as many tasks as its size asks for, so no task grows with the input
+    raw.withColumn("shard", shard).hint("rebalance", "shard").sortWithinPartitions("shard", "term").write.partitionBy("shard").parquet(path)
     postings = docs.sparkSession.read.schema(f"block long, term string, df int, most int, docs array<{kind}>, counts array<int>, shard int").parquet(path)
     n = docs.count()
     weight = F.log(1 + F.lit(n + 1) / (1 + F.col("df")))

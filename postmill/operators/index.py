@@ -48,6 +48,17 @@ def content_runs(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.searchsorted(ends, first, side="right") - 1, terms
 
 
+def byte_cuts(texts: pa.Array, rows: int, most: int) -> list[tuple[int, int]]:
+    """(from, to) of consecutive texts in pieces of at most so many rows and about so many bytes; a longer text alone."""
+    cuts, held = [0], 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > cuts[-1] and (held + n > most or i - cuts[-1] >= rows):
+            cuts.append(i)
+            held = 0
+        held += n
+    return list(zip(cuts, [*cuts[1:], len(texts)])) if len(texts) else []
+
+
 def _poster(stop: tuple[str, ...], block_rows: int, block_bytes: int):
     """Each block's terms with the documents that hold them, how often, and the largest count."""
 
@@ -55,16 +66,8 @@ def _poster(stop: tuple[str, ...], block_rows: int, block_bytes: int):
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             # texts of like length share a block, so that its least norm tells something of all of them
-            size = pc.binary_length(batch.column("text"))
-            order = pc.sort_indices(size)
-            size = size.take(order).to_numpy(zero_copy_only=False).tolist()
-            cuts, held = [0], 0
-            for i, n in enumerate(size):
-                if i > cuts[-1] and (held + n > block_bytes or i - cuts[-1] >= block_rows):
-                    cuts.append(i)
-                    held = 0
-                held += n
-            for lo, hi in zip(cuts, [*cuts[1:], len(size)] if size else []):
+            order = pc.sort_indices(pc.binary_length(batch.column("text")))
+            for lo, hi in byte_cuts(batch.column("text").take(order), block_rows, block_bytes):
                 part = batch.take(order.slice(lo, hi - lo))
                 doc, terms = content_runs(part.column("text"))
                 coded = terms.dictionary_encode()

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.functions.text import content_terms
-from postmill.operators.index import text_index
-from postmill.session import materialise
+from postmill.functions.text import content_terms, present
+from postmill.operators.index import byte_cuts, content_runs, text_index
+from postmill.session import materialise, narrow_batches
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text", stop: tuple[str, ...] = ()) -> DataFrame:
@@ -42,10 +47,64 @@ def gaps(docs: DataFrame, key: str, query: DataFrame, text: str = "text", top: i
     return missing.select(key, F.array_join(F.slice("m.term", 1, show), " ").alias("gaps"))
 
 
-def leading_lines(lines: DataFrame, docs: DataFrame, key: str, top: int = 3) -> DataFrame:
-    """The ``top`` lines of a reference text (rows of ``line``) that share most words with each document; ties by line, descending."""
+def leading_lines(lines: DataFrame, docs: DataFrame, key: str, top: int = 3, most_bytes: int = 1 << 20) -> DataFrame:
+    """The ``top`` lines of a reference text (rows of ``line``, each once) that share most words with each document; ties by line, descending.
+
+    A document's overlaps depend on its own terms alone. So lines of up to ``most_bytes`` in all go to the tasks, which judge a document
+    where it is read: nothing is shuffled. Longer reference texts, and documents that share a key, meet the lines in a join, with the same rows.
+    """
+    size = lines.agg(F.sum(F.octet_length("line"))).first()[0]
+    if (size or 0) > most_bytes or not _told_apart(docs, key):
+        return _lines_joined(lines, docs, key, top)
+    rows = lines.select("line", F.array_distinct(content_terms("line")).alias("terms")).where("size(terms) > 0").collect()
+    rows.sort(key=lambda r: r["line"].encode(), reverse=True)
+    narrow_batches(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+    found = docs.select(F.col(key).alias("key"), F.lower(present("text")).alias("text")).mapInArrow(_leader([r["line"] for r in rows], [r["terms"] for r in rows], top), f"key {kind}, line string, overlap long, k int")
+    return found.withColumnRenamed("key", key)
+
+
+def _lines_joined(lines: DataFrame, docs: DataFrame, key: str, top: int) -> DataFrame:
     terms = docs.select(key, F.explode(F.array_distinct(content_terms("text"))).alias("term"))
     of_line = lines.select("line", F.explode(F.array_distinct(content_terms("line"))).alias("term"))
     shared = terms.join(of_line, "term").groupBy(key, "line").agg(F.count("*").alias("overlap"))
     w = Window.partitionBy(key).orderBy(F.desc("overlap"), F.desc("line"))
     return shared.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top)
+
+
+def _told_apart(docs: DataFrame, key: str) -> bool:
+    """Whether no two documents share a key: a pass over the keys alone."""
+    return docs.groupBy(key).count().where("count > 1").isEmpty()
+
+
+def _leader(lines: list[str], terms: list[list[str]], top: int):
+    """Each document's leading lines (given in descending order, with their distinct terms), a few MB of text and overlaps at a time."""
+    at: dict[str, list[int]] = {}
+    for i, own in enumerate(terms):
+        for t in own:
+            at.setdefault(t, []).append(i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, named, n = pa.array(list(at), pa.large_string()), pa.array(lines, pa.string()), len(lines)
+        held = np.array([len(x) for x in at.values()], np.int64)
+        begin, line_of = np.cumsum(held) - held, np.array([i for x in at.values() for i in x], np.int64)
+        rows = max(1, min(2048, (4 << 20) // max(1, len(line_of))))  # no more than 4M overlaps meet
+        for batch in batches:
+            for lo, hi in byte_cuts(batch.column("text"), rows, 2 << 20) if n else ():
+                part = batch.slice(lo, hi - lo)
+                doc, found = content_runs(part.column("text"))
+                code = pc.index_in(found, value_set=vocabulary)
+                known = code.is_valid().to_numpy(zero_copy_only=False)
+                pair = np.unique(doc[known] * len(at) + code.drop_null().to_numpy())
+                doc, code = pair // len(at), pair % len(at)
+                times = held[code]
+                place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)  # within a term's lines
+                cell, overlap = np.unique(np.repeat(doc, times) * n + line_of[np.repeat(begin[code], times) + place], return_counts=True)
+                doc, line = cell // n, cell % n
+                order = np.lexsort((line, -overlap, doc))
+                doc, line, overlap = doc[order], line[order], overlap[order]
+                k = np.arange(len(doc)) - np.searchsorted(doc, doc) + 1
+                best = k <= top
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(doc[best])), named.take(pa.array(line[best])), pa.array(overlap[best].astype(np.int64)), pa.array(k[best].astype(np.int32))], ["key", "line", "overlap", "k"])
+
+    return run

@@ -82,3 +82,32 @@ def test_queries_open_their_shards_alone(spark):
     scan = next(line for line in plan.split("\n") if "FileScan parquet" in line)
     assert "PartitionFilters: [isnotnull(shard" in scan and "EqualTo(term,the)" in scan
     assert text_index(spark.createDataFrame([], "id string, text string"), "id").search(spark.createDataFrame([(1, "the")], "qid int, text string")).count() == 0
+
+
+def overlaps(lines, docs, top):
+    """Leading lines by plain sets, documents of one key together."""
+    found = {}
+    for d, text in docs:
+        for line in lines:
+            found[d, line] = found.get((d, line), 0) + len(set(terms_of(text)) & set(terms_of(line)))
+    out = set()
+    for d in {d for d, _ in docs}:
+        best = sorted(((n, line.encode(), line) for (k, line), n in found.items() if k == d and n), reverse=True)[:top]
+        out |= {(d, line, n, k) for k, (n, _, line) in enumerate(best, 1)}
+    return out
+
+
+def test_leading_lines_shuffle_no_texts(spark):
+    docs, lines = made(150, 7), [t for _, t in made(40, 8) if t] + ["größe the net.", "größe the and", "\U0001f600 the and", "－ the and", "12 ab"]
+    df = spark.createDataFrame(docs, "id string, text string")
+    reference = spark.createDataFrame([(x,) for x in dict.fromkeys(lines)] + [(None,)], "line string")
+    for top in (1, 3, 100):
+        found = match.leading_lines(reference, df, "id", top)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in found.collect()} == overlaps(set(lines), docs, top)
+    joined = match.leading_lines(reference, df, "id", 3, most_bytes=10)  # a reference text beyond the bound
+    assert {tuple(r) for r in joined.collect()} == overlaps(set(lines), docs, 3) and joined.columns == found.columns
+    twice = docs + [(docs[3][0], "the and net node.js"), (docs[4][0], "größe the")]  # documents that share a key
+    assert {tuple(r) for r in match.leading_lines(reference, spark.createDataFrame(twice, df.schema), "id").collect()} == overlaps(set(lines), twice, 3)
+    for none in (reference.limit(0), reference.where("line is null"), reference.where("line = '12 ab'")):
+        assert match.leading_lines(none, df, "id").count() == 0

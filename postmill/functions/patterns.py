@@ -73,6 +73,29 @@ def _required(tree) -> frozenset[str] | None:
     return best
 
 
+_WHOLE = re.compile(r"\(\?<!(\[[^\[\]\\^]+\])\)([A-Za-z0-9_]+)\(\?!\1\)|\\b([A-Za-z0-9_]+)\\b")
+
+
+def whole_run(pattern: str) -> tuple[str, str] | None:
+    r"""(class, word) of a pattern that takes one word where no character of a class stands beside it, or null for other forms.
+
+    These are ``\bword\b`` and ``(?<![class])word(?![class])`` with a word of ASCII characters of that class: it matches just where the
+    word is a run of the class that can't be made longer. The word is in lower case.
+    """
+    m = _WHOLE.fullmatch(pattern)
+    if not m:
+        return None
+    kind, word = (m[1], m[2]) if m[1] else (r"\w", m[3])
+    return (kind, word.lower()) if re.fullmatch(f"{kind}+", word, re.IGNORECASE) else None
+
+
+def folded(text: str) -> str:
+    """Lower case as ignoring case has it: all that it takes for an ASCII letter becomes that letter, one character for each."""
+    for a, b in () if text.isascii() else (("İ", "i"), ("ı", "i"), ("ſ", "s")):
+        text = text.replace(a, b)
+    return text.lower()
+
+
 # -- what a pattern means to Java -----------------------------------------------------------------------------------------
 
 

@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from postmill.functions.patterns import required
+from postmill.functions.patterns import folded, required, whole_run
 from postmill.session import narrow_batches
 
-_FOLD = str.maketrans({"ſ": "s", "ı": "i"})  # what ignoring case takes for an ASCII letter beside its capital
-
 
 class Walk:
     """What tasks do with patterns and the strings that each requires (null: none is known); it builds what it needs there."""
@@ -30,34 +28,53 @@ class Walk:
         if self._ready is None:
             import ahocorasick
 
-            machine, rules = ahocorasick.Automaton(), {}
+            machine, rules, always, words = ahocorasick.Automaton(), {}, [], {}
             for i, need in enumerate(self.needs):
+                whole = whole_run(self.patterns[i])
+                if whole:
+                    words.setdefault(whole[0], {}).setdefault(whole[1], []).append(i)
+                    continue
+                if not need:
+                    always.append(i)
                 for s in need or ():
                     rules.setdefault(s, []).append(i)
             for s, of in rules.items():
                 machine.add_word(s, tuple(of))
             if rules:
                 machine.make_automaton()
-            self._ready = machine if rules else None, [i for i, need in enumerate(self.needs) if not need], {}
+            self._ready = machine if rules else None, always, [(re.compile(f"{kind}+", re.IGNORECASE), of) for kind, of in words.items()], {}
         return self._ready
 
+    def words(self, text: str) -> set[int]:
+        """Rules that are one whole word: the text's words are looked up among them, and nothing is searched for."""
+        kinds, out = self._machine()[2], set()
+        low = folded(text) if kinds else ""
+        for runs, of in kinds:
+            # a list of words is fastest, a very long text's takes too much room
+            found = set(runs.findall(low)) if len(low) < 1 << 20 else {m[0] for m in runs.finditer(low)}
+            for w in of.keys() & found:
+                out.update(of[w])
+        return out
+
     def candidates(self, text: str) -> set[int]:
-        machine, always, _ = self._machine()
+        """Other rules that can match: those of which a required string occurs, and those that require none."""
+        machine, always = self._machine()[:2]
         found = set(always)
         if machine is not None:
-            for of in {v for _, v in machine.iter(text.lower().translate(_FOLD))}:
+            for of in {v for _, v in machine.iter(folded(text))}:
                 found.update(of)
         return found
 
     def hits(self, text: str | None) -> list[int]:
         """Indexes of the patterns that match, ascending; a null text is empty."""
-        text, out = text or "", []
-        for i in sorted(self.candidates(text)):
-            compiled = self._machine()[2]
+        text = text or ""
+        out = self.words(text)
+        for i in self.candidates(text):
+            compiled = self._machine()[3]
             rule = compiled.get(i) or compiled.setdefault(i, re.compile(self.patterns[i], re.IGNORECASE))
             if rule.search(text):
-                out.append(i)
-        return out
+                out.add(i)
+        return sorted(out)
 
 
 class RuleMatcher(Walk):
@@ -65,7 +82,8 @@ class RuleMatcher(Walk):
 
     Every match of a pattern holds one of the strings that its form requires (``patterns.required``). One automaton finds all of
     these in a single walk over the text, however many rules there are; a regular expression runs only for rules of which such a string
-    was found. Patterns that require none always run.
+    was found. Patterns that require none always run. Patterns of one whole word (``patterns.whole_run``) take neither: a text's words
+    are looked up among theirs.
     """
 
     def __init__(self, patterns: Sequence[str]) -> None:

@@ -87,6 +87,34 @@ def test_time_hardly_grows_with_the_rules():
     assert taken(many) < 20 * taken(few)  # two hundred times the rules
 
 
+WHOLE = [r"\bgas\b", r"\bK\b", r"\bsi_k9\b", "(?<![a-z])gas(?![a-z])", "(?<![a-z])kiss(?![a-z])", "(?<![A-Z])Si(?![A-Z])", "(?<![a-z0-9])si9(?![a-z0-9])", "(?<![a-zß-ÿ])gas(?![a-zß-ÿ])", "(?<![t-z])zu(?![t-z])"]
+NOT_WHOLE = ["gas", r"\bgas", r"\bgroße\b", "(?<![a-z])si9(?![a-z])", "(?<![a-z])gas(?![a-y])", "(?<![^a-z])gas(?![^a-z])", r"\bgas.\b", r"(?<![\d])1(?![\d])", r"\bgas\B", "(?<![t-z])gas(?![t-z])"]
+
+
+def test_whole_words_are_looked_up(spark):
+    assert all(patterns.whole_run(p) for p in WHOLE) and not any(patterns.whole_run(p) for p in NOT_WHOLE)
+    for c in map(chr, [*range(0x3000), *range(0xFB00, 0x10000)]):  # one character stays one, of the same classes
+        low = patterns.folded(c)
+        assert len(low) == 1 and all(bool(re.match(k, c, re.I)) == bool(re.match(k, low, re.I)) for k in ("[a-z]", r"\w", "[t-z]", "[a-zß-ÿ]")), c
+    rnd, bits = random.Random(6), ["gas", "GAS", "K", "\u212a", "kiss", "Kİſs", "kıss", "si", "Sİ", "_k9", "9", "zu", "é", "ÿ", "Σ", "_", "-", " ", " ", "\n", "٣"]
+    rows = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 9))) for _ in range(3000)] + [None, "", "gas " * 300_000]
+    matcher = RuleMatcher(WHOLE + NOT_WHOLE)
+    for t in rows:
+        assert matcher.hits(t) == [i for i, p in enumerate(matcher.patterns) if re.search(p, t or "", re.I)], (t or "")[:50]
+
+
+def test_words_inside_others_cost_no_search():
+    words = sorted({a + b + c for a in ("th", "in", "er", "an") for b in ("th", "in", "er", "an", "on", "re") for c in ("", "th", "in", "er", "an", "on", "re", "es", "ed")})
+    text = " ".join(a + b for a in words for b in words)
+    matcher = RuleMatcher([f"(?<![a-z]){w}(?![a-z])" for w in words])
+    assert matcher.hits("") == [] and matcher.hits("x INTH,thin") == [words.index("inth"), words.index("thin")]
+    began = time.perf_counter()
+    found = matcher.hits(text)
+    taken, began = time.perf_counter() - began, time.perf_counter()
+    whole = set(re.findall("[a-z]+", text))
+    assert found == [i for i, w in enumerate(words) if w in whole] and taken < 5 * (time.perf_counter() - began) + 0.05
+
+
 def test_scores_of_python_and_java_rubrics_agree(spark):
     rubric = score.Rubric(
         tiers=[("top", 50, ["gas trader", "power"]), ("fair", 10, ["analyst"])], junior=(["junior"], 12, 1), category_roles={"fund": (8, ["desk"])}, signals=[("bad", -40, ["idiot", "a{3}b"]), ("good", 10, ["experience"])],

@@ -87,6 +87,54 @@ def _poster(stop: tuple[str, ...], block_rows: int, block_bytes: int):
     return run
 
 
+def _scorer(k: int | None):
+    """Cosines of one block's documents (in order, with norms) with the queries of one part, from the block's postings of their terms; of each query the ``k`` best, or all."""
+
+    def run(postings: pa.Table, block: pa.Table) -> pa.Table:
+        none = pa.table({"qid": postings.column("qid").combine_chunks().flatten()[:0], "doc": postings.column("docs").combine_chunks().flatten()[:0], "cosine": pa.array([], pa.float64())})
+        if not postings.num_rows or not block.num_rows:
+            return none
+        lists = {c: postings.column(c).combine_chunks() for c in ("docs", "counts", "qid", "qn", "qnorm")}
+        flat = {c: x.flatten() for c, x in lists.items()}
+        term_of = lambda c: np.repeat(np.arange(postings.num_rows), pc.list_value_length(lists[c]).to_numpy(zero_copy_only=False))
+        docs, norm2 = (block.column(c).combine_chunks().flatten() for c in ("held", "norm2"))
+        norm2, wq, w = norm2.to_numpy(), postings.column("wq").to_numpy(), postings.column("w").to_numpy()
+        coded = flat["qid"].dictionary_encode()
+        names, query, term = coded.dictionary, coded.indices.to_numpy(), term_of("qid")
+        order = np.argsort(query, kind="stable")
+        query, term, qn, qnorm = query[order], term[order], flat["qn"].to_numpy()[order].astype(float), flat["qnorm"].to_numpy()[order]
+        of_doc, of_count, of_term = pc.index_in(flat["docs"], value_set=docs).to_numpy(), flat["counts"].to_numpy().astype(float), term_of("docs")
+        dot, moved = np.zeros((len(names), len(docs))), np.zeros((len(names), len(docs)))
+        some = max(1, (2 << 20) // len(docs))  # so many terms at a time, for 16 MB of counts
+        for lo in range(0, postings.num_rows, some):
+            hi = min(lo + some, postings.num_rows)
+            n = np.zeros((hi - lo, len(docs)))
+            a, b = np.searchsorted(of_term, [lo, hi])
+            n[of_term[a:b] - lo, of_doc[a:b]] = of_count[a:b]
+            mine = np.flatnonzero((term >= lo) & (term < hi))
+            at = np.searchsorted(query[mine], np.arange(len(names) + 1))
+            for q in range(len(names)):
+                own = mine[at[q]:at[q + 1]]
+                if len(own):
+                    t = term[own]
+                    part = n[t - lo]
+                    dot[q] += (qn[own] * wq[t] ** 2) @ part
+                    moved[q] += (wq[t] ** 2 - w[t] ** 2) @ part ** 2
+        first = np.searchsorted(query, np.arange(len(names)))
+        cosine = np.divide(dot, np.sqrt(np.maximum(norm2 + moved, 1e-300)) * qnorm[first][:, None])
+        asked_for = block.column("asked_for")
+        wanted = range(len(names)) if not asked_for.null_count == 0 else np.flatnonzero(pc.is_in(names, value_set=asked_for.combine_chunks().flatten()).to_numpy(zero_copy_only=False))
+        found = [(q, np.flatnonzero(dot[q] > 0)) for q in wanted]
+        if k is not None:
+            found = [(q, d[np.argsort(-cosine[q, d], kind="stable")[:k]]) for q, d in found]
+        if not any(len(d) for _, d in found):
+            return none
+        q, d = np.concatenate([np.full(len(d), q) for q, d in found]), np.concatenate([d for _, d in found])
+        return pa.table({"qid": names.take(pa.array(q)), "doc": docs.take(pa.array(d)), "cosine": pa.array(cosine[q, d])})
+
+    return run
+
+
 @dataclass
 class TextIndex:
     """``postings`` (shard, term, block, df, most, docs, counts), ``terms`` (term, df, w), ``norms`` (doc, block, norm2) and the number of documents.
@@ -104,13 +152,17 @@ class TextIndex:
     def shard(self, term: Column | str) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.shards)).cast("int")
 
-    def asked(self, queries: DataFrame, text: str = "text", stop: tuple[str, ...] = ()) -> DataFrame:
-        """(qid, term, qn, wq, w, qnorm) of every query's terms that some document holds; written, as it is read again and again."""
-        n = self.documents + 1
+    def asked(self, queries: DataFrame, text: str = "text", stop: tuple[str, ...] = (), part: int = 256) -> DataFrame:
+        """(qid, part, term, qn, wq, w, qnorm) of every query's terms that some document holds; written, as it is read again and again.
+
+        About ``part`` queries make a part, and are scored together.
+        """
+        n, parts = self.documents + 1, max(1, -(-queries.select("qid").distinct().count() // part))
         counts = queries.select("qid", F.explode(content_terms(text, stop)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn"))
         q = counts.join(self.terms.select("term", "df", "w"), "term", "left").withColumn("wq", F.log(1 + F.lit(n) / (2 + F.coalesce("df", F.lit(0)))))
         norms = q.groupBy("qid").agg(F.sqrt(F.sum(F.pow(F.col("qn") * F.col("wq"), 2))).alias("qnorm"))
-        return materialise(q.where("df is not null").join(norms, "qid").select("qid", "term", "qn", "wq", "w", "qnorm"), "asked")[0]
+        dealt = F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int").alias("part")
+        return materialise(q.where("df is not null").join(norms, "qid").select("qid", dealt, "term", "qn", "wq", "w", "qnorm"), "asked")[0]
 
     def _read(self, asked: DataFrame) -> DataFrame:
         """Postings of the asked terms: only their shards' files are opened, and few terms are pushed into the scan."""
@@ -120,17 +172,29 @@ class TextIndex:
         found = asked.select(self.shard("term").alias("shard")).distinct().collect()  # as many as there are shards, at most
         return self.postings.where(F.col("shard").isin([r["shard"] for r in found]))
 
-    def _scores(self, rows: DataFrame) -> DataFrame:
-        """(qid, doc, cosine) from postings joined to asked terms."""
-        n, wq, w = F.col("p.counts"), F.col("wq"), F.col("w")
-        flat = rows.select("qid", "qn", "wq", "w", "qnorm", F.explode(F.arrays_zip("docs", "counts")).alias("p"))
-        sums = flat.groupBy("qid", F.col("p.docs").alias("doc")).agg(F.sum(n * F.col("qn") * wq * wq).alias("dot"), F.sum(n * n * (wq * wq - w * w)).alias("moved"), F.first("qnorm").alias("qnorm"))
-        return sums.join(self.norms.select("doc", "norm2"), "doc").select("qid", "doc", (F.col("dot") / (F.sqrt(F.col("norm2") + F.col("moved")) * F.col("qnorm"))).alias("cosine"))
+    def _scores(self, asked: DataFrame, blocks: DataFrame | None = None, k: int | None = None) -> DataFrame:
+        """(qid, doc, cosine) of asked queries and documents that share a term, or of (qid, block) in ``blocks`` alone; the ``k`` best of each query and block.
+
+        A block's postings meet its documents and a part of the queries in one place, all of bounded size; only cosines leave it. Pairs
+        of query and document are never shuffled.
+        """
+        of_term = asked.groupBy("part", "term").agg(F.first("wq").alias("wq"), F.first("w").alias("w"), F.collect_list(F.struct("qid", "qn", "qnorm")).alias("of"))
+        rows = self._read(asked).join(of_term, "term")
+        held = self.norms.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("doc", "norm2"))).alias("d"))
+        if blocks is None:
+            meet = held.join(F.broadcast(asked.select("part").distinct().withColumn("asked_for", F.lit(None).cast(f"array<{asked.schema['qid'].dataType.simpleString()}>"))), how="cross")
+        else:
+            parts = asked.select("qid", "part").distinct()
+            meet = held.join(blocks.join(parts, "qid").groupBy("block", "part").agg(F.collect_list("qid").alias("asked_for")), "block")
+            rows = rows.join(meet.select("block", "part"), ["block", "part"], "left_semi")
+        rows = rows.select("block", "part", "docs", "counts", "wq", "w", F.col("of.qid").alias("qid"), F.col("of.qn").alias("qn"), F.col("of.qnorm").alias("qnorm"))
+        meet = meet.select(F.col("block").alias("b"), F.col("part").alias("p"), F.col("d.doc").alias("held"), F.col("d.norm2").alias("norm2"), "asked_for")
+        kinds = [f"{c} {t.schema[c].dataType.simpleString()}" for t, c in ((asked, "qid"), (self.norms, "doc"))]
+        return rows.groupBy("block", "part").cogroup(meet.groupBy("b", "p")).applyInArrow(_scorer(k), f"{', '.join(kinds)}, cosine double")
 
     def search(self, queries: DataFrame, text: str = "text", stop: tuple[str, ...] = ()) -> DataFrame:
         """(qid, doc, cosine) of every query (qid, text) and every document that shares a term with it."""
-        asked = self.asked(queries, text, stop)
-        return self._scores(self._read(asked).join(asked, "term"))
+        return self._scores(self.asked(queries, text, stop))
 
     def bounds(self, asked: DataFrame) -> DataFrame:
         """(qid, block, bound): no document of the block has a higher cosine with the query."""
@@ -149,8 +213,7 @@ class TextIndex:
         """
         asked = self.asked(queries, text, stop)
         bounds, _ = materialise(self.bounds(asked).withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "block"))), "bounds")
-        postings = self._read(asked).join(asked, "term")
-        score = lambda blocks: self._scores(postings.join(blocks.select("qid", "block"), ["qid", "block"], "left_semi"))
+        score = lambda blocks: self._scores(asked, blocks, k)
         best = Window.partitionBy("qid").orderBy(F.desc("cosine"), "doc")
         early, _ = materialise(score(bounds.where(F.col("n") <= first_blocks)).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k), "early")
         floor = early.where(F.col("place") == k).select("qid", F.col("cosine").alias("floor"))

@@ -84,6 +84,19 @@ def test_queries_open_their_shards_alone(spark):
     assert text_index(spark.createDataFrame([], "id string, text string"), "id").search(spark.createDataFrame([(1, "the")], "qid int, text string")).count() == 0
 
 
+def test_no_pair_of_query_and_document_is_shuffled(spark):
+    docs = made(300, 9)
+    index = text_index(spark.createDataFrame(docs, "id string, text string").repartition(3), "id", block_rows=32)
+    texts = spark.createDataFrame([(i, docs[i][1]) for i in range(40)] + [(40, None), (41, "unknown words")], "qid int, text string")
+    found = index.search(texts)
+    assert "hashpartitioning(qid" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(q, d): c for q in range(40) for d, c in plain(docs, docs[q][1]).items()}
+    for rows in (found, index._scores(index.asked(texts, part=3))):  # one part of the queries, and many
+        assert {(r.qid, r.doc): pytest.approx(r.cosine, abs=1e-9) for r in rows.collect()} == want
+    best = index._scores(index.asked(texts, part=5), k=2).join(index.norms.select("doc", "block"), "doc")
+    assert best.groupBy("qid", "block").count().agg(F.max("count")).first()[0] == 2
+
+
 def overlaps(lines, docs, top):
     """Leading lines by plain sets, documents of one key together."""
     found = {}

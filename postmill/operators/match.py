@@ -39,12 +39,50 @@ def relative_scores(rows: DataFrame, score: str = "cosine") -> DataFrame:
 
 
 def gaps(docs: DataFrame, key: str, query: DataFrame, text: str = "text", top: int = 60, show: int = 8, stop: tuple[str, ...] = ()) -> DataFrame:
-    """(key, gaps): the first ``show`` of a document's ``top`` most frequent terms that the query lacks; ties in order of appearance."""
-    w = Window.partitionBy(key).orderBy(F.desc("n"), "pos")
-    best = term_counts(docs, key, text, stop).withColumn("k", F.row_number().over(w)).where(F.col("k") <= top)
+    """(key, gaps): the first ``show`` of a document's ``top`` most frequent terms that the query lacks; ties in order of appearance.
+
+    Terms are counted where a document is read, and nothing is shuffled; documents that share a key are counted together, in a
+    shuffle.
+    """
     q = query.select(F.explode(content_terms(text, stop)).alias("term")).distinct()
-    missing = best.join(F.broadcast(q), "term", "left_anti").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "term"))).alias("m"))
-    return missing.select(key, F.array_join(F.slice("m.term", 1, show), " ").alias("gaps"))
+    if not _told_apart(docs, key):
+        w = Window.partitionBy(key).orderBy(F.desc("n"), "pos")
+        best = term_counts(docs, key, text, stop).withColumn("k", F.row_number().over(w)).where(F.col("k") <= top)
+        missing = best.join(F.broadcast(q), "term", "left_anti").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "term"))).alias("m"))
+        return missing.select(key, F.array_join(F.slice("m.term", 1, show), " ").alias("gaps"))
+    narrow_batches(docs.sparkSession)
+    own = _gap_finder([r["term"] for r in q.collect()], top, show, stop)  # one text's terms
+    found = docs.select(F.col(key).alias("key"), F.lower(present(text)).alias("text")).mapInArrow(own, f"key {docs.schema[key].dataType.simpleString()}, gaps string")
+    return found.withColumnRenamed("key", key)
+
+
+def _gap_finder(query: list[str], top: int, show: int, stop: tuple[str, ...]):
+    """Each document's gaps, a few MB of text at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in byte_cuts(batch.column("text"), 2048, 2 << 20):
+                part = batch.slice(lo, hi - lo)
+                doc, terms = content_runs(part.column("text"))
+                coded = terms.dictionary_encode()
+                words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                among = lambda few: pc.is_in(words, value_set=pa.array(few, pa.large_string())).to_numpy(zero_copy_only=False)
+                kept = ~among(stop)[code] if len(words) else np.zeros(0, bool)
+                pair, pos, n = np.unique(doc[kept] * max(1, len(words)) + code[kept], return_index=True, return_counts=True)
+                doc, code = pair // max(1, len(words)), pair % max(1, len(words))
+                order = np.lexsort((pos, -n, doc))
+                doc, code = doc[order], code[order]
+                for cut, lacking in ((top, None), (show, ~among(query))):
+                    if lacking is not None:
+                        doc, code = doc[lacking[code]], code[lacking[code]]
+                    first = np.arange(len(doc)) - np.searchsorted(doc, doc) < cut
+                    doc, code = doc[first], code[first]
+                of = np.unique(doc)
+                at = pa.array(np.append(np.searchsorted(doc, of), len(doc)).astype(np.int32))
+                shown = pa.ListArray.from_arrays(at, words.cast(pa.string()).take(pa.array(code)))
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(of)), pc.binary_join(shown, " ")], ["key", "gaps"])
+
+    return run
 
 
 def leading_lines(lines: DataFrame, docs: DataFrame, key: str, top: int = 3, most_bytes: int = 1 << 20) -> DataFrame:

@@ -124,3 +124,21 @@ def test_leading_lines_shuffle_no_texts(spark):
     assert {tuple(r) for r in match.leading_lines(reference, spark.createDataFrame(twice, df.schema), "id").collect()} == overlaps(set(lines), twice, 3)
     for none in (reference.limit(0), reference.where("line is null"), reference.where("line = '12 ab'")):
         assert match.leading_lines(none, df, "id").count() == 0
+
+
+def gaps_of(text, query, top, show, stop=()):
+    """The most frequent terms that the query lacks, by plain counts."""
+    own = terms_of(text, stop)
+    best = sorted(Counter(own).items(), key=lambda x: (-x[1], own.index(x[0])))[:top]
+    return " ".join([t for t, _ in best if t not in terms_of(query, stop)][:show])
+
+
+def test_gaps_shuffle_no_terms(spark):
+    docs = made(200, 11) + [("long", " ".join(f"t{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)))]
+    df = spark.createDataFrame(docs, "id string, text string")
+    for query, top, show, stop in (("the c++ and wabx", 60, 8, ()), (None, 5, 3, ("the", "net")), ("the and", 3, 100, ())):
+        found = match.gaps(df, "id", spark.createDataFrame([(query,)], "text string"), top=top, show=show, stop=stop)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in found.collect()} == {(d, g) for d, t in docs if (g := gaps_of(t, query, top, show, stop))}
+    twice = spark.createDataFrame([(1, "abc def"), (1, "def ghi"), (2, "xyz")], "id int, text string")  # documents that share a key
+    assert {r.id: r.gaps.split()[0] for r in match.gaps(twice, "id", spark.createDataFrame([("abc",)], "text string")).collect()} == {1: "def", 2: "xyz"}

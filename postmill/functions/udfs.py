@@ -8,6 +8,8 @@ import unicodedata
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
@@ -36,19 +38,28 @@ def deaccent_one(text: str | None) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c))
 
 
-@F.pandas_udf(StringType())
-def clean_text(s: pd.Series) -> pd.Series:
-    return s.map(clean_one)
+# Arrow, not pandas: of a batch of texts only one at a time is a Python string. Plans over whole texts narrow the batches too.
 
 
-@F.pandas_udf(IntegerType())
-def years_required(s: pd.Series) -> pd.Series:
-    return s.map(years_of).astype("Int32")
+@F.arrow_udf(StringType())
+def clean_text(texts: pa.Array) -> pa.Array:
+    return pa.array((clean_one(x.as_py()) for x in texts), pa.string(), size=len(texts))
 
 
-@F.pandas_udf(StringType())
-def deaccent(s: pd.Series) -> pd.Series:
-    return s.map(deaccent_one)
+@F.arrow_udf(IntegerType())
+def _years(texts: pa.Array) -> pa.Array:
+    return pa.array((years_of(x.as_py()) for x in texts), pa.int32(), size=len(texts))
+
+
+def years_required(text: Column | str) -> Column:
+    """``years_of`` of a text column. Only texts that speak of years leave the JVM."""
+    text = F.col(text) if isinstance(text, str) else text
+    return _years(F.when(F.rlike(text, F.lit("(?i)year")), text))
+
+
+@F.arrow_udf(StringType())
+def deaccent(texts: pa.Array) -> pa.Array:
+    return pa.array((deaccent_one(x.as_py()) for x in texts), pa.string(), size=len(texts))
 
 
 @F.pandas_udf(StringType())

@@ -13,6 +13,7 @@ from postmill.operators import score as S
 from postmill.operators.index import text_index
 from postmill.operators.rules import rule_join
 from postmill.plans.registry import query
+from postmill.session import narrow_batches
 from postmill.sources.tables import spread, table
 
 AS_OF = "2024-01-31 00:00:00"
@@ -300,6 +301,7 @@ def match_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clean_text_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    narrow_batches(spark)
     return table(spark, sf_dir, "documents").select("doc_id", udfs.clean_text("text").alias("clean"))
 
 
@@ -314,6 +316,7 @@ _WANTS = [
 def years_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years of experience of every document, beside literal demands and boasts (ids below zero); no document of the tables boasts."""
     texts = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(i, t) for i, t, _ in _WANTS], "doc_id long, text string"))
+    narrow_batches(spark)
     return texts.select("doc_id", udfs.years_required("text").alias("years"))
 
 

@@ -9,6 +9,7 @@ from postmill.functions import dates, udfs, web
 from postmill.operators import extract, fold, match
 from postmill.operators.filters import CollectionRules
 from postmill.plans.registry import query
+from postmill.session import narrow_batches
 from postmill.sources import payloads, registry_tables
 from postmill.sources.tables import table
 
@@ -119,6 +120,7 @@ def reparsed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, strip_accents(split_part(text, chr(10), 1)) AS plain FROM documents")
 def deaccented_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    narrow_batches(spark)
     return table(spark, sf_dir, "documents").select("doc_id", udfs.deaccent(F.substring_index("text", "\n", 1)).alias("plain"))
 
 

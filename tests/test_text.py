@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from postmill.functions import dates, udfs, web
 from postmill.functions import text as T
 
@@ -63,6 +66,22 @@ def test_udfs(spark):
     assert c[0].c == "Café fine x" and c[1].c == ""
 
 
+def test_python_reads_few_texts_in_narrow_batches(spark):
+    bits = ["5 years", "3-4 YEARS' ", "1 yeaR ", "2 yrs ", "we have 30 years ", "of experience", " track record", ". ", "year", "٣ years ", "exp", "\n"]
+    rnd = random.Random(5)
+    rows = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 7))) for _ in range(400)] + [None, ""]
+    found = spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", udfs.years_required("t").alias("y"))
+    assert {r.i: r.y for r in found.collect()} == {i: udfs.years_of(t) for i, t in enumerate(rows)}
+    assert "CASE WHEN RLIKE(t" in found._jdf.queryExecution().optimizedPlan().toString()  # other texts stay in the JVM
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for name in ("years_required", "clean_text_nfkc", "deaccented_titles"):
+        spark.conf.set(key, "10000")
+        __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(key)) <= 2000, name
+    spark.conf.set(key, before)
+
+
 def test_mostly_latin(spark):
     assert one(spark, T.mostly_latin(F.lit("abc где"))) is True
     assert one(spark, T.mostly_latin(F.lit("a где это"))) is False
